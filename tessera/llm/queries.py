@@ -34,6 +34,17 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    from .common import crc_of_id
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_of_id() % 3 == 1
+    train = _read(spark, sf_dir, "labels").where(~held_out)
+    out = toxicity.score(docs, toxicity.fit(train, docs))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contaminated
 
@@ -50,6 +61,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lang_id
+    from .common import crc_of_id
+
+    docs = _read(spark, sf_dir, "documents")
+    held_out = crc_of_id() % 5 == 0
+    model = lang_id.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    out = lang_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
