@@ -6,26 +6,33 @@ key's sequence. Folds over one global sequence first cut it where the state is k
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable, column: str, kind: str) -> DataFrame:
-    """Add ``column``: for each row in order, the value that step(state, row) -> (state, value) gives."""
-    names = df.columns
+    """Add ``column``: for each row in order, the value that step(state, row) -> (state, value) gives.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        state, out = start(), []
-        for row in pdf.itertuples(index=False):
-            state, value = step(state, row)
-            out.append(value)
-        return pdf.assign(**{column: out})[[*names, column]]
+    Rows are dealt and sorted by key and order; a task streams over its rows and starts a new state where
+    the key changes, so no group is ever held in memory.
+    """
+
+    def run(batches):
+        last, state, fresh = None, None, True
+        for pdf in batches:
+            out = []
+            for k, row in zip(pdf[key], pdf.itertuples(index=False)):
+                if fresh or k != last:
+                    last, state, fresh = k, start(), False
+                state, value = step(state, row)
+                out.append(value)
+            yield pdf.assign(**{column: out})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{column}` {kind}"
-    return df.groupBy(key).applyInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def greedy_batches(df: DataFrame, key: str, order: str, size: str, target: int, early: bool = False, breaker: str | None = None) -> DataFrame:
@@ -94,24 +101,15 @@ def compact_levels(levels: list[int], most: int) -> list[int]:
     return levels
 
 
-def compaction(df: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:
-    """(key, level, size) after compaction of each group's levels."""
+def compaction(df: DataFrame, key: str, order: list[str], size: str, most: int) -> DataFrame:
+    """(key, level, size) after compaction of each group's levels (few for each key)."""
+    item = F.struct(*order, F.col(size).cast("long").alias("__size"))
+    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("l")).select(key, F.col("l.__size").alias("l"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = compact_levels([int(x) for x in pdf.sort_values(order)[size]], most)
-        return pd.DataFrame({key: pdf[key].iloc[0], "level": range(len(out)), "size": out})
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "l": [compact_levels([int(x) for x in v], most) for v in pdf["l"]]})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandas(run, f"`{key}` {kind}, level bigint, size bigint")
-
-
-def batches_of(it: Iterator, n: int) -> Iterator[list]:
-    """Lists of up to n items."""
-    part: list = []
-    for x in it:
-        part.append(x)
-        if len(part) == n:
-            yield part
-            part = []
-    if part:
-        yield part
+    done = rows.mapInPandas(run, f"`{key}` {kind}, l array<bigint>")
+    return done.select(key, F.posexplode("l").alias("level", "size")).withColumn("level", F.col("level").cast("long"))
