@@ -1 +1,34 @@
+"""Streaming queries, each drained and compared with its batch form."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.streaming import states
+
+from .registry import query
+
+
+@query("x05s_heartbeat_stream", "SELECT user_id, count(*) AS beats FROM events GROUP BY 1")
+def x05s(t):
+    out = states.drain(states.heartbeats(states.events(t.spark, t.directory)), "update")
+    return out.groupBy("user_id").agg(F.max("beats").alias("beats"))
+
+
+@query("a17s_hourly_stream", "WITH h AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT start, event_type, n FROM h")
+def a17s(t):
+    out = states.drain(states.hourly(states.events(t.spark, t.directory)), "update")
+    last = out.groupBy("start", "event_type").agg(F.max_by("n", "__batch").alias("n"))
+    return last.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("x01s_lifecycle_stream", "SELECT user_id, arg_max(event_type, event_id) AS state FROM events GROUP BY 1")
+def x01s(t):
+    out = states.drain(states.lifecycle(states.events(t.spark, t.directory)), "update")
+    return out.groupBy("user_id").agg(F.max_by("state", "__batch").alias("state"))
+
+
+@query("x10_webhook_triggers", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def x10(t):
+    tracked = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    return states.drain(states.triggers(states.events(t.spark, t.directory), tracked), "append").select("event_id", "user_id")
