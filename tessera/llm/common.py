@@ -53,10 +53,15 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    The finished job's shuffle files are let go at once: Spark deletes them when the driver
+    collects its garbage, which it would otherwise do rarely.
+    """
     path = f"{shared_root(df.sparkSession)}/tessera-{uuid.uuid4().hex[:12]}/{name}"
     schema = df.schema
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._tessera_path = path
     return out
