@@ -9,8 +9,9 @@ what is covered). A word is removed if it lies in a full window that also starts
 document with a smaller doc_id; windows are judged on the input.
 
 Defined results: a null or empty text has no words; rows without doc_id are kept whole and
-remove nothing; repeated rows with one doc_id do not remove each other; windows do not
-cross documents; texts of fewer than min_words words stay whole.
+remove nothing; repeated rows with one doc_id do not remove each other and are one document
+(if their texts differ, the places found in one count in all); windows do not cross
+documents; texts of fewer than min_words words stay whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _W1, _W2, Words, chunks, discard, map_batches, signed, sliding, text_buffers, window_rows, windows, written
+from .common import _W1, _W2, Words, chunks, map_batches, signed, sliding, text_buffers, window_rows, windows, written
 
 
 def _least(w: Words, length: int, full: int):
@@ -35,6 +36,8 @@ def _least(w: Words, length: int, full: int):
 
 
 def _anchors(length: int, full: int):
+    """(h, k): the least parts of the full windows of each text, once per text; k names the text."""
+
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -46,13 +49,13 @@ def _anchors(length: int, full: int):
                     new = np.ones(len(h), bool)  # neighbours mostly share their least part
                     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                     pair = np.unique(np.rec.fromarrays([row[new], h[new]], names="d,h"))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(pair["h"])), pa.array(ids[pair["d"] + i])], names=["h", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(pair["h"])), pa.array(ids[pair["d"] + i])], names=["h", "k"])
 
     return run
 
 
 def _extended(length: int, full: int):
-    """Full windows whose least part is among the row's survivors."""
+    """Full windows whose least part is among the row's survivors, each once per row at its first start."""
 
     def run(batches):
         for batch in batches:
@@ -71,47 +74,70 @@ def _extended(length: int, full: int):
                     keep[a:b] = np.isin(h[a:b], values[ends[i + d] : ends[i + d + 1]])
                 starts, row = starts[keep], row[keep]
                 if len(starts):
-                    cols = [signed(windows(w.h, full, b)[starts]) for b in (_W1, _W2)]
+                    h1 = windows(w.h, full, _W1)[starts]
+                    by = np.lexsort((starts, h1, row))
+                    one = np.ones(len(by), bool)
+                    one[1:] = (h1[by][1:] != h1[by][:-1]) | (row[by][1:] != row[by][:-1])
+                    pick = np.sort(by[one])
+                    starts, row, h1 = starts[pick], row[pick], h1[pick]
+                    h2 = windows(w.h, full, _W2)[starts]
                     at = (starts - w.off[row]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, ids[row + i], at)], names=["h1", "h2", "doc_id", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), pa.array(ids[row + i]), pa.array(at)], names=["h1", "h2", "doc_id", "at"])
 
     return run
 
 
 def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, at array<int>): starts of the windows that also start in a smaller doc_id."""
+    """(doc_id, copy boolean, at array<int>) of the documents that lose words.
+
+    copy: a smaller doc_id has the same text, so every full window goes. at: first starts of the
+    windows that also start in a smaller doc_id. Equal texts are looked into once, by their least doc_id.
+    """
     half = (min_words + 1) // 2
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = written(map_batches(some, _anchors(half, min_words), "h long, doc_id long"), "anchors")
-    twice = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    alive = found.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("alive"))
-    wide = some.join(alive, "doc_id").select("doc_id", "text", "alive")
+    some = some.withColumns({"k": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), F.col("text"))})
+    names = written(some.select("doc_id", "k", "k2"), "names")
+    reps = names.groupBy("k", "k2").agg(F.min("doc_id").alias("rep"))
+    copies = names.join(reps, ["k", "k2"]).where("rep < doc_id").select("doc_id").distinct()
+    found = written(map_batches(some.select("k", "text"), _anchors(half, min_words), "h long, k long"), "anchors")
+    twice = found.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("h")
+    alive = found.join(twice, "h", "left_semi").groupBy("k").agg(F.collect_set("h").alias("alive"))
+    alive = written(alive.join(reps, "k").select(F.col("rep").alias("doc_id"), "k", "k2", "alive"), "alive")
+    wide = some.join(alive, ["doc_id", "k", "k2"]).select("doc_id", "text", "alive")
     cand = map_batches(wide, _extended(half, min_words), "h1 long, h2 long, doc_id long, at int")
     first = Window.partitionBy("h1", "h2")
     late = cand.withColumn("first", F.min("doc_id").over(first)).where("first < doc_id")
-    return late.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    late = written(late.groupBy("doc_id").agg(F.collect_set("at").alias("at")), "late")
+    no = F.lit(None).cast("array<int>")
+    return late.select("doc_id", F.lit(False).alias("copy"), "at").unionByName(copies.select("doc_id", F.lit(True).alias("copy"), no.alias("at")))
 
 
 def kept_words(docs: DataFrame, found: DataFrame, min_words: int = 50, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) per row of docs."""
+    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) per row of docs; found as from :func:`repeats`."""
 
     def run(batches):
         for batch in batches:
             n, gone, sha, kept = [], [], [], []
-            for t, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            texts = batch.column(1)
+            raw, off = text_buffers(texts)
+            for d, (t, copy, at) in enumerate(zip(texts.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 words = (t or b"").split()
                 left = words
-                if at:
+                if copy and len(words) >= min_words:
+                    left = []
+                elif at:
+                    h = windows(Words(raw, off, d, d + 1).h, min_words)
                     cover = np.zeros(len(words) + 1, np.int32)
-                    at = np.asarray(at)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, np.minimum(at + min_words, len(words)), -1)
+                    start = np.flatnonzero(np.isin(h, h[[k for k in at if k < len(h)]]))
+                    cover[start] += 1
+                    cover[start + min_words] -= 1
                     left = [words[k] for k in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
                 b = b" ".join(left)
                 n.append(len(words))
                 gone.append(len(words) - len(left))
                 sha.append(hashlib.sha256(b).hexdigest())
-                kept.append(b)
+                if with_text:
+                    kept.append(b)
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
@@ -119,8 +145,9 @@ def kept_words(docs: DataFrame, found: DataFrame, min_words: int = 50, with_text
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    per = found.groupBy("doc_id").agg(F.max("copy").alias("copy"), F.max("at").alias("at"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = rows.join(found, "doc_id", "left").select("doc_id", "text", "at")
+    rows = rows.join(per, "doc_id", "left").select("doc_id", "text", "copy", "at")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return map_batches(rows, run, schema)
 
