@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from .common import map_batches, written
 
 #: Entries of a cache generation; two generations are held.
-RETAINED = 250_000
+RETAINED = 500_000
 
 
 class Encoder:
@@ -202,7 +202,7 @@ def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
     rows = plan(counts, capacity)
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("part", "length", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
-    ranked = found.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    ranked = found.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     for n, lo, hi, seq, k, at, _ in rows:
         slots.setdefault(n, []).append((lo, hi, seq, k, at))
