@@ -186,7 +186,7 @@ def links(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5) -> tuple[Da
     # a partner may be as small as need(n), whose own head guarantees p(need(n)) shared tokens
     least = F.ceil(F.col("n") * p / q).cast("long")
     least = least - F.ceil(least * p / q).cast("long") + 1
-    ids = reps.join(n_shared, "k1").where(F.col("c") >= least).select(F.col("rep").alias("doc_id"), "k1", "k2")
+    ids = written(reps.join(n_shared, "k1").where(F.col("c") >= least).select(F.col("rep").alias("doc_id"), "k1", "k2"), "possible")
     some = rows.where("text IS NOT NULL").join(ids.select("doc_id"), "doc_id", "left_semi")
     live = map_batches(some, _sets(shingle, "all"), "doc_id long, n long, k1 long, k2 long, tokens array<long>")
     live = written(live.join(ids, ["doc_id", "k1", "k2"], "left_semi").select("doc_id", "n", "tokens").dropDuplicates(["doc_id"]), "live")
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     member, found = links(docs, shingle)
     comp = components(found)
     out = member.join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
