@@ -69,7 +69,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_alpha_words": F.size(F.filter("__w", lambda w: w.rlike(r"\p{L}"))).cast("long"),
     }
     keep = [c for c in docs.columns if c not in measures]
-    return out.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in measures.items()])
+    # a generator, so that a filter on the measurements is never pushed below them and evaluated anew
+    row = F.inline(F.array(F.struct(*[v.alias(k) for k, v in measures.items()])))
+    return out.select(*[F.col(f"`{c}`") for c in keep], row)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
