@@ -356,7 +356,8 @@ def brute_lines(texts):
             if re.search(r"[^\x20\x09-\x0D]", x):
                 first.setdefault(x, (i, k))
     s = {x: {x.encode()[k : k + 10] for k in range(max(1, len(x.encode()) - 9))} for x in first}
-    link = [(x, y) for x in s for y in s if x < y and 5 * len(s[x] & s[y]) >= 4 * len(s[x] | s[y])]
+    near = lambda a, b: 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b))
+    link = [(x, y) for x in s for y in s if x < y and near(s[x], s[y]) and 5 * len(s[x] & s[y]) >= 4 * len(s[x] | s[y])]
     root = groups(link, s)
     head = {}
     for x, r in root.items():
