@@ -374,6 +374,21 @@ def test_line_dedup(spark, texts):
     assert sorted((str(x.doc_id), str(x.text)) for x in got.collect()) == want
 
 
+def test_line_dedup_of_one_boilerplate_with_many_tails(spark):
+    """Lines of one bucket: only the two copies of a tail are alike enough, wherever in the bucket they stand."""
+    r = random.Random(21)
+    some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base, lines = some(109), []
+    for _ in range(300):
+        tail = some(13)
+        lines += [base + tail + some(6), base + tail + some(6)]
+    r.shuffle(lines)
+    texts = list(enumerate(lines))
+    keep = brute_lines(texts)
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(docs_of(spark, texts)).collect()}
+    assert got == {i: keep(i, t) for i, t in texts}
+
+
 def test_components(spark):
     r = random.Random(13)
     pairs = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(100 + k, 101 + k) for k in range(40)]
