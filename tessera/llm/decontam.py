@@ -6,8 +6,13 @@ substituted. Test hashes go to the workers in blocks of bounded size, every trai
 window is looked up, and each hit is verified: on its alignment, the best stretch of the
 test item must have at least ``min_match`` equal tokens and a share of ``identity``.
 
+The masks meet every stretch that the verification can accept. Every end of a best stretch has
+a positive sum (equal +1, others -2), so its last three tokens are equal, of the last six at
+most one differs, and of the last nine at most two. Each mask ignores two of the places 4 to 9
+from the end, at least one of them in 7 to 9: together all patterns that are possible.
+
 Tokens: lower-cased runs of letters, digits and non-ASCII characters. Defined results: a
-null or empty text or item hits nothing; items shorter than the span are met whole and
+null or empty text or item hits nothing; items of less than 12 tokens are met whole and
 unchanged if they have ``min_short`` tokens, else never; repeated items hit each.
 """
 
@@ -20,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, Words, chunks, map_batches, mix, powers, text_buffers, window_rows, windows
 
-#: Fixed masks: 1 = the token counts. Each ignores other places.
-MASKS = ("111010010111", "110110101011", "101101110011", "111111110000")
-SPAN = 12
-#: Test tokens that one broadcast block holds (8 bytes each, and 4 hashes a token).
+#: Fixed masks: 1 = the token counts. Each ignores two of the first six places, at least one of the first three.
+SPAN = 9
+MASKS = tuple("".join("0" if i in (x, y) else "1" for i in range(SPAN)) for x in range(3) for y in range(x + 1, 6))
+#: Test tokens that one broadcast block holds (8 bytes each, and 12 hashes a token).
 BLOCK_TOKENS = 500_000
 _B = 0x9FB21C651E98DF25
 
@@ -34,11 +39,13 @@ def _seeds(h: np.ndarray) -> list[np.ndarray]:
     if n <= 0:
         return [np.zeros(0, np.uint64)] * len(MASKS)
     p, out = powers(_B, SPAN + 1), []
+    part = [h[i : i + n] * p[i + 1] for i in range(SPAN)]
+    full = sum(part[1:], part[0])
     for m, mask in enumerate(MASKS):
-        s = np.zeros(n, np.uint64)
+        s = full
         for i, c in enumerate(mask):
-            if c == "1":
-                s += h[i : i + n] * p[i + 1]
+            if c == "0":
+                s = s - part[i]
         out.append(mix(s ^ np.uint64(m + 1)))
     return out
 
@@ -57,13 +64,15 @@ class Block:
         seeds = _seeds(h)
         key = np.concatenate([s[starts] for s in seeds]) if len(starts) else np.zeros(0, np.uint64)
         order = np.argsort(key, kind="stable")
-        self.key, self.at = key[order], np.tile(starts, len(MASKS))[order]
-        self.row = np.tile(row, len(MASKS))[order]
-        self.map = np.zeros(1 << 22, bool)
-        self.map[self.key >> np.uint64(42)] = True
+        self.key, self.at = key[order], np.tile(starts.astype(np.int32), len(MASKS))[order]
+        self.row = np.tile(row.astype(np.int32), len(MASKS))[order]
+        bits = min(26, max(22, (8 * len(key)).bit_length()))
+        self.drop = np.uint64(64 - bits)
+        self.map = np.zeros(1 << bits, bool)
+        self.map[self.key >> self.drop] = True
         self.short: dict[int, dict[int, list[int]]] = {}
         for k, n in enumerate(np.diff(off)):
-            if min_short <= n < SPAN:
+            if min_short <= n < 12:
                 one = int(windows(h[off[k] : off[k + 1]], int(n))[0])
                 self.short.setdefault(int(n), {}).setdefault(one, []).append(k)
 
@@ -95,7 +104,7 @@ def _hits(block: Block, min_match: int, identity: float):
                 tried: set[tuple[int, int, int]] = set()
                 for s in _seeds(w.h) if len(starts) else []:
                     s = s[starts]
-                    near = np.flatnonzero(block.map[s >> np.uint64(42)])
+                    near = np.flatnonzero(block.map[s >> block.drop])
                     lo, hi = (np.searchsorted(block.key, s[near], side=x) for x in ("left", "right"))
                     for k, a, b in zip(near[lo < hi], lo[lo < hi], hi[lo < hi]):
                         d = int(row[k])
@@ -144,6 +153,8 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = 13, identit
     docs: doc_id, text; items: item_id, text. ``at`` is the stretch's first token in the document.
     Items are matched in blocks, so any number of them works; documents are never shuffled.
     """
+    if min_match < SPAN:
+        raise ValueError(f"min_match must be {SPAN} or more: the masks span {SPAN} tokens")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.lower(F.col("text").cast("string")).alias("text"))
     out = None

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,6 +295,29 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(x.doc_id, x.item_id) for x in got} == {(k, k) for k in range(5)}
 
 
+def planted(spark, pairs, **limits):
+    """Which items (passage, form in a document) are found in their documents, amid other words."""
+    r = random.Random(14)
+    texts = [(k, prose(r, 25, 10**6) + " " + t + " " + prose(r, 25, 10**6)) for k, (_, t) in enumerate(pairs)]
+    items = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(pairs)], "item_id long, text string")
+    return {(x.doc_id, x.item_id): x.n_match for x in decontam.contaminated(docs_of(spark, texts), items, **limits).collect()}
+
+
+def test_decontamination_meets_all_that_it_accepts(spark):
+    """Every k-th token substituted, and random places: what verification accepts on the true alignment is found."""
+    r, pairs, want = random.Random(15), [], {}
+    changes = [(n, set(range(at, n, k))) for n in (24, 36, 60) for k in (4, 5, 6) for at in range(k)]
+    changes += [(n, set(r.sample(range(n), c))) for n, c in ((18, 4), (18, 5), (24, 6), (30, 8)) for _ in range(25)]
+    for k, (n, gone) in enumerate(changes):
+        item = [f"i{k}x{j}" for j in range(n)]
+        form = ["subst" if j in gone else t for j, t in enumerate(item)]
+        pairs.append((" ".join(item), " ".join(form)))
+        got = decontam._verified(*(decontam._tokens(pa.array([t])).h for t in reversed(pairs[-1])), 0)
+        if got[0] >= 13 and got[0] >= 0.7 * got[1]:
+            want[k, k] = got[0]
+    assert len(want) > 60 and planted(spark, pairs) == want
+
+
 # ------------------------------------------------------------------ 6
 
 
