@@ -12,8 +12,9 @@ most one differs, and of the last nine at most two. Each mask ignores two of the
 from the end, at least one of them in 7 to 9: together all patterns that are possible.
 
 Tokens: lower-cased runs of letters, digits and non-ASCII characters. Defined results: a
-null or empty text or item hits nothing; items of less than 12 tokens are met whole and
-unchanged if they have ``min_short`` tokens, else never; repeated items hit each.
+null or empty text or item hits nothing; an item of less than ``min_match`` tokens is held
+whole against its alignment and needs ``min_short`` equal tokens and a share of ``identity`` of
+all its tokens (so of less than ``min_short`` tokens it never hits); repeated items hit each.
 """
 
 from __future__ import annotations
@@ -58,9 +59,11 @@ def _tokens(col, i=0, j=None):
 class Block:
     """Test items ready for lookup: a bitmap, sorted hashes, and where each stands."""
 
-    def __init__(self, ids: list[int], h: np.ndarray, off: np.ndarray, min_short: int):
+    def __init__(self, ids: list[int], h: np.ndarray, off: np.ndarray, min_match: int, identity: float, min_short: int):
         self.ids, self.h, self.off = ids, h, off
         starts, row = window_rows(off, SPAN)
+        long = np.diff(off)[row] >= min_match
+        starts, row = starts[long], row[long]
         seeds = _seeds(h)
         key = np.concatenate([s[starts] for s in seeds]) if len(starts) else np.zeros(0, np.uint64)
         order = np.argsort(key, kind="stable")
@@ -70,11 +73,42 @@ class Block:
         self.drop = np.uint64(64 - bits)
         self.map = np.zeros(1 << bits, bool)
         self.map[self.key >> self.drop] = True
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for k, n in enumerate(np.diff(off)):
-            if min_short <= n < 12:
-                one = int(windows(h[off[k] : off[k + 1]], int(n))[0])
-                self.short.setdefault(int(n), {}).setdefault(one, []).append(k)
+        # an item that may differ in e places is cut into e + 1 runs, one of which must be unchanged
+        runs: dict[int, list[tuple[int, int, int]]] = {}
+        self.need = np.maximum(min_short, np.ceil(identity * np.diff(off))).astype(np.int64)
+        for k, n in enumerate(np.diff(off).tolist()):
+            if 0 < n < min_match and self.need[k] <= n:
+                cut = [n * i // (n - int(self.need[k]) + 1) for i in range(n - int(self.need[k]) + 2)]
+                for x, y in zip(cut, cut[1:]):
+                    if y > x:
+                        runs.setdefault(y - x, []).append((int(windows(h[off[k] + x : off[k] + y], y - x)[0]), k, x))
+        self.runs = {}
+        for n, found in runs.items():
+            found.sort()
+            self.runs[n] = np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found]), np.array([f[2] for f in found])
+
+
+def _short_hits(block: Block, w: Words):
+    """(row, item, equal tokens, start in row) of items shorter than min_match, wherever a run of them stands."""
+    for n, (keys, items, at) in block.runs.items():
+        starts, row = window_rows(w.off, n)
+        h = windows(w.h, n)[starts] if len(starts) else np.zeros(0, np.uint64)
+        lo, hi = (np.searchsorted(keys, h, side=x) for x in ("left", "right"))
+        met = np.flatnonzero(lo < hi)
+        total = np.cumsum((hi - lo)[met])
+        for part in np.split(met, np.flatnonzero(np.diff(total // 1_000_000)) + 1):
+            many = (hi - lo)[part]
+            k = np.repeat(part, many)
+            e = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + lo[k]
+            item, d, first = items[e], row[k], starts[k] - at[e]
+            size = np.diff(block.off)[item]
+            same = np.zeros(len(k), np.int64)
+            for j in range(int(size.max(initial=0))):
+                x = first + j
+                ok = (j < size) & (x >= w.off[d]) & (x < w.off[d + 1])
+                same[ok] += w.h[x[ok]] == block.h[block.off[item[ok]] + j]
+            good = same >= block.need[item]
+            yield from zip(d[good].tolist(), item[good].tolist(), same[good].tolist(), (first - w.off[d])[good].tolist())
 
 
 def _verified(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -116,14 +150,9 @@ def _hits(block: Block, min_match: int, identity: float):
                                 got = _verified(w.h[w.off[d] : w.off[d + 1]], block.h[block.off[item] : block.off[item + 1]], shift)
                                 if got[0] >= min_match and got[0] >= identity * got[1]:
                                     best[d, item] = max(best.get((d, item), got), got)
-                for n, known in block.short.items():
-                    starts, row = window_rows(w.off, n)
-                    if len(starts):
-                        h = windows(w.h, n)[starts]
-                        for k in np.flatnonzero(np.isin(h, np.fromiter(known, np.uint64))):
-                            d = int(row[k])
-                            for item in known[int(h[k])]:
-                                best.setdefault((d, item), (n, n, int(starts[k] - w.off[d])))
+                for d, item, same, at in _short_hits(block, w):
+                    got = same, int(block.off[item + 1] - block.off[item]), max(at, 0)
+                    best[d, item] = max(best.get((d, item), got), got)
                 if best:
                     rows = [(ids[d + i], block.ids[item], *v) for (d, item), v in sorted(best.items())]
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -132,7 +161,7 @@ def _hits(block: Block, min_match: int, identity: float):
     return run
 
 
-def _blocks(items: DataFrame, min_short: int):
+def _blocks(items: DataFrame, *limits):
     """Blocks of whole items, each of bounded size, streamed from the items' partitions."""
     ids, parts, tokens = [], [], 0
     for r in items.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).toLocalIterator():
@@ -141,10 +170,10 @@ def _blocks(items: DataFrame, min_short: int):
         parts.append(h)
         tokens += len(h)
         if tokens >= BLOCK_TOKENS:
-            yield Block(ids, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), min_short)
+            yield Block(ids, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), *limits)
             ids, parts, tokens = [], [], 0
     if ids:
-        yield Block(ids, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), min_short)
+        yield Block(ids, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), *limits)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, min_match: int = 13, identity: float = 0.7, min_short: int = 8) -> DataFrame:
@@ -158,7 +187,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = 13, identit
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.lower(F.col("text").cast("string")).alias("text"))
     out = None
-    for block in _blocks(items, min_short):
+    for block in _blocks(items, min_match, identity, min_short):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):

@@ -318,6 +318,22 @@ def test_decontamination_meets_all_that_it_accepts(spark):
     assert len(want) > 60 and planted(spark, pairs) == want
 
 
+def test_decontamination_of_short_items(spark):
+    """All lengths from min_short to min_match, unchanged and with as many substitutions as a hit may have."""
+    r, pairs, want = random.Random(16), [], {}
+    for n in range(6, 16):
+        for c in (0, 0, 1, 2, 3, 4):
+            item = [f"s{len(pairs)}x{j}" for j in range(n)]
+            gone = set(r.sample(range(n), c))
+            if n < 13 and n - c >= 8 and n - c >= 0.7 * n:
+                want[len(pairs), len(pairs)] = n - c
+            if n >= 13 and c == 0:
+                want[len(pairs), len(pairs)] = n
+            if n < 13 or c == 0:
+                pairs.append((" ".join(item), " ".join("subst" if j in gone else t for j, t in enumerate(item))))
+    assert {n for n in want.values()} == set(range(8, 16)) and planted(spark, pairs) == want
+
+
 # ------------------------------------------------------------------ 6
 
 
