@@ -29,8 +29,16 @@ from .common import map_batches
 NEAR, FAR, WORDS, MORE = 96, 160, 16, 12
 INPUT, HIDDEN = NEAR + FAR + WORDS + MORE, 24
 
+_IN_TAG = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: Dropped with their content: raw text (to the end of the page where unclosed), a head as far as HTML lets it reach
+#: (its end tag may be left out), a self-closed svg alone, and closed elements. An unclosed one loses only its tag.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|template|svg|iframe|object|noscript|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|$)"
+    rf"|<(?P<raw>script|style|iframe|noscript)\b{_IN_TAG}>.*?(?:</(?P=raw)\s*>|$)"
+    rf"|<head(?=[\s/>]){_IN_TAG}>(?:\s|<!--.*?(?:-->|$)|<(?:meta|link|base)\b{_IN_TAG}>|<(?P<part>title|script|style|noscript|template)\b{_IN_TAG}>.*?(?:</(?P=part)\s*>|$))*+(?:</head\s*>)?"
+    rf"|<svg\b{_IN_TAG}(?<=/)>"
+    rf"|<(?P<pair>template|svg|object)\b{_IN_TAG}>.*?</(?P=pair)\s*>"
+    rf"|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_IN_TAG})>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(class|id|role|data-y|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -74,22 +82,22 @@ def blocks(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m["tag"]
         if not tag:
             if m[0][:9].upper() == "<![CDATA[":
                 add(html.escape(m[0][9:-3]))
-            elif m[1]:
+            elif m[0][1] not in "!?":
                 parts.append(" ")
             continue
         tag = tag.lower()
         if tag == "a":
-            state["in_a"] = 0 if m[2] else 1
+            state["in_a"] = 0 if m["end"] else 1
         if tag in _INLINE:
             if tag == "br":
                 parts.append(" ")
             continue
         flush()
-        if m[2]:
+        if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -98,10 +106,10 @@ def blocks(page: str) -> list[Block]:
         else:
             while stack and stack[-1][0] in _CLOSES.get(tag, {"p"}):
                 stack.pop()
-            if tag in _VOID or m[4].endswith("/"):
+            if tag in _VOID or m["attrs"].endswith("/"):
                 continue
             names, y = [], None
-            for a in _ATTR.finditer(m[4]) if m[4] else ():
+            for a in _ATTR.finditer(m["attrs"]) if m["attrs"] else ():
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key == "data-y":
                     y = value

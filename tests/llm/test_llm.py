@@ -379,6 +379,14 @@ def test_html_extraction(spark):
     assert got[2].text == got[3].text == "" and all(x.n_chars == len(x.text) for x in got.values())
 
 
+@pytest.mark.parametrize("old, new", [("</head>", ""), ("</head><body>", ""), ("<article>", "<article><svg width='1' />"), ("<p>Two", "<svg/><p>Two"), ("<h1>", "<object data=x><h1>")])
+def test_html_tags_left_open_lose_no_text(old, new):
+    page = "<html><head><meta charset=utf-8><title>T</title><style>p {}</style></head><body><nav>Home</nav><article><h1>One</h1><p>Two, or <svg><text>no</text></svg>three.</article><script>x</script></body></html>"
+    want = [b.text for b in html_extract.blocks(page)]
+    assert want == ["Home", "One", "Two, or three."]
+    assert [b.text for b in html_extract.blocks(page.replace(old, new))] == want
+
+
 def test_html_held_out_pages():
     net = html_extract.labeller()
     seqs = [html_extract.blocks(html_extract.generated(10**9 + k)) for k in range(150)]
