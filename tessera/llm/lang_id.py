@@ -1,6 +1,6 @@
 """Language identification by nearest centroid.
 
-A text is its normalised TF-IDF vector of hashed 1- to 3-grams of UTF-8 bytes (ASCII letters
+A text is its normalised TF-IDF vector of hashed 2- and 3-grams of UTF-8 bytes (ASCII letters
 lower-cased, digits, punctuation and white space as one space). Each language has several
 centroids from spherical k-means over a bounded sample; the nearest by cosine gives the
 language, and a text further from it than nearly all of the language's own sample is
