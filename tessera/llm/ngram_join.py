@@ -9,10 +9,14 @@ ones (cut into groups by hash) by pairs of tokens of a group. A group that shows
 in the prefix adds g - 1 to the length that is needed, not g, and every pair of sets above
 the threshold still shares a token or a pair. Pairs met are verified exactly.
 
-What is done in place of all pairs of a list: every set is verified against the list's
-least one; linked sets are united; then only pairs of the list that still lie in different
-components are verified. So components are exact while large groups of copies cost a
-number of verifications in proportion to their size.
+What is done in place of all pairs of a list: every set is verified against the list's pivot,
+the member with the smallest share of tokens that no other set holds, and linked sets are
+united. Members that no partner of the list can match leave it: two sets of m and n tokens
+need an overlap of 4/9 (m + n), and neither can overlap in more tokens than it has in common
+with any other set. Lists that still hold several components get new pivots, as long as the
+open pairs are many; then every pair that still lies in different components is verified, in
+blocks. So components are exact while large groups of copies cost a number of verifications
+in proportion to their size.
 
 Before that, sets without a possible partner leave: of the first 2p tokens by hash order
 (p: the plain prefix length) at least about p must occur in another set.
@@ -24,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import LOWER, Words, chunks, discard, map_batches, mix, signed, text_buffers, window_rows, windows, written
 from .components import components
@@ -33,6 +36,11 @@ from .components import components
 FREQUENT = 24
 #: Frequent tokens that a group is meant to show in a prefix.
 GROUP = 6
+#: Open pairs for each member of open lists up to which all pairs are verified; where more are left, lists get new pivots
+#: as long as that halves them.
+OPEN_PAIRS = 8
+#: Members of a list that one block holds when it meets the whole list.
+BLOCK = 256
 
 
 def need(n, p: int = 4, q: int = 5):
@@ -122,23 +130,23 @@ def _signatures(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _signed_rows(batches):
-    """(s, doc_id, n) of sets given as doc_id, tokens, and t, c: those that others hold, and how often."""
+    """(s, doc_id, n, held) of sets given as doc_id, tokens, and t, c: those that others hold, and how often."""
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        rows: list[tuple[np.ndarray, int, int]] = []
+        rows: list[tuple[np.ndarray, int, int, int]] = []
         size = 0
 
         def out(rows):
             s = np.concatenate([r[0] for r in rows])
-            d, n = (np.repeat([r[k] for r in rows], [len(r[0]) for r in rows]) for k in (1, 2))
-            return pa.RecordBatch.from_arrays([pa.array(signed(s)), pa.array(d), pa.array(n)], names=["s", "doc_id", "n"])
+            rest = [pa.array(np.repeat([r[k] for r in rows], [len(r[0]) for r in rows])) for k in (1, 2, 3)]
+            return pa.RecordBatch.from_arrays([pa.array(signed(s)), *rest], names=["s", "doc_id", "n", "held"])
 
         for d in range(len(ids)):
             tokens, t, c = (batch.column(k)[d].values.to_numpy(zero_copy_only=False) for k in (1, 2, 3))
             tokens = tokens.view(np.uint64)
             counts = np.ones(len(tokens), np.int64)
             counts[np.searchsorted(tokens, t.view(np.uint64))] = c
-            rows.append((_signatures(tokens, counts), ids[d], len(tokens)))
+            rows.append((_signatures(tokens, counts), ids[d], len(tokens), len(t)))
             size += len(rows[-1][0])
             if size > 50_000:
                 yield out(rows)
@@ -166,8 +174,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _alike(p, q), "a long, b long")
 
 
-def _near(a: str, b: str, p: int, q: int) -> str:
-    return f"least({a}, {b}) * {q} >= greatest({a}, {b}) * {p}"
+def _possible(p: int, q: int, *names: str) -> str:
+    """Whether two sets, by names of their sizes and of their tokens held by others, can have similarity p/q."""
+    na, ha, nb, hb = names
+    return f"least({na}, {nb}) * {q} >= greatest({na}, {nb}) * {p} AND ({na} + {nb}) * {p} <= {p + q} * least({ha}, {hb})"
 
 
 def links(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -177,38 +187,102 @@ def links(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5) -> tuple[Da
     keys = written(map_batches(rows, _sets(shingle, "keys"), "doc_id long, n long, k1 long, k2 long"), "keys")
     reps = keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     reps = written(reps, "reps")
-    member = keys.join(reps, ["k1", "k2", "n"], "left").select("doc_id", "n", "rep")
+    member = written(keys.join(reps, ["k1", "k2", "n"], "left").select("doc_id", "n", "rep"), "member")
+    discard(keys)
+    live = _live(rows, reps, shingle, p, q)
+    discard(reps)
+    sig = _lists(live, p, q)
+    all_ = sig.withColumns({"root": F.col("doc_id"), "big": F.lit(None).cast("long")})
+    found, last = _star(all_, live, p, q, 1 - F.col("held") / F.col("n")), None
+    while True:
+        open_, pairs, members = _open(sig, found, p, q)
+        if pairs <= OPEN_PAIRS * members or (last is not None and 2 * pairs > last):
+            break
+        last = pairs
+        found = written(found.unionByName(_star(open_, live, p, q, F.xxhash64(F.lit(pairs), "doc_id"))), "links")
+        discard(open_)
+    rest = written(_verified(_across(open_, p, q), live, p, q), "rest")
+    for x in (open_, sig, live):
+        discard(x)
+    # a doc_id of several rows with different sets is one document
+    each = member.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
+    same = member.join(each.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a < b")
+    return member, found.unionByName(rest).unionByName(same)
+
+
+def _live(rows: DataFrame, reps: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
+    """(doc_id, k1, n, tokens) of one row for each set that may have a partner."""
     head = map_batches(rows.where("text IS NOT NULL AND doc_id IS NOT NULL"), _sets(shingle, "head"), "doc_id long, n long, k1 long, k2 long, tokens array<long>")
-    w = Window.partitionBy("t")
-    head = head.select("k1", F.explode("tokens").alias("t"))
-    shared = head.select("k1", "t", (F.min("k1").over(w) != F.max("k1").over(w)).alias("c")).where("c").select("t", "k1").distinct()
-    n_shared = shared.groupBy("k1").agg(F.count("*").alias("c"))
+    head = written(head.select("k1", "tokens"), "head")
+    each = head.select("k1", F.explode("tokens").alias("t"))
+    twice = each.groupBy("t").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("t")
+    twice = written(twice, "twice")
+    n_shared = each.join(twice, "t", "left_semi").distinct().groupBy("k1").agg(F.count("*").alias("c"))
     # a partner may be as small as need(n), whose own head guarantees p(need(n)) shared tokens
     least = F.ceil(F.col("n") * p / q).cast("long")
     least = least - F.ceil(least * p / q).cast("long") + 1
     ids = written(reps.join(n_shared, "k1").where(F.col("c") >= least).select(F.col("rep").alias("doc_id"), "k1", "k2"), "possible")
-    some = rows.where("text IS NOT NULL").join(ids.select("doc_id"), "doc_id", "left_semi")
+    discard(head)
+    discard(twice)
+    some = rows.where("text IS NOT NULL").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
     live = map_batches(some, _sets(shingle, "all"), "doc_id long, n long, k1 long, k2 long, tokens array<long>")
-    live = written(live.join(ids, ["doc_id", "k1", "k2"], "left_semi").select("doc_id", "n", "tokens").dropDuplicates(["doc_id"]), "live")
-    each = live.select("doc_id", F.explode("tokens").alias("t"))
+    live = live.join(ids, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+    live = written(live.select("doc_id", "k1", "n", "tokens"), "live")
+    discard(ids)
+    return live
+
+
+def _lists(live: DataFrame, p: int, q: int) -> DataFrame:
+    """(s, doc_id, n, held): the signatures that more than one set shows, with the tokens of a set that others hold."""
+    each = live.select("doc_id", "k1", F.explode("tokens").alias("t"))
     count = each.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    known = each.join(count, "t").groupBy("doc_id").agg(F.collect_list(F.struct("t", "c")).alias("tc"))
-    known = live.join(known, "doc_id").select("doc_id", "tokens", F.col("tc.t").alias("t"), F.col("tc.c").alias("c"))
-    sig = written(map_batches(known, _signed_rows, "s long, doc_id long, n long"), "signatures")
-    first = sig.groupBy("s").agg(F.min(F.struct("doc_id", "n")).alias("rep"), F.count("*").alias("m")).where("m > 1").select("s", "rep")
-    members = written(sig.join(first, "s"), "lists")
-    discard(sig)
-    star = members.where("doc_id <> rep.doc_id AND " + _near("n", "rep.n", p, q)).select(F.col("rep.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = written(star, "star")
-    found = written(_verified(star, live, p, q), "links")
+    known = each.join(count, "t").groupBy("doc_id", "k1").agg(F.collect_list(F.struct("t", "c")).alias("tc"))
+    known = live.join(known, ["doc_id", "k1"]).where(F.size("tc") * q >= F.col("n") * p)
+    known = known.select("doc_id", "tokens", F.col("tc.t").alias("t"), F.col("tc.c").alias("c"))
+    all_ = written(map_batches(known, _signed_rows, "s long, doc_id long, n long, held long"), "signatures")
+    lists = all_.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("s")
+    sig = written(all_.join(lists, "s", "left_semi"), "lists")
+    discard(all_)
+    return sig
+
+
+def _star(members: DataFrame, live: DataFrame, p: int, q: int, first) -> DataFrame:
+    """Verified links between each list's pivot and its members of other components. The pivot is the first
+    by ``first`` outside the list's largest component ``big``."""
+    pivot = F.min(F.struct(first.alias("first"), "doc_id", "n", "held", "root")).alias("v")
+    pivot = members.where("big IS NULL OR root <> big").groupBy("s").agg(pivot)
+    pairs = members.join(pivot, "s").where("doc_id <> v.doc_id AND root <> v.root AND " + _possible(p, q, "n", "held", "v.n", "v.held"))
+    pairs = written(pairs.select(F.least("doc_id", "v.doc_id").alias("a"), F.greatest("doc_id", "v.doc_id").alias("b")).distinct(), "star")
+    found = written(_verified(pairs, live, p, q).distinct(), "links")
+    discard(pairs)
+    return found
+
+
+def _open(sig: DataFrame, found: DataFrame, p: int, q: int) -> tuple[DataFrame, int, int]:
+    """The lists that still hold several components, as (s, doc_id, n, held, root, m, big), without the members
+    that no partner there can match; the pairs of different components among them; and the members."""
     comp = components(found)
-    named = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("s", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    split = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
-    open_ = written(named.join(split, "s"), "open")
-    a = open_.select("s", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    b = open_.select("s", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    cross = a.join(b, "s").where("a < b AND ra <> rb AND " + _near("na", "nb", p, q)).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    return member, found.unionByName(_verified(written(cross, "cross"), live, p, q))
+    named = sig.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    of = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).where("lo < hi")
+    able = f"(n + greatest(least, ceil(n * {p} / {q}))) * {p} <= {p + q} * held"
+    some = written(named.join(of.select("s", "least"), "s").where(able).select("s", "doc_id", "n", "held", "root"), "able")
+    each = some.groupBy("s", "root").agg(F.count("*").alias("k"))
+    of = each.groupBy("s").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.count("*").alias("roots"), F.max_by("root", "k").alias("big"))
+    of = written(of.where("roots > 1"), "of")
+    pairs, members = of.agg(F.sum((F.col("m") * F.col("m") - F.col("k2")) / 2), F.sum("m")).first()
+    open_ = written(some.join(of.select("s", "m", "big"), "s"), "open")
+    for x in (comp, some, of):
+        discard(x)
+    return open_, int(pairs or 0), int(members or 0)
+
+
+def _across(open_: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) of a list in different components; a block of members against all, so a long list is the work of many tasks."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    x = open_.select("s", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "held", "root")])
+    y = open_.select("s", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "held", "root")])
+    pairs = x.join(y, ["s", "block"]).where("doc_id_a < doc_id_b AND root_a <> root_b AND " + _possible(p, q, "n_a", "held_a", "n_b", "held_b"))
+    return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -216,12 +290,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     Two documents link when their shingle sets have Jaccard similarity 0.8 or more. Null and
     wordless texts have the empty set and link with nothing; a null doc_id links with nothing and
-    has a null component; repeated rows of one doc_id share its component.
+    has a null component; repeated rows of one doc_id are one document, which has the links of all
+    their texts (n_shingles is each row's own).
     """
     member, found = links(docs, shingle)
     comp = components(found)
-    out = member.join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+    of = member.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    of = of.join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
+    out = member.select("doc_id", "n").join(of, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
