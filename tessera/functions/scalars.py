@@ -15,9 +15,14 @@ def byte_length(c) -> Column:
     return F.octet_length(c).cast("long")
 
 
+def base64_line(c) -> Column:
+    """Base64 on one line; Spark breaks lines after 76 characters."""
+    return F.translate(F.base64(F.encode(c, "UTF-8")), "\r\n", "")
+
+
 def url_slug(c) -> Column:
-    """URL-safe base64 without padding."""
-    return F.rtrim(F.translate(F.base64(F.encode(c, "UTF-8")), "+/", "-_"), F.lit("="))
+    """URL-safe base64 without padding, on one line."""
+    return F.translate(F.base64(F.encode(c, "UTF-8")), "+/=\r\n", "-_")
 
 
 def from_url_slug(c) -> Column:
@@ -83,3 +88,24 @@ def mode_kind(octal: Column) -> Column:
 def parent_dir(path: Column) -> Column:
     """Everything before the last slash; empty for a top-level path."""
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
+def pack_header(kind: Column, size: Column) -> Column:
+    """Binary header of a pack entry: kind and the low 4 bits of the size, then 7 bits a byte; bit 7: more follow."""
+    rest = F.shiftrightunsigned(size.cast("long"), 4)
+    groups = F.filter(F.sequence(F.lit(0), F.lit(8)), lambda i: (i == 0) | (F.call_function("shiftrightunsigned", rest, (7 * i).cast("int")) > 0))
+    groups = F.when(rest > 0, groups).otherwise(F.array().cast("array<int>"))
+    byte = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
+    first = byte(kind * 16 + F.pmod(size, F.lit(16)) + F.when(rest > 0, 128).otherwise(0))
+    more = F.transform(groups, lambda g, i: byte(F.call_function("shiftrightunsigned", rest, (7 * g).cast("int")).bitwiseAND(F.lit(127)) + F.when(i + 1 < F.size(groups), 128).otherwise(0)))
+    return F.unhex(F.concat(first, F.array_join(more, "")))
+
+
+def read_pack_header(b: Column) -> Column:
+    """struct(kind, size) of a pack entry that begins with its header; null where it is cut off or above 60 bits."""
+    at = lambda i: F.conv(F.hex(F.substring(b, i, F.lit(1))), 16, 10).cast("long")
+    head = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.octet_length(b), F.lit(9)), F.lit(1))), at)
+    last = F.array_position(F.transform(head, lambda x: x < 128), True).cast("int")
+    size = lambda h: F.aggregate(F.transform(F.slice(h, 2, last - 1), lambda x, i: F.call_function("shiftleft", x.bitwiseAND(F.lit(127)), (4 + 7 * i).cast("int"))), h[0].bitwiseAND(F.lit(15)), lambda a, x: a + x)
+    kind = F.shiftright(head[0], 4).bitwiseAND(F.lit(7)).cast("int")
+    return F.when((F.octet_length(b) > 0) & (last > 0), F.struct(kind.alias("kind"), size(head).alias("size")))

@@ -66,27 +66,3 @@ def zstd_lengths(df: DataFrame, key: str, content: str, level: int = 3) -> DataF
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, content).mapInPandas(run, f"`{key}` {kind}, raw_len bigint, compressed_len bigint, same boolean")
-
-
-def varint_header(df: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, kind, size): pack-entry headers, the size in little-endian groups (4 bits, then 7 each)."""
-
-    def read(b: bytes) -> tuple[int | None, int | None]:
-        if not b:
-            return None, None
-        kind, size, shift, k = b[0] >> 4 & 7, b[0] & 15, 4, 0
-        while b[k] & 128:
-            k += 1
-            if k >= len(b) or shift > 57:
-                return None, None
-            size |= (b[k] & 127) << shift
-            shift += 7
-        return kind, size
-
-    def run(batches):
-        for pdf in batches:
-            got = [read(bytes(c) if c is not None else b"") for c in pdf[content]]
-            yield pd.DataFrame({key: pdf[key], "kind": pd.array([g[0] for g in got], "Int32"), "size": pd.array([g[1] for g in got], "Int64")})
-
-    kt = df.schema[key].dataType.simpleString()
-    return df.select(key, content).mapInPandas(run, f"`{key}` {kt}, kind int, size bigint")

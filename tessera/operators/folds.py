@@ -1,7 +1,7 @@
 """Ordered folds: computations whose state resets on the data, which no window frame expresses.
 
 Each is per group, in a total order, in an Arrow-fed worker; a group is one repository's or
-key's sequence. Folds over one global sequence first cut it where the state is known.
+key's sequence. The state at a row depends on all rows before it, so one group is one task's stream.
 """
 
 from __future__ import annotations
@@ -9,30 +9,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable, column: str, kind: str) -> DataFrame:
-    """Add ``column``: for each row in order, the value that step(state, row) -> (state, value) gives.
+def ordered_fold(df: DataFrame, key: str, order: list[str], needs: list[str], start: Callable[[], object], step: Callable, column: str, kind: str) -> DataFrame:
+    """Add ``column``: for each row in order, the value that step(state, *needs) -> (state, value) gives.
 
     Rows are dealt and sorted by key and order; a task streams over its rows and starts a new state where
-    the key changes, so no group is ever held in memory.
+    the key changes, so no group is ever held in memory. Missing values are None.
     """
 
     def run(batches):
         last, state, fresh = None, None, True
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for k, row in zip(pdf[key], pdf.itertuples(index=False)):
+            for k, *values in zip(batch.column(key).to_pylist(), *[batch.column(c).to_pylist() for c in needs]):
                 if fresh or k != last:
                     last, state, fresh = k, start(), False
-                state, value = step(state, row)
+                state, value = step(state, *values)
                 out.append(value)
-            yield pdf.assign(**{column: out})
+            yield batch.append_column(column, pa.array(out, pa.bool_() if kind == "boolean" else pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{column}` {kind}"
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def greedy_batches(df: DataFrame, key: str, order: str, size: str, target: int, early: bool = False, breaker: str | None = None) -> DataFrame:
@@ -42,29 +43,27 @@ def greedy_batches(df: DataFrame, key: str, order: str, size: str, target: int,
     closes it too. An item above the target stands alone.
     """
 
-    def step(state, row):
+    def step(state, n, mark=None):
         batch, total, last = state
-        n, mark = int(getattr(row, size)), getattr(row, breaker) if breaker else None
         if total is not None and (total + n > target or (early and total >= target) or (breaker and mark != last)):
             batch, total = batch + 1, None
         return (batch, (total or 0) + n, mark), batch
 
-    return ordered_fold(df, key, [order], lambda: (0, None, None), step, "batch", "bigint")
+    return ordered_fold(df, key, [order], [size, breaker] if breaker else [size], lambda: (0, None, None), step, "batch", "bigint")
 
 
-def token_bucket(df: DataFrame, key: str, at: str, tie: str, rate: float, burst: int, whole: bool = True) -> DataFrame:
-    """Add ``allowed``. whole: the refill truncates to integers and restamps on every call (so frequent
-    calls can starve it, which is kept on purpose); else it is fractional."""
+def token_bucket(df: DataFrame, key: str, at: str, tie: str, seconds: int, burst: int, whole: bool = True) -> DataFrame:
+    """Add ``allowed``: a token comes every ``seconds``. whole: the refill truncates to integers and restamps on every
+    call (so frequent calls can starve it, which is kept on purpose); else it is fractional."""
 
-    def step(state, row):
+    def step(state, now):
         tokens, last = state
-        now = int(getattr(row, at))
-        gain = 0 if last is None else max(0, now - last) * rate
-        tokens = min(burst, tokens + (int(gain) if whole else gain))
+        passed = 0 if last is None else max(0, now - last)
+        tokens = min(burst, tokens + (passed // seconds if whole else passed / seconds))
         ok = tokens >= 1
         return (tokens - ok, now), bool(ok)
 
-    return ordered_fold(df, key, [at, tie], lambda: (burst, None), step, "allowed", "boolean")
+    return ordered_fold(df, key, [at, tie], [at], lambda: (burst, None), step, "allowed", "boolean")
 
 
 def newest_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -75,20 +74,16 @@ def newest_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     smaller. Needs columns commit_id, generation, synced_at. The rule is not a maximum: it depends on arrival.
     """
 
-    def none(x):
-        return x is None or x != x
-
-    def step(old, row):
-        new = (row.commit_id, row.generation, row.synced_at)
-        if old is None or old[0] == new[0]:
+    def step(old, commit, generation, synced):
+        if old is None or old[0] == commit:
             ok = True
-        elif not none(old[1]) and not none(new[1]):
-            ok = new[1] >= old[1]
+        elif old[1] is not None and generation is not None:
+            ok = generation >= old[1]
         else:
-            ok = (0 if none(new[2]) else new[2]) >= (0 if none(old[2]) else old[2])
-        return (new if ok else old), bool(ok)
+            ok = (synced or 0) >= (old[2] or 0)
+        return ((commit, generation, synced) if ok else old), ok
 
-    return ordered_fold(df, key, [order], lambda: None, step, "lands", "boolean")
+    return ordered_fold(df, key, [order], ["commit_id", "generation", "synced_at"], lambda: None, step, "lands", "boolean")
 
 
 def compact_levels(levels: list[int], most: int) -> list[int]:

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.streaming.sink import shared_folder
+
 
 def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, node, depth): nodes reachable from each root (itself at depth 0), each at its least depth.
 
-    edges: src, dst. Each round joins only the newest nodes and leaves those already known. Lineage is
-    cut by checkpoints in the folder of spark.checkpoint.dir where one is set.
+    edges: src, dst. Each round joins only the newest nodes and leaves those already known. Each round's
+    nodes are checkpointed in the shared folder.
     """
     step = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
     seen, k = step, 0
-    can = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    spark = edges.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     while depth is None or k < depth:
         k += 1
         new = step.join(edges, step["node"] == edges["src"]).select("root", F.col("dst").alias("node"), F.lit(k).alias("depth")).distinct()
         step = new.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        step = step.checkpoint() if can else step.cache()
+        step = step.checkpoint()
         if step.isEmpty():
             break
         seen = seen.unionByName(step)

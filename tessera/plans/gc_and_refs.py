@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.operators import folds
 
@@ -128,7 +127,16 @@ def writes(t):
     )
 
 
-@query("a06b_newest_wins_fold")
+@query(
+    "a06b_newest_wins_fold",
+    """WITH RECURSIVE w AS (SELECT o_custkey || '/' || o_orderpriority AS ref, o_orderkey AS arrival, (o_orderkey % 50)::VARCHAR AS c, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 17 END AS gen, epoch(o_orderdate)::BIGINT AS tm,
+      row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS rn FROM orders),
+    g AS (SELECT ref, rn, c, gen, tm, 1::BIGINT AS landed FROM w WHERE rn = 1 UNION ALL
+      SELECT ref, rn, CASE WHEN ok THEN nc ELSE c END, CASE WHEN ok THEN ngen ELSE gen END, CASE WHEN ok THEN ntm ELSE tm END, landed + CASE WHEN ok THEN 1 ELSE 0 END FROM (
+        SELECT g.ref, w.rn, g.c, g.gen, g.tm, g.landed, w.c AS nc, w.gen AS ngen, w.tm AS ntm,
+          CASE WHEN g.c = w.c THEN true WHEN g.gen IS NOT NULL AND w.gen IS NOT NULL THEN w.gen >= g.gen ELSE w.tm >= g.tm END AS ok FROM g JOIN w ON w.ref = g.ref AND w.rn = g.rn + 1))
+    SELECT ref, arg_max(c, rn) AS commit_id, max(landed) AS landed FROM g GROUP BY 1""",
+)
 def a06b(t):
     """The general rule, in order of arrival: what is stored for each ref in the end."""
     landed = folds.newest_wins(writes(t), "ref", "arrival").where("lands")
@@ -144,8 +152,7 @@ def j16(t):
 
 @query("w13_first_complete", "SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def w13(t):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return t.orders.where("o_orderstatus = 'F'").withColumn("r", F.row_number().over(w)).where("r = 1").select("o_custkey", _C("o_orderkey").alias("first"))
+    return t.orders.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
 
 
 @query("j19_added_repos_only", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")

@@ -158,14 +158,21 @@ def calls(t):
     return t.events.select("event_id", "user_id", F.unix_timestamp(_C("ts").cast("timestamp")).alias("at"))
 
 
-@query("x09_token_bucket")
+_BUCKET = """WITH RECURSIVE e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS tm, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS rn FROM events),
+    g AS (SELECT event_id, user_id, tm, rn, {burst} - 1 AS tokens, true AS allowed FROM e WHERE rn = 1 UNION ALL
+      SELECT event_id, user_id, tm, rn, CASE WHEN have >= 1 THEN have - 1 ELSE have END, have >= 1 FROM (
+        SELECT e.event_id, e.user_id, e.tm, e.rn, least({burst}, g.tokens + {gain}) AS have FROM g JOIN e ON e.user_id = g.user_id AND e.rn = g.rn + 1))
+    SELECT event_id, allowed FROM g"""
+
+
+@query("x09_token_bucket", _BUCKET.format(burst="3::BIGINT", gain="(e.tm - g.tm) // 3600"))
 def x09(t):
-    return folds.token_bucket(calls(t), "user_id", "at", "event_id", 1 / 3600, 3).select("event_id", "allowed")
+    return folds.token_bucket(calls(t), "user_id", "at", "event_id", 3600, 3).select("event_id", "allowed")
 
 
-@query("x18_bandwidth_bucket")
+@query("x18_bandwidth_bucket", _BUCKET.format(burst="2::DOUBLE", gain="(e.tm - g.tm) / 7200::DOUBLE"))
 def x18(t):
-    return folds.token_bucket(calls(t), "user_id", "at", "event_id", 1 / 7200, 2, whole=False).select("event_id", "allowed")
+    return folds.token_bucket(calls(t), "user_id", "at", "event_id", 7200, 2, whole=False).select("event_id", "allowed")
 
 
 @query("x11_freshness_checks", f"WITH j AS ({_JOBS}) SELECT id, row_number() OVER (PARTITION BY key ORDER BY id) <= 3 AS checked FROM j")

@@ -35,7 +35,7 @@ def f04(t):
 
 @query("f05_credential_codec", "SELECT page_id, base64(encode(url)) AS enc, CASE WHEN page_id % 3 = 0 THEN NULL ELSE url END AS dec FROM pages")
 def f05(t):
-    enc = F.base64(F.encode("url", "UTF-8"))
+    enc = f.base64_line("url")
     sent = F.when(_C("page_id") % 3 == 0, F.concat(F.lit("*"), enc)).otherwise(enc)
     return t.pages.select("page_id", enc.alias("enc"), f.decode_or_null(sent).alias("dec"))
 
@@ -141,9 +141,9 @@ def f17(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("f21_help_escape", r"SELECT doc_id, replace(replace(left(text, 200), '\', '\\'), chr(10), '\n') AS help FROM documents")
+@query("f21_help_escape", r"SELECT doc_id, replace(replace(text, '\', '\\'), chr(10), '\n') AS help FROM documents")
 def f21(t):
-    x = F.replace(F.left("text", F.lit(200)), F.lit("\\"), F.lit("\\\\"))
+    x = F.replace("text", F.lit("\\"), F.lit("\\\\"))
     return t.documents.select("doc_id", F.replace(x, F.lit("\n"), F.lit("\\n")).alias("help"))
 
 

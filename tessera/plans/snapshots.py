@@ -54,11 +54,20 @@ _FRAMES = f"SELECT i AS frame, i * {WIDTH} AS fs, least((i + 1) * {WIDTH}, total
 
 
 def frames(p):
-    """Fixed-width frames over a stream: frame, fs, fe."""
+    """Fixed-width frames over a stream (start, len): frame, fs, fe and ``key`` columns of the file that each begins in."""
     total = p.agg(F.sum("len").alias("total"))
-    return total.select(F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total + {WIDTH - 1}) div {WIDTH} - 1"))).alias("frame"), "total").select(
-        "frame", (_C("frame") * WIDTH).alias("fs"), F.least((_C("frame") + 1) * WIDTH, "total").alias("fe")
-    )
+    begun = F.sequence(F.expr(f"(start + {WIDTH - 1}) div {WIDTH}"), F.expr(f"(start + len - 1) div {WIDTH}"))
+    rows = p.where(f"len > 0 AND (start + {WIDTH - 1}) div {WIDTH} <= (start + len - 1) div {WIDTH}").withColumn("frame", F.explode(begun))
+    ends = {"fs": _C("frame") * WIDTH, "fe": F.least((_C("frame") + 1) * WIDTH, "total")}
+    return rows.join(F.broadcast(total)).withColumns(ends).drop("total")  # one row
+
+
+def fragments(p):
+    """Overlaps of the files of a stream (start, len > 0) with fixed-width frames, by arithmetic: adds frame, frame_offset, raw_len."""
+    touched = F.sequence(F.expr(f"start div {WIDTH}"), F.expr(f"(start + len - 1) div {WIDTH}"))
+    rows = p.where("len > 0").withColumn("frame", F.explode(touched)).withColumn("fs", _C("frame") * WIDTH)
+    at, end = F.greatest("start", "fs"), F.least(_C("start") + _C("len"), _C("fs") + WIDTH)
+    return rows.withColumns({"frame_offset": at - _C("fs"), "raw_len": end - at}).drop("fs")
 
 
 @query("w01_prefix_offsets", f"SELECT doc_id, start AS byte_start FROM ({_STREAM})")
@@ -82,16 +91,11 @@ def w02(t):
 )
 def j07(t):
     p = stream(t)
-    fr = frames(p)
-    a = p.withColumn("e", _C("start") + _C("len"))
-    full = intervals.overlap_join(a, fr, "start", "e", "fs", "fe", WIDTH)
-    out = full.select("doc_id", "frame", (F.greatest("start", "fs") - _C("fs")).alias("frame_offset"), (F.least("e", "fe") - F.greatest("start", "fs")).alias("raw_len"))
-    last = fr.agg(F.max("frame").alias("lf"), F.max("fs").alias("ls"), F.max("fe").alias("le"))
-    beyond = _C("start") >= _C("le")
-    empty = a.where("len = 0").join(F.broadcast(last))  # one row
-    frame = F.when(beyond, _C("lf")).otherwise(F.expr(f"start div {WIDTH}"))
-    at = F.when(beyond, _C("ls")).otherwise(F.expr(f"start div {WIDTH} * {WIDTH}"))
-    return out.unionByName(empty.select("doc_id", frame.alias("frame"), (_C("start") - at).alias("frame_offset"), F.lit(0).cast("long").alias("raw_len")))
+    cols = ("doc_id", "frame", "frame_offset", "raw_len")
+    last = p.agg(F.sum("len").alias("le")).select("le", F.expr(f"greatest(le - 1, 0) div {WIDTH}").alias("lf"))
+    empty = p.where("len = 0").join(F.broadcast(last))  # one row
+    empty = empty.withColumn("frame", F.when(_C("start") >= _C("le"), _C("lf")).otherwise(F.expr(f"start div {WIDTH}")))
+    return fragments(p).select(*cols).unionByName(empty.select("doc_id", "frame", (_C("start") - _C("frame") * WIDTH).alias("frame_offset"), _C("len").alias("raw_len")))
 
 
 _RUNS = f"""d AS ({_DIFF}), m AS (SELECT d.doc_id, change = 'same' AS same, CAST(strlen(o.content) AS BIGINT) AS ol, CAST(strlen(n.content) AS BIGINT) AS nl FROM d LEFT JOIN snap_old o USING (doc_id) LEFT JOIN snap_new n USING (doc_id)),
@@ -100,20 +104,23 @@ _RUNS = f"""d AS ({_DIFF}), m AS (SELECT d.doc_id, change = 'same' AS same, CAST
   seg AS (SELECT min(os) AS old_start, max(os + ol) AS old_end, min(ns) - min(os) AS shift FROM g WHERE same GROUP BY grp HAVING max(os + ol) > min(os))"""
 
 
-def segments(t):
-    """Maximal unchanged runs of the path-ordered streams: old_start, old_end, shift."""
+def aligned(t):
+    """The files of both snapshots by path: doc_id, same, ol, nl (bytes, 0 where absent), os, ns (bytes before), grp (changes before)."""
     o, n = t.snap_old.withColumnRenamed("content", "o"), t.snap_new.withColumnRenamed("content", "n")
     m = o.join(n, "doc_id", "full_outer").select("doc_id", F.coalesce(_C("o") == _C("n"), F.lit(False)).alias("same"), F.coalesce(f.byte_length("o"), F.lit(0)).alias("ol"), F.coalesce(f.byte_length("n"), F.lit(0)).alias("nl"))
     m = m.withColumn("brk", F.when(_C("same"), 0).otherwise(1))
-    for size, out in (("ol", "os"), ("nl", "ns"), ("brk", "grp")):
-        m = intervals.global_exclusive_sum(m, "doc_id", size, out)
+    return intervals.global_exclusive_sum(m, "doc_id", ["ol", "nl", "brk"], ["os", "ns", "grp"])
+
+
+def segments(m):
+    """Maximal unchanged runs of the path-ordered streams: grp, old_start, old_end, shift."""
     g = m.where("same").groupBy("grp").agg(F.min("os").alias("old_start"), F.max(_C("os") + _C("ol")).alias("old_end"), (F.min("ns") - F.min("os")).alias("shift"))
-    return g.where("old_end > old_start").select("old_start", "old_end", "shift")
+    return g.where("old_end > old_start")
 
 
 @query("w06_unchanged_runs", f"WITH {_RUNS} SELECT old_start, old_end, shift FROM seg")
 def w06(t):
-    return segments(t)
+    return segments(aligned(t)).select("old_start", "old_end", "shift")
 
 
 _OLD = "p AS (SELECT doc_id, CAST(strlen(content) AS BIGINT) AS len FROM snap_old)"
@@ -121,9 +128,11 @@ _OLD = "p AS (SELECT doc_id, CAST(strlen(content) AS BIGINT) AS len FROM snap_ol
 
 @query("j08_frame_containment", f"WITH {_RUNS}, {_OLD}, fr AS ({_FRAMES}) SELECT frame, fs + shift AS new_start FROM fr JOIN seg ON fs >= old_start AND fe <= old_end AND (old_start = 0 OR fs >= old_start + 8192)")
 def j08(t):
-    fr = frames(t.snap_old.select(f.byte_length("content").alias("len")))
-    hit = intervals.overlap_join(fr, segments(t), "fs", "fe", "old_start", "old_end", 65536)
-    return hit.where("fs >= old_start AND fe <= old_end AND (old_start = 0 OR fs >= old_start + 8192)").select("frame", (_C("fs") + _C("shift")).alias("new_start"))
+    """A frame can lie in a run only if the file that it begins in belongs to it, so the run's number is the join key."""
+    m = aligned(t)
+    fr = frames(m.select("same", "grp", _C("os").alias("start"), _C("ol").alias("len"))).where("same")
+    hit = fr.join(segments(m), "grp").where("fs >= old_start AND fe <= old_end AND (old_start = 0 OR fs >= old_start + 8192)")
+    return hit.select("frame", (_C("fs") + _C("shift")).alias("new_start"))
 
 
 @query(
@@ -133,12 +142,13 @@ def j08(t):
     SELECT doc_id, greatest(gs, st) AS at, CAST(least(ge, st + len) - greatest(gs, st) AS BIGINT) AS n, sha256(content[1:0] || substr(hex(encode(content)), 2 * (greatest(gs, st) - st)::BIGINT + 1, 2 * (least(ge, st + len) - greatest(gs, st))::BIGINT)) AS part FROM q JOIN gap ON gs < st + len AND ge > st AND gs < ge WHERE len > 0""",
 )
 def j09(t):
-    q = t.snap_new.select("doc_id", "content", f.byte_length("content").alias("len"))
-    q = intervals.global_exclusive_sum(q, "doc_id", "len", "st").withColumn("en", _C("st") + _C("len"))
-    total = t.snap_new.agg(F.sum(f.byte_length("content")).alias("total"))
-    w = Window.partitionBy(F.lit(0)).orderBy("old_start")  # segments are few: one for each run of changes
-    gap = segments(t).join(F.broadcast(total)).select((_C("old_end") + _C("shift")).alias("gs"), F.coalesce(F.lead(_C("old_start") + _C("shift")).over(w), _C("total")).alias("ge"))
-    hit = intervals.overlap_join(q, gap, "st", "en", "gs", "ge", 65536)
+    m = aligned(t)
+    total = m.agg(F.sum("nl").alias("total"))
+    seg = segments(m).select("old_start", (_C("old_end") + _C("shift")).alias("gs"), (_C("old_start") + _C("shift")).alias("at"))
+    gap = intervals.global_lead(seg, "old_start", "at", "next").join(F.broadcast(total))  # one row
+    gap = gap.select("gs", F.coalesce("next", "total").alias("ge"))
+    q = m.select("doc_id", _C("ns").alias("st"), (_C("ns") + _C("nl")).alias("en"))
+    hit = intervals.overlap_join(q, gap, "st", "en", "gs", "ge", 65536).join(t.snap_new, "doc_id")
     at, end = F.greatest("gs", "st"), F.least("ge", "en")
     part = F.substring(_C("content").cast("binary"), (at - _C("st") + 1).cast("int"), (end - at).cast("int"))
     return hit.select("doc_id", at.alias("at"), (end - at).alias("n"), F.sha2(F.hex(part), 256).alias("part"))
@@ -197,9 +207,8 @@ def j23(t):
 
 @query("j24_multi_pack_index", "SELECT l_partkey AS oid, min(l_suppkey) AS pack FROM lineitem GROUP BY 1")
 def j24(t):
-    w = Window.partitionBy("oid").orderBy("pack")
     one = lambda cond: t.lineitem.where(cond).select(_C("l_partkey").alias("oid"), _C("l_suppkey").alias("pack"))
-    return one("l_suppkey % 2 = 0").unionByName(one("l_suppkey % 2 <> 0")).distinct().withColumn("r", F.row_number().over(w)).where("r = 1").select("oid", "pack")
+    return one("l_suppkey % 2 = 0").unionByName(one("l_suppkey % 2 <> 0")).groupBy("oid").agg(F.min("pack").alias("pack"))
 
 
 _BATCH = "WITH RECURSIVE d AS (SELECT source, doc_id, CAST(strlen(text) AS BIGINT) w, {mark} AS mk, row_number() OVER (PARTITION BY source ORDER BY doc_id) rn FROM documents), g AS (SELECT source, doc_id, rn, mk, w AS cum, CAST(0 AS BIGINT) b FROM d WHERE rn = 1 UNION ALL SELECT d.source, d.doc_id, d.rn, d.mk, CASE WHEN {close} THEN d.w ELSE g.cum + d.w END, CASE WHEN {close} THEN g.b + 1 ELSE g.b END FROM g JOIN d ON d.source = g.source AND d.rn = g.rn + 1) SELECT source, doc_id, b AS batch FROM g"
@@ -244,11 +253,12 @@ def w08(t):
     return best.select("l_orderkey", _C("m.level").alias("level"), _C("m.s").alias("bytes"))
 
 
-@query("w12_first_occurrence", "SELECT sha1(text) AS blob, min(doc_id) AS path FROM documents GROUP BY 1")
+@query("w12_first_occurrence", "SELECT sha1(text) AS blob, arg_min(doc_id, (CASE WHEN doc_id % 10 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END, doc_id)) AS path FROM documents GROUP BY 1")
 def w12(t):
-    w = Window.partitionBy("blob").orderBy("priority", "path")
-    rows = t.documents.select(F.sha1("text").alias("blob"), _C("doc_id").alias("path"), F.lit(0).alias("priority"))
-    return rows.withColumn("r", F.row_number().over(w)).where("r = 1").select("blob", "path")
+    """First by priority (top level, recent, others), then by path: a minimum, taken before the shuffle."""
+    d = _C("doc_id")
+    priority = F.when(d % 10 == 0, 0).when(d % 3 == 0, 1).otherwise(2).alias("priority")
+    return t.documents.groupBy(F.sha1("text").alias("blob")).agg(F.min(F.struct(priority, d.alias("path"))).alias("m")).select("blob", _C("m.path").alias("path"))
 
 
 @query("t02_hot_files", "WITH c AS (SELECT doc_id AS path, 0 AS pr, doc_id AS pos FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 1, -doc_id FROM documents WHERE doc_id % 15 = 0), d AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pr, pos) AS r FROM c) SELECT path FROM d WHERE r = 1 ORDER BY pr, pos LIMIT 50")
@@ -298,10 +308,17 @@ def u05(t):
     return t.snap_new.select(F.sha1("content").alias("oid")).subtract(t.snap_old.select(F.sha1("content").alias("oid")))
 
 
-@query("u06_cover_invariants", "SELECT 0::BIGINT AS overlap, 0::BIGINT AS missing")
+@query(
+    "u06_cover_invariants",
+    f"""WITH b AS (SELECT DISTINCT sha1(content) AS oid FROM snap_old), n AS (SELECT DISTINCT sha1(content) AS oid FROM snap_new),
+    d AS (SELECT DISTINCT sha1(content) AS oid FROM snap_new JOIN ({_DIFF}) USING (doc_id) WHERE change <> 'same')
+    SELECT (SELECT count(*) FROM d WHERE oid IN (SELECT oid FROM b)) AS overlap, (SELECT count(*) FROM n WHERE oid NOT IN (SELECT oid FROM b) AND oid NOT IN (SELECT oid FROM d)) AS missing""",
+)
 def u06(t):
+    """The delta is taken from changed paths, so it may repeat objects of the base: overlap counts them, missing what neither holds."""
     new, old = (s.select(F.sha1("content").alias("oid")).distinct() for s in (t.snap_new, t.snap_old))
-    delta = new.subtract(old)
+    changed = diff(t.snap_old, t.snap_new).where("change <> 'same'").select("doc_id")
+    delta = t.snap_new.join(changed, "doc_id", "left_semi").select(F.sha1("content").alias("oid")).distinct()
     overlap = delta.intersect(old).agg(F.count("*").alias("overlap"))
     return overlap.join(new.subtract(old.union(delta)).agg(F.count("*").alias("missing")))
 
@@ -344,17 +361,39 @@ def g02(t):
     return graph.closure(place_edges(t), regions(t), 1)
 
 
-@query("g03_range_closure", "SELECT conv_id, turn FROM commits WHERE turn <= 4 AND turn > 1")
+#: Two lanes of commits, odd and even turns; each fourth turn merges the other lane.
+_PARENTS = "pa AS (SELECT conv_id, turn, turn - 2 AS parent FROM commits WHERE turn >= 2 UNION ALL SELECT conv_id, turn, turn - 1 FROM commits WHERE turn % 4 = 3)"
+_ANCESTORS = "RECURSIVE {p}, g AS (SELECT conv_id, turn AS root, turn AS node FROM ({roots}) UNION SELECT g.conv_id, g.root, pa.parent FROM g JOIN pa ON pa.conv_id = g.conv_id AND pa.turn = g.node)"
+_HEADS = "SELECT conv_id, max(turn) AS turn FROM commits GROUP BY 1"
+
+
+def parents(t):
+    """Edges (src, dst) from commits to their parents, with merges."""
+    node = lambda d: F.struct("conv_id", (_C("turn") - d).alias("turn"))
+    one = lambda cond, d: t.commits.where(cond).select(node(0).alias("src"), node(d).alias("dst"))
+    return one("turn >= 2", 2).unionByName(one("turn % 4 = 3", 1))
+
+
+def heads(t):
+    return t.commits.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+
+
+@query(
+    "g03_range_closure",
+    f"""WITH {_ANCESTORS.format(p=_PARENTS, roots="SELECT conv_id, turn FROM (SELECT conv_id, max(turn) AS turn FROM commits GROUP BY 1) UNION ALL SELECT conv_id, max(turn) - 4 FROM commits GROUP BY 1 HAVING max(turn) >= 4")},
+    h AS ({_HEADS}) SELECT conv_id, node AS turn FROM g JOIN h USING (conv_id) WHERE root = h.turn EXCEPT SELECT conv_id, node FROM g JOIN h USING (conv_id) WHERE root < h.turn""",
+)
 def g03(t):
-    upto = lambda n: t.commits.where(f"turn <= {n}").select("conv_id", "turn")
-    return upto(4).subtract(upto(1))
+    """(from, to]: what the head reaches and the commit four turns before it does not."""
+    reach = lambda h: graph.closure(parents(t), h.select(F.struct("conv_id", "turn").alias("root"))).select(_C("node.conv_id").alias("conv_id"), _C("node.turn").alias("turn"))
+    before = heads(t).select("conv_id", (_C("turn") - 4).alias("turn")).where("turn >= 0")
+    return reach(heads(t)).subtract(reach(before))
 
 
-@query("g04_generation", "SELECT conv_id, turn, turn + 1 AS generation FROM commits")
+@query("g04_generation", f"WITH {_ANCESTORS.format(p=_PARENTS, roots=_HEADS)} SELECT conv_id, root AS turn, count(*) AS generation FROM g GROUP BY 1, 2")
 def g04(t):
-    node = lambda d: F.struct("conv_id", (_C("turn") - d).alias("turn"))
-    edges = t.commits.where("turn > 0").select(node(0).alias("src"), node(1).alias("dst"))
-    found = graph.closure(edges, t.commits.select(node(0).alias("root")))
+    """Of each head, the number of distinct ancestors with itself; with merges that is not the longest path."""
+    found = graph.closure(parents(t), heads(t).select(F.struct("conv_id", "turn").alias("root")))
     return found.groupBy("root").agg(F.count("*").alias("generation")).select("root.conv_id", "root.turn", "generation")
 
 
@@ -364,12 +403,18 @@ def g05(t):
     return t.commits.select("conv_id", "turn").join(p, ["conv_id", "turn"], "left")
 
 
-@query("g06_compaction")
+_ROWS = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS b FROM lineitem"
+_COMPACT = """WITH RECURSIVE g AS (SELECT l_orderkey, list(b ORDER BY l_linenumber, l_partkey, l_suppkey, b) AS l FROM ({rows}) GROUP BY 1 UNION ALL
+    SELECT l_orderkey, l[:i - 1] || [l[i] + l[i + 1]] || l[i + 2:] FROM (SELECT l_orderkey, l, list_position(p, list_min(p)) AS i FROM (SELECT l_orderkey, l, list_transform(range(1, len(l)), lambda k: l[k] + l[k + 1]) AS p FROM g WHERE len(l) > 3)))
+  SELECT l_orderkey, unnest(range(len(l))) AS level, unnest(l) AS size FROM g WHERE len(l) <= 3"""
+
+
+@query("g06_compaction", _COMPACT.format(rows=_ROWS))
 def g06(t):
     return folds.compaction(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _C("l_quantity").cast("long").alias("bytes")), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "bytes", 3)
 
 
-@query("g07_seal_and_compact")
+@query("g07_seal_and_compact", _COMPACT.format(rows=_ROWS + " UNION ALL SELECT o_orderkey, 99, 0, 0, CAST(floor(o_totalprice) AS BIGINT) FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice >= 1"))
 def g07(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _C("l_quantity").cast("long").alias("bytes"))
     tail = t.orders.where("o_orderstatus <> 'F' AND o_totalprice >= 1").select(_C("o_orderkey").alias("l_orderkey"), F.lit(99).alias("l_linenumber"), F.lit(0).cast("long").alias("l_partkey"), F.lit(0).cast("long").alias("l_suppkey"), _C("o_totalprice").cast("long").alias("bytes"))
@@ -383,8 +428,4 @@ def g08(t):
 
 @query("x17_reassembly", f"WITH p AS ({_STREAM}), fr AS ({_FRAMES}) SELECT doc_id, count(*) AS fragments, CAST(sum(least(start + len, fe) - greatest(start, fs)) AS BIGINT) = max(len) AS complete FROM p JOIN fr ON start < fe AND start + len > fs WHERE len > 0 GROUP BY 1")
 def x17(t):
-    p = stream(t)
-    a = p.withColumn("e", _C("start") + _C("len"))
-    hit = intervals.overlap_join(a, frames(p), "start", "e", "fs", "fe", WIDTH)
-    part = F.least("e", "fe") - F.greatest("start", "fs")
-    return hit.groupBy("doc_id").agg(F.count("*").alias("fragments"), (F.sum(part) == F.max("len")).alias("complete"))
+    return fragments(stream(t)).groupBy("doc_id").agg(F.count("*").alias("fragments"), (F.sum("raw_len") == F.max("len")).alias("complete"))

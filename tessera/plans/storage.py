@@ -124,9 +124,18 @@ def s21(t):
     return rows.unionByName(t.spark.range(1).select(F.lit("# HELP queue_events_total Events by kind.").alias("line")))
 
 
-@query("f18_pack_varint")
+@query(
+    "f18_pack_varint",
+    """WITH d AS (SELECT doc_id, doc_id % 4 + 1 AS kind, CAST(strlen(text) AS BIGINT) * (1 + doc_id % 5000) AS size FROM documents),
+    g AS (SELECT *, list_filter(range(0, 9), lambda i: size // 16 > 0 AND (i = 0 OR (size // 16) >> (7 * i)::INT > 0)) AS g FROM d)
+    SELECT doc_id, format('{:02X}', kind * 16 + size % 16 + CASE WHEN size >= 16 THEN 128 ELSE 0 END) || coalesce(list_aggregate(list_transform(g, lambda i: format('{:02X}', (((size // 16) >> (7 * i)::INT) & 127) + CASE WHEN i + 1 < len(g) THEN 128 ELSE 0 END)), 'string_agg', ''), '') AS header,
+      CAST(kind AS INT) AS kind, size FROM g""",
+)
 def f18(t):
-    return chunking.varint_header(t.documents.select("doc_id", F.substring(F.col("text").cast("binary"), 1, 10).alias("head")), "doc_id", "head")
+    kind, size = F.col("doc_id") % 4 + 1, f.byte_length("text") * (1 + F.col("doc_id") % 5000)
+    entries = t.documents.select("doc_id", F.concat(f.pack_header(kind, size), F.encode("text", "UTF-8")).alias("entry"), f.pack_header(kind, size).alias("head"))
+    read = entries.select("doc_id", F.hex("head").alias("header"), f.read_pack_header(F.col("entry")).alias("h"))
+    return read.select("doc_id", "header", F.col("h.kind").alias("kind"), F.col("h.size").alias("size"))
 
 
 @query("f19_content_chunks")

@@ -1,7 +1,10 @@
 """Operators by themselves: folds, intervals, chunking, scalars, graphs, views."""
 
+import base64
 import random
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -56,30 +59,49 @@ def test_newest_wins_depends_on_arrival(spark):
 
 def test_token_bucket_integer_refill_starves(spark):
     df = spark.createDataFrame([("k", i, i) for i in range(6)], "k string, at long, i long")
-    whole = folds.token_bucket(df, "k", "at", "i", 0.5, 1).orderBy("i").collect()
-    exact = folds.token_bucket(df, "k", "at", "i", 0.5, 1, whole=False).orderBy("i").collect()
+    whole = folds.token_bucket(df, "k", "at", "i", 2, 1).orderBy("i").collect()
+    exact = folds.token_bucket(df, "k", "at", "i", 2, 1, whole=False).orderBy("i").collect()
     assert [x.allowed for x in whole] == [True] + [False] * 5
     assert [x.allowed for x in exact] == [True, False, True, False, True, False]
 
 
 def test_overlap_join_equals_theta_join(spark):
     r = random.Random(2)
-    a = [(i, s, s + r.randint(0, 50)) for i, s in enumerate(r.randrange(0, 500) for _ in range(60))]
-    b = [(i, s, s + r.randint(0, 90)) for i, s in enumerate(r.randrange(0, 500) for _ in range(60))]
+    a = [(i, s, s + r.choice([0, 1, 16, 17, r.randint(0, 50)])) for i, s in enumerate(r.randrange(0, 500) for _ in range(60))] + [(60, 3, 10**9)]
+    b = [(i, s, s + r.choice([r.randint(0, 90), 64, 300])) for i, s in enumerate(r.randrange(0, 500) for _ in range(60))] + [(60, 0, 10**9)]
     want = sorted((x[0], y[0]) for x in a for y in b if x[1] < y[2] and x[2] > y[1] and x[1] < x[2] and y[1] < y[2])
     left, right = spark.createDataFrame(a, "i long, s long, e long"), spark.createDataFrame(b, "j long, fs long, fe long")
     got = intervals.overlap_join(left, right, "s", "e", "fs", "fe", 16).select("i", "j").collect()
     assert sorted(map(tuple, got)) == want
 
 
-def test_global_exclusive_sum(spark):
-    rows = [(i, i % 7) for i in range(300)]
-    df = spark.createDataFrame(rows, "i long, n long").repartition(5)
-    got = {x.i: x.start for x in intervals.global_exclusive_sum(df, "i", "n").collect()}
-    at = 0
-    for i, n in rows:
-        assert got[i] == at
-        at += n
+@pytest.mark.parametrize("parts, adaptive", [(4, "true"), (4, "false"), (200, "true")])
+def test_global_exclusive_sum(spark, parts, adaptive):
+    """More rows than a range exchange samples, in an order of their own, with columns that are read or not."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    n = 50_000 if parts == 4 else 5_000
+    try:
+        df = spark.range(n).select(((F.col("id") * 7919) % n).alias("i")).select("i", (F.col("i") % 7).alias("n"), F.sha2(F.col("i").cast("string"), 256).alias("extra"))
+        two = intervals.global_exclusive_sum(df, "i", ["n", "i"], ["start", "sum"])
+        got = two.select("i", "start", "sum", "extra").toPandas().sort_values("i")
+        i = np.arange(n)
+        assert list(got["start"]) == list(np.cumsum(i % 7) - i % 7) and list(got["sum"]) == list(np.cumsum(i) - i)
+        names = intervals.global_exclusive_sum(df.select("extra", F.lit(1).alias("one")), "extra", "one").toPandas().sort_values("extra")
+        assert list(names["start"]) == list(range(n))
+        after = intervals.global_lead(df, "i", "i", "next").toPandas().sort_values("i")
+        assert list(after["next"][:-1]) == list(range(1, n)) and np.isnan(after["next"].iloc[-1])
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert intervals.global_exclusive_sum(df.where("i < 0"), "i", "n").count() == 0
+
+
+def test_slugs_of_long_names_have_no_line_breaks(spark):
+    rows = [("x" * 200,), ("é/?" * 70,), ("",)]
+    for x in spark.createDataFrame(rows, "c string").select("c", f.url_slug("c").alias("s"), f.base64_line("c").alias("b"), f.from_url_slug(f.url_slug("c")).alias("back")).collect():
+        assert x.s == base64.urlsafe_b64encode(x.c.encode()).decode().rstrip("=") and x.b == base64.b64encode(x.c.encode()).decode() and x.back == x.c
 
 
 def test_islands(spark):
@@ -100,10 +122,18 @@ def test_chunks_tile_and_a_stream_cuts_alike(data, at):
         assert [done[-1] + e for e in rest] == ends[len(done) :]
 
 
-def test_varint_header(spark):
-    df = spark.createDataFrame([(1, bytearray([0b10110101, 0b00000010])), (2, bytearray()), (3, None)], "i long, b binary")
-    got = {x.i: (x.kind, x.size) for x in chunking.varint_header(df, "i", "b").collect()}
-    assert got == {1: (3, 5 | 2 << 4), 2: (None, None), 3: (None, None)}
+def test_pack_headers(spark):
+    rows = [(k, n) for k in (1, 4, 6) for n in (0, 15, 16, 2047, 2048, 10**6, 2**40 + 3, 2**59 - 1)]
+    df = spark.createDataFrame(rows, "kind int, size long").withColumn("h", f.pack_header(F.col("kind"), F.col("size")))
+    for x in df.select("*", f.read_pack_header(F.concat("h", F.lit(b"rest"))).alias("back")).collect():
+        rest, want = x.size >> 4, []
+        while rest:
+            want.append(rest & 127 | (128 if rest >> 7 else 0))
+            rest >>= 7
+        assert bytes(x.h) == bytes([x.kind << 4 | x.size & 15 | (128 if want else 0), *want])
+        assert (x.back.kind, x.back.size) == (x.kind, x.size)
+    bad = spark.createDataFrame([(bytearray(),), (None,), (bytearray([255, 255]),)], "h binary")
+    assert [x.r for x in bad.select(f.read_pack_header(F.col("h")).alias("r")).collect()] == [None] * 3
 
 
 def test_zstd_round_trip(spark):
