@@ -13,10 +13,13 @@ What is done in place of all pairs of a list: every set is verified against the
 the member with the smallest share of tokens that no other set holds, and linked sets are
 united. Members that no partner of the list can match leave it: two sets of m and n tokens
 need an overlap of 4/9 (m + n), and neither can overlap in more tokens than it has in common
-with any other set. Lists that still hold several components get new pivots, as long as the
-open pairs are many; then every pair that still lies in different components is verified, in
-blocks. So components are exact while large groups of copies cost a number of verifications
-in proportion to their size.
+with any other set. Lists that still hold several components get new pivots, as long as that
+halves the open pairs. For what is left, each member's overlap i with a pivot is known, and two
+members overlap in at most min(i) tokens of the pivot; what is missing to 4/9 (m + n) they must
+share outside the pivot. So they are joined on the first tokens outside it (a prefix again),
+or on the pivot alone where nothing is missing, and verified if they lie in different
+components. Components are exact, and large groups of copies cost verifications in proportion
+to their size.
 
 Before that, sets without a possible partner leave: of the first 2p tokens by hash order
 (p: the plain prefix length) at least about p must occur in another set.
@@ -36,11 +39,8 @@ from .components import components
 FREQUENT = 24
 #: Frequent tokens that a group is meant to show in a prefix.
 GROUP = 6
-#: Open pairs for each member of open lists up to which all pairs are verified; where more are left, lists get new pivots
-#: as long as that halves them.
+#: Open pairs for each member of open lists above which lists get new pivots, as long as that halves them.
 OPEN_PAIRS = 8
-#: Members of a list that one block holds when it meets the whole list.
-BLOCK = 256
 
 
 def need(n, p: int = 4, q: int = 5):
@@ -99,16 +99,15 @@ def _pairs_at(level: int) -> int:
     return max(1, int(0.2 * 1.25**level / GROUP))
 
 
-def _signatures(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Signatures of one set under its own size level and the next one."""
-    n = len(tokens)
+def _signatures(tokens: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Signatures of one set of n tokens under its own size level and the next one, from the tokens that other
+    sets hold; those that none does come first in the order and take up their share of the prefix."""
     order = np.lexsort((tokens, counts))
     tokens, counts = tokens[order], counts[order]
-    goal = n - need(n) + 1
+    goal = len(tokens) - need(n) + 1
     rare = int(np.searchsorted(counts, FREQUENT))
     base = int(_level(np.array([n]))[0])
-    single = tokens[: min(rare, goal)]
-    out = [single[counts[: len(single)] > 1]]
+    out = [tokens[: max(0, min(rare, goal))]]
     left = goal - rare
     for level in (base, base + 1) if left > 0 and n > 1 else ():
         common, tag = tokens[rare:], np.uint64(level + 1)
@@ -130,23 +129,21 @@ def _signatures(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _signed_rows(batches):
-    """(s, doc_id, n, held) of sets given as doc_id, tokens, and t, c: those that others hold, and how often."""
+    """(s, doc_id, k1, n, held) of sets of n tokens, given those that others hold, and how often."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        rows: list[tuple[np.ndarray, int, int, int]] = []
+        ids, k1, n = (batch.column(k).to_numpy() for k in (0, 1, 2))
+        rows: list[tuple[np.ndarray, int]] = []
         size = 0
 
         def out(rows):
-            s = np.concatenate([r[0] for r in rows])
-            rest = [pa.array(np.repeat([r[k] for r in rows], [len(r[0]) for r in rows])) for k in (1, 2, 3)]
-            return pa.RecordBatch.from_arrays([pa.array(signed(s)), *rest], names=["s", "doc_id", "n", "held"])
+            many = [len(s) for s, _ in rows]
+            k = np.repeat([k for _, k in rows], many)
+            held = np.repeat([len(batch.column(3)[int(k)]) for _, k in rows], many)
+            return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([s for s, _ in rows]))), *[pa.array(c) for c in (ids[k], k1[k], n[k], held)]], names=["s", "doc_id", "k1", "n", "held"])
 
         for d in range(len(ids)):
-            tokens, t, c = (batch.column(k)[d].values.to_numpy(zero_copy_only=False) for k in (1, 2, 3))
-            tokens = tokens.view(np.uint64)
-            counts = np.ones(len(tokens), np.int64)
-            counts[np.searchsorted(tokens, t.view(np.uint64))] = c
-            rows.append((_signatures(tokens, counts), ids[d], len(tokens), len(t)))
+            tokens, counts = (batch.column(k)[d].values.to_numpy(zero_copy_only=False) for k in (3, 4))
+            rows.append((_signatures(tokens.view(np.uint64), counts, int(n[d])), d))
             size += len(rows[-1][0])
             if size > 50_000:
                 yield out(rows)
@@ -155,23 +152,49 @@ def _signed_rows(batches):
             yield out(rows)
 
 
+def _pairs(batch):
+    """Token arrays of each row's two sets."""
+    for x, y in zip(batch.column("x"), batch.column("y")):
+        yield tuple(v.values.to_numpy(zero_copy_only=False) for v in (x, y))
+
+
 def _alike(p: int, q: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
-                inter = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(q * inter >= p * (len(a) + len(b) - inter))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            n = batch.column("n").to_numpy()
+            inter = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in _pairs(batch)], np.int64)
+            mask = pa.array(q * inter >= p * (n - inter), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    x, y = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _alike(p, q), "a long, b long")
+def _verified(pairs: DataFrame, live: DataFrame, p: int, q: int) -> DataFrame:
+    x = live.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
+    y = live.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y")
+    return map_batches(both, _alike(p, q), "a long, b long")
+
+
+def _outside(p: int, q: int):
+    """Of rows (pivot, doc_id, n, least, root, big, x: the pivot's tokens, y: the set's): the overlap with the pivot, the number of tokens
+    outside it, and the first of these, of which a partner of at least ``least`` tokens must hold one if it needs any."""
+
+    def run(batches):
+        for batch in batches:
+            n, least = (batch.column(c).to_numpy() for c in ("n", "least"))
+            i, h, out = [], [], []
+            for k, (a, b) in enumerate(_pairs(batch)):
+                rest = b[~np.isin(b, a, assume_unique=True)]
+                i.append(len(b) - len(rest))
+                h.append(len(rest))
+                missing = -(-p * int(n[k] + max(least[k], need(int(n[k]), p, q))) // (p + q)) - i[-1]
+                out.append(rest[: max(0, len(rest) - max(missing, 1) + 1)])
+            names = ["pivot", "doc_id", "n", "root", "big"]
+            cols = [*[batch.column(c) for c in names], pa.array(i, pa.int64()), pa.array(h, pa.int64()), pa.array(out, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "i", "h", "out"])
+
+    return run
 
 
 def _possible(p: int, q: int, *names: str) -> str:
@@ -191,7 +214,7 @@ def links(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5) -> tuple[Da
     discard(keys)
     live = _live(rows, reps, shingle, p, q)
     discard(reps)
-    sig = _lists(live, p, q)
+    live, sig = _lists(live, p, q)
     all_ = sig.withColumns({"root": F.col("doc_id"), "big": F.lit(None).cast("long")})
     found, last = _star(all_, live, p, q, 1 - F.col("held") / F.col("n")), None
     while True:
@@ -201,7 +224,7 @@ def links(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5) -> tuple[Da
         last = pairs
         found = written(found.unionByName(_star(open_, live, p, q, F.xxhash64(F.lit(pairs), "doc_id"))), "links")
         discard(open_)
-    rest = written(_verified(_across(open_, p, q), live, p, q), "rest")
+    rest = written(_verified(_across(open_, live, p, q), live, p, q).distinct(), "rest")
     for x in (open_, sig, live):
         discard(x)
     # a doc_id of several rows with different sets is one document
@@ -232,18 +255,20 @@ def _live(rows: DataFrame, reps: DataFrame, shingle: int, p: int, q: int) -> Dat
     return live
 
 
-def _lists(live: DataFrame, p: int, q: int) -> DataFrame:
-    """(s, doc_id, n, held): the signatures that more than one set shows, with the tokens of a set that others hold."""
+def _lists(live: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """The sets that may have a partner, as (doc_id, k1, n, tokens), with only the tokens that others hold; and (s, doc_id, k1, n, held):
+    the signatures that more than one set shows."""
     each = live.select("doc_id", "k1", F.explode("tokens").alias("t"))
     count = each.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    known = each.join(count, "t").groupBy("doc_id", "k1").agg(F.collect_list(F.struct("t", "c")).alias("tc"))
-    known = live.join(known, ["doc_id", "k1"]).where(F.size("tc") * q >= F.col("n") * p)
-    known = known.select("doc_id", "tokens", F.col("tc.t").alias("t"), F.col("tc.c").alias("c"))
-    all_ = written(map_batches(known, _signed_rows, "s long, doc_id long, n long, held long"), "signatures")
+    known = each.join(written(count, "counts"), "t").groupBy("doc_id", "k1").agg(F.sort_array(F.collect_list(F.struct("t", "c"))).alias("tc"))
+    known = live.select("doc_id", "k1", "n").join(known, ["doc_id", "k1"]).where(F.size("tc") * q >= F.col("n") * p)
+    known = written(known.select("doc_id", "k1", "n", F.col("tc.t").alias("tokens"), F.col("tc.c").alias("c")), "held")
+    discard(live)
+    all_ = written(map_batches(known.select("doc_id", "k1", "n", "tokens", "c"), _signed_rows, "s long, doc_id long, k1 long, n long, held long"), "signatures")
     lists = all_.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("s")
     sig = written(all_.join(lists, "s", "left_semi"), "lists")
     discard(all_)
-    return sig
+    return known, sig
 
 
 def _star(members: DataFrame, live: DataFrame, p: int, q: int, first) -> DataFrame:
@@ -259,30 +284,53 @@ def _star(members: DataFrame, live: DataFrame, p: int, q: int, first) -> DataFra
 
 
 def _open(sig: DataFrame, found: DataFrame, p: int, q: int) -> tuple[DataFrame, int, int]:
-    """The lists that still hold several components, as (s, doc_id, n, held, root, m, big), without the members
+    """The lists that still hold several components, as (s, doc_id, k1, n, held, root, big), without the members
     that no partner there can match; the pairs of different components among them; and the members."""
     comp = components(found)
     named = sig.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     of = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).where("lo < hi")
     able = f"(n + greatest(least, ceil(n * {p} / {q}))) * {p} <= {p + q} * held"
-    some = written(named.join(of.select("s", "least"), "s").where(able).select("s", "doc_id", "n", "held", "root"), "able")
+    some = written(named.join(of.select("s", "least"), "s").where(able).select("s", "doc_id", "k1", "n", "held", "root"), "able")
     each = some.groupBy("s", "root").agg(F.count("*").alias("k"))
     of = each.groupBy("s").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.count("*").alias("roots"), F.max_by("root", "k").alias("big"))
     of = written(of.where("roots > 1"), "of")
     pairs, members = of.agg(F.sum((F.col("m") * F.col("m") - F.col("k2")) / 2), F.sum("m")).first()
-    open_ = written(some.join(of.select("s", "m", "big"), "s"), "open")
+    open_ = written(some.join(of.select("s", "big"), "s"), "open")
     for x in (comp, some, of):
         discard(x)
     return open_, int(pairs or 0), int(members or 0)
 
 
-def _across(open_: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) of a list in different components; a block of members against all, so a long list is the work of many tasks."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    x = open_.select("s", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "held", "root")])
-    y = open_.select("s", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "held", "root")])
-    pairs = x.join(y, ["s", "block"]).where("doc_id_a < doc_id_b AND root_a <> root_b AND " + _possible(p, q, "n_a", "held_a", "n_b", "held_b"))
-    return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+def _across(open_: DataFrame, live: DataFrame, p: int, q: int) -> DataFrame:
+    """Candidate pairs (a, b) of open lists in different components, by what they share outside a pivot of the largest component."""
+    key = F.struct(F.col("doc_id").alias("d"), F.col("k1").alias("k")).alias("pivot")
+    pivot = open_.where("root = big").groupBy("s").agg(F.min(F.struct((1 - F.col("held") / F.col("n")).alias("own"), key)).alias("v"))
+    cells = open_.join(pivot, "s").select(F.col("v.pivot").alias("pivot"), "doc_id", "k1", "n", "root", "big").distinct()
+    cells = written(cells, "cells")
+    least = cells.groupBy("pivot").agg(F.min("n").alias("least"))
+    x, y = live.select(key, F.col("tokens").alias("x")), live.select("doc_id", "k1", F.col("tokens").alias("y"))
+    sets = cells.join(least, "pivot").join(x, "pivot").join(y, ["doc_id", "k1"]).select("pivot", "doc_id", "n", "least", "root", "big", "x", "y")
+    schema = "pivot struct<d: long, k: long>, doc_id long, n long, root long, big long, i long, h long, out array<long>"
+    known = written(map_batches(sets, _outside(p, q), schema), "outside")
+    discard(cells)
+
+    def side(df: DataFrame, c: str, *on: str) -> DataFrame:
+        return df.select(*on, *[F.col(k).alias(f"{k}_{c}") for k in ("doc_id", "n", "root", "i", "h")])
+
+    other = f"doc_id_a <> doc_id_b AND root_a <> root_b AND least(n_a, n_b) * {q} >= greatest(n_a, n_b) * {p} AND (n_a + n_b) * {p} <= {p + q} * (least(i_a, i_b)"
+    # where something is missing, a token outside the pivot is shared
+    token = known.select("pivot", F.explode("out").alias("t"), "doc_id", "n", "root", "i", "h")
+    split = token.groupBy("pivot", "t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("pivot", "t")
+    token = written(token.join(split, ["pivot", "t"], "left_semi"), "tokens")
+    shared = side(token, "a", "pivot", "t").join(side(token, "b", "pivot", "t"), ["pivot", "t"]).where("doc_id_a < doc_id_b AND " + other + " + least(h_a, h_b))")
+    # where nothing is missing, one of the two is not linked to the pivot, and the other is smaller than the pivot
+    reach = (F.col("i") * (p + q) / p - F.col("n")).alias("reach")
+    span = known.groupBy("pivot").agg(F.min("n").alias("lo"), F.max(F.when(F.col("root") != F.col("big"), reach)).alias("hi"))
+    stray = known.where("root <> big").join(span.select("pivot", "lo"), "pivot").where(reach >= F.col("lo"))
+    small = known.join(span.select("pivot", "hi"), "pivot").where("n <= hi")
+    alone = side(stray, "a", "pivot").join(side(small, "b", "pivot"), "pivot").where(other + ")")
+    pairs = shared.select("doc_id_a", "doc_id_b").unionByName(alone.select("doc_id_a", "doc_id_b"))
+    return written(pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "across")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:

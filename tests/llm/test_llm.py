@@ -137,6 +137,41 @@ def test_ngram_join_of_a_large_near_copy_group(spark, monkeypatch):
     assert got == want
 
 
+def test_ngram_join_of_families(spark, monkeypatch):
+    """Copies of copies: many pairs just above and below the similarity, around several bases; and new pivots at every turn."""
+    r = random.Random(23)
+    texts, at = [], 0
+    for size in (90, 90, 45):
+        base = prose(r, size).split()
+        family = [base]
+        for _ in range(70):
+            t = list(r.choice(family))
+            for _ in range(r.randint(0, 3)):
+                t[r.randrange(len(t))] = "e%d" % r.randrange(10**6)
+            t = t[: r.randint(len(t) - 4, len(t))]
+            family.append(t)
+        for t in family:
+            texts.append((at, " ".join(t)))
+            at += 1
+    r.shuffle(texts)
+    s = {i: shingles(t) for i, t in texts}
+    link = [(i, j) for i in s for j in s if i < j and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])]
+    want = groups(link, s)
+    for pairs in (8, 0):
+        monkeypatch.setattr(ngram_join, "OPEN_PAIRS", pairs)
+        assert {x.doc_id: x.component_id for x in ngram_join.near_duplicates(docs_of(spark, texts)).collect()} == want
+
+
+def test_ngram_join_of_a_doc_id_with_two_texts(spark):
+    """Rows of one doc_id with different texts are one document with the links of both."""
+    r = random.Random(24)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    near = lambda t: t + " more"
+    texts = [(5, a), (5, b), (7, near(a)), (9, near(b)), (11, near(b)), (3, c), (12, c), (12, near(a)), (20, "x y z")]
+    got = {x.doc_id: x.component_id for x in ngram_join.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {i: 3 for i in (3, 5, 7, 9, 11, 12)} | {20: 20}
+
+
 def test_signatures_of_linked_sets_meet():
     r = np.random.default_rng(3)
     for n in (2, 3, 5, 9, 24, 60, 200):
@@ -152,7 +187,8 @@ def test_signatures_of_linked_sets_meet():
             if 5 * inter >= 4 * (len(x) + len(y) - inter) and len(x) > 1 and len(y) > 1:
                 shared = {int(t) for t in np.intersect1d(x, y)}
                 of = lambda v: np.array([max(count[int(t)], 2 if int(t) in shared else 1) for t in v])
-                assert set(ngram_join._signatures(x, of(x)).tolist()) & set(ngram_join._signatures(y, of(y)).tolist())
+                sign = lambda v: set(ngram_join._signatures(v[of(v) > 1], of(v)[of(v) > 1], len(v)).tolist())
+                assert sign(x) & sign(y)
 
 
 # ------------------------------------------------------------------ 3
