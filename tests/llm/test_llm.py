@@ -473,6 +473,13 @@ def test_line_dedup_of_one_boilerplate_with_many_tails(spark):
     assert got == {i: keep(i, t) for i, t in texts}
 
 
+def test_line_dedup_of_a_doc_id_with_two_texts(spark):
+    """A row loses its own lines, never the line that stands in the same place of another row."""
+    texts = [(1, "a line that both of them hold, here first"), (5, "a line that both of them hold, here first\nanother one of the first row"), (5, "a unique line that nobody else holds\nqq ww")]
+    got = sorted(x.text for x in line_dedup.line_dedup(docs_of(spark, texts)).collect())
+    assert got == sorted([texts[0][1], "another one of the first row", texts[2][1]])
+
+
 def test_components(spark):
     r = random.Random(13)
     pairs = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(100 + k, 101 + k) for k in range(40)]
