@@ -1,18 +1,22 @@
 """Toxicity by nearest labelled examples.
 
-Examples are a bounded sample of labelled texts. Their vocabulary is the terms whose presence
-speaks for toxicity (chi-square and lift over the sample); vectors are normalised TF-IDF over it.
-The index keeps, for every term, postings in blocks of ``BLOCK`` examples with the largest
-weight in each block. A query bounds every block by its block maxima, opens blocks in
-descending order of bound, and stops when no unopened block can enter the k nearest, so
-the neighbours are exact. Their labels vote with weights that fall with distance, and an
-isotonic map, fitted on leave-one-out votes of the examples, turns the vote into a
-calibrated score. Neighbours are reported as evidence.
-
-Only the fit is bounded (``SAMPLE`` examples, first by hash of doc_id; ``VOCABULARY``
-terms); every whole text is scored. Defined results: a null, empty or unrelated text (no
-vocabulary term) gets the rate of toxic examples among those without a term; with no labels
-every score is 0; similarity ties go to the example that comes first by hash of doc_id.
+Examples are a bounded sample of labelled texts. Texts are vectors over every term of the
+examples (words, and the beginnings of longer ones): (1 + log count) * idf * r, where idf comes
+from all documents and r is the strength of the term's association with the label among the
+examples (the absolute phi coefficient of their 2 x 2 table), so that function words do not decide who is near.
+No term is left out. The index keeps, for every term, its postings in blocks of ``BLOCK`` examples with the
+largest weight in each block. A query bounds every block by its block maxima, opens the
+blocks of the highest bounds, and then all others that may still hold one of the k nearest,
+so the neighbours by cosine are exact. Their labels vote with weights that fall with
+distance, and an isotonic map, fitted on leave-one-out votes of the examples, turns the vote
+into a calibrated score. Neighbours are reported as evidence.
+
+Only the fit is bounded (``SAMPLE`` examples, first by hash of doc_id); document frequencies count
+all documents, and every whole text is scored. A term that no example has adds to a text's length with
+the idf of one document and the mean r of terms of one example. Defined results: a null, empty or unrelated text (no
+term of an example) gets the share of toxic examples; with no labels
+every score is 0; similarity ties go to the example that comes first by hash of doc_id; repeated rows are
+scored alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,19 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Words, chunks, map_batches, mix, signed, text_buffers, written
+from .common import ALNUM, LOWER, Words, chunks, discard, map_batches, mix, signed, text_buffers, written
 
-#: Bounds of the fit.
-SAMPLE, VOCABULARY = 4000, 1024
-#: Least chi-square of a vocabulary term.
-CHI2 = 40.0
-#: Least ratio of the toxic share among a term's texts to the toxic share of all.
-LIFT = 3.0
-BLOCK, NEAREST = 64, 15
+#: Bound of the fit: labelled texts.
+SAMPLE = 4000
+BLOCK, NEAREST = 64, 10
+#: Blocks that are opened before the others' bounds are held against what was found.
+FIRST = 6
 #: Weight of "no evidence" in a vote.
-PRIOR = 0.05
+PRIOR = 0.0005
 #: Beginnings of longer words, in bytes, that are terms too: they stand for inflected and compound forms.
-BEGINNINGS = (5, 7)
+BEGINNINGS = (3, 5, 7)
+#: Texts that are scored at once, and terms of them at most (a longer text stands alone).
+TEXTS, TERMS = 64, 20_000
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 256, dtype=np.uint64)
 
 
@@ -66,66 +70,113 @@ def _terms(batches):
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "toxic", "terms", "counts"])
 
 
+def _spread(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (many[0] of them), then the same for each further range."""
+    at = np.cumsum(many) - many
+    return np.arange(int(many.sum())) - np.repeat(at - start, many)
+
+
 class Index:
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list[int], labels: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray, int]]):
-        order = np.argsort(terms)
-        self.terms, self.idf = terms[order], idf[order]
-        vec = [self.vector(*x) for x in docs]
-        some = [k for k, (t, _) in enumerate(vec) if len(t)]
-        none = [k for k, (t, _) in enumerate(vec) if not len(t)]
-        self.zero = float((labels[none].sum() + 0.1) / (len(none) + 2))
+    """Labelled examples as postings in blocks. docs: each example's distinct terms and their counts."""
+
+    def __init__(self, terms: np.ndarray, df: np.ndarray, n_docs: int, ids: list[int], labels: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]]):
+        """terms: all terms of docs, ascending, with their document frequencies df among n_docs documents."""
+        self.terms, y = terms, labels.astype(float)
+        n, pos = len(docs), float(y.sum())
+        self.zero = (pos + 0.1) / (n + 2)
+        places = [np.searchsorted(terms, t) for t, _ in docs]
+        c = np.bincount(np.concatenate(places), minlength=len(terms)).astype(float)
+        a = np.bincount(np.concatenate(places), weights=np.repeat(y, [len(x) for x in places]), minlength=len(terms))
+        r = np.abs(a * n - c * pos) / np.sqrt(np.maximum(pos * (n - pos) * c * (n - c), 1e-9))
+        self.weight = (np.log((n_docs + 1) / (df + 1)) + 1) * r
+        self.other = (np.log((n_docs + 1) / 2) + 1) * float(r[c == 1].mean() if (c == 1).any() else r.mean() if len(r) else 0)
+        vec = [self._weights(x, m, np.zeros(0)) for x, (_, m) in zip(places, docs)]
         # like examples share blocks, so block maxima are tight
-        some.sort(key=lambda k: (tuple(vec[k][0][np.argsort(-vec[k][1])][:3]), k))
-        self.ids, self.y = [ids[k] for k in some], labels[some].astype(float)
-        blocks = max(1, -(-len(some) // BLOCK))
-        self.tiles = np.zeros((blocks, len(terms), BLOCK), np.float32)
-        for at, k in enumerate(some):
-            self.tiles[at // BLOCK, vec[k][0], at % BLOCK] = vec[k][1]
-        self.top = self.tiles.max(2)  # blocks x terms
-        raw = np.array([self.vote(*vec[k], skip=at)[0] for at, k in enumerate(some)])
-        self.x, self.p = _isotonic(raw, self.y)
-
-    def vector(self, t: np.ndarray, n: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary places and weights of a text's distinct terms and counts. The norm is that of
-        the whole text: each of its ``total`` terms outside the vocabulary counts one."""
+        order = sorted(range(n), key=lambda k: (tuple(places[k][np.argsort(-vec[k], kind="stable")][:3].tolist()), k))
+        self.ids, self.y, self.rank = [ids[k] for k in order], y[order], np.array(order, np.int64)
+        self.n, self.blocks = n, -(-n // BLOCK)
+        ex = np.repeat(np.arange(n), [len(places[k]) for k in order])
+        t, w = np.concatenate([places[k] for k in order]), np.concatenate([vec[k] for k in order])
+        by = np.argsort(t, kind="stable")
+        t, self.ex, self.w = t[by], ex[by].astype(np.int32), w[by]
+        # runs of postings of one term and one block, with their largest weight
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (self.ex[1:] // BLOCK != self.ex[:-1] // BLOCK)
+        self.run = np.append(np.flatnonzero(new), len(t))
+        self.block = self.ex[self.run[:-1]] // BLOCK
+        self.top = np.maximum.reduceat(self.w, self.run[:-1]) if len(t) else np.zeros(0)
+        self.first = np.searchsorted(t[self.run[:-1]], np.arange(len(terms) + 1))
+        votes = np.zeros(n)
+        for i in range(0, n, TEXTS):
+            some = range(i, min(n, i + TEXTS))
+            q = [(places[order[k]], vec[order[k]]) for k in some]
+            votes[i : i + len(q)] = self.votes(q, np.array(some))[0]
+        self.x, self.p = _isotonic(votes, self.y)
+
+    def _weights(self, place: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Weights of known terms, over the length of the whole vector; rest: the counts of the unknown ones."""
+        w = (1 + np.log(counts)) * self.weight[place]
+        return w / np.sqrt(max(float(w @ w) + self.other**2 * float(((1 + np.log(rest)) ** 2).sum()), 1e-300))
+
+    def query(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of a text's distinct terms with counts."""
         at = np.searchsorted(self.terms, t)
         at[at == len(self.terms)] = 0
-        ok = self.terms[at] == t if len(self.terms) else np.zeros(len(t), bool)
-        at, n = at[ok], n[ok]
-        w = (1 + np.log(n)) * self.idf[at]
-        return at, (w / np.sqrt(max(float(w @ w) + max(total - n.sum(), 0), 1e-12))).astype(np.float32)
-
-    def nearest(self, t: np.ndarray, q: np.ndarray, k: int = NEAREST, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, exact."""
-        bound = self.top[:, t] @ q
-        ids, sims, low = np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0
-        for b in np.argsort(-bound, kind="stable"):
-            if len(ids) >= k and bound[b] < low:
-                break
-            s = q @ self.tiles[b][t]
-            at = np.flatnonzero((s >= low) & (s > 0)) if len(ids) >= k else np.flatnonzero(s > 0)
-            at = at[at + b * BLOCK != skip]
-            ids, sims = np.append(ids, at + b * BLOCK), np.append(sims, s[at])
-            if len(ids) > k:
-                keep = np.lexsort((ids, -sims))[:k]
-                ids, sims = ids[keep], sims[keep]
-            if len(ids) >= k:
-                low = float(sims.min())
-        order = np.lexsort((ids, -sims))
-        return ids[order], sims[order]
-
-    def vote(self, t: np.ndarray, q: np.ndarray, skip: int = -1):
-        ids, sims = self.nearest(t, q, skip=skip)
-        w = 1 / (1.05 - np.clip(sims, 0, 1)) - 1 / 1.05  # falls to 0 with distance
-        return float((w * self.y[ids]).sum() / (w.sum() + PRIOR)), ids
-
-    def score(self, t: np.ndarray, n: np.ndarray, total: int) -> tuple[float, list[int]]:
-        t, q = self.vector(t, n, total)
-        if not len(t):
-            return self.zero, []
-        raw, ids = self.vote(t, q)
-        s = 0.98 * float(np.interp(raw, self.x, self.p)) + 0.02 * raw
-        return min(1.0, max(0.0, s)), [self.ids[i] for i in ids[:3]]
+        known = self.terms[at] == t if len(self.terms) else np.zeros(len(t), bool)
+        return at[known], self._weights(at[known], counts[known], counts[~known])
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, the places and cosines (above 0) of the NEAREST examples, exact; skip: a place each leaves out."""
+        d = len(queries)
+        place, q = np.concatenate([x[0] for x in queries]), np.concatenate([x[1] for x in queries])
+        doc = np.repeat(np.arange(d), [len(x[0]) for x in queries])
+        many = self.first[place + 1] - self.first[place]
+        run = _spread(self.first[place], many)
+        doc, q = np.repeat(doc, many), np.repeat(q, many)
+        block = self.block[run]
+        bound = np.bincount(doc * self.blocks + block, weights=q * self.top[run], minlength=d * self.blocks).reshape(d, self.blocks)
+        scores = np.zeros((d, self.n))
+        low = np.zeros((d, 1))
+        if self.blocks > FIRST:
+            high = bound >= np.partition(bound, self.blocks - FIRST, axis=1)[:, [self.blocks - FIRST]]
+        else:
+            high = np.ones_like(bound, bool)
+        for opened in (high, None):
+            if opened is None:
+                # a block stays shut only if its bound is under what NEAREST examples have reached (with room for rounding)
+                opened = ~high & (bound > 0) & (bound * (1 + 1e-9) >= low)
+            use = np.flatnonzero(opened[doc, block])
+            if len(use):
+                size = self.run[run[use] + 1] - self.run[run[use]]
+                at = _spread(self.run[run[use]], size)
+                key = np.repeat(doc[use], size) * self.n + self.ex[at]
+                scores += np.bincount(key, weights=np.repeat(q[use], size) * self.w[at], minlength=d * self.n).reshape(d, self.n)
+            if skip is not None:
+                scores[np.arange(d), skip] = 0
+            if self.n > NEAREST:
+                low = np.partition(scores, self.n - NEAREST, axis=1)[:, [self.n - NEAREST]]
+        out = []
+        for k in range(d):
+            at = np.flatnonzero((scores[k] >= low[k]) & (scores[k] > 0))
+            at = at[np.lexsort((self.rank[at], -scores[k][at]))][:NEAREST]
+            out.append((at, scores[k][at]))
+        return out
+
+    def votes(self, queries, skip: np.ndarray | None = None) -> tuple[np.ndarray, list[list[int]]]:
+        """Each query's share of toxic votes, and its three nearest examples."""
+        raw, ids = np.zeros(len(queries)), []
+        for k, (at, s) in enumerate(self.nearest(queries, skip)):
+            w = np.clip(s, 0, 1) ** 3
+            raw[k] = float((w * self.y[at]).sum() / (w.sum() + PRIOR))
+            ids.append([self.ids[i] for i in at[:3]])
+        return raw, ids
+
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[list[int]]]:
+        """Score and evidence of texts given as distinct terms and counts."""
+        queries = [self.query(*t) for t in texts]
+        raw, ids = self.votes(queries)
+        s = np.clip(0.98 * np.interp(raw, self.x, self.p) + 0.02 * raw, 0, 1)
+        return np.where([bool(i) for i in ids], s, self.zero), ids
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,30 +194,47 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] for p in pools]), np.array([p[0] for p in pools])
 
 
+def _frequencies(terms):
+    """Task's counts of the texts that hold each of the terms, and the number of texts (place -1)."""
+
+    def run(batches):
+        known = terms.value
+        df, n = np.zeros(len(known), np.int64), 0
+        for batch in batches:
+            for i, j, h, at in _rows(batch.column(0)):
+                n += j - i
+                place = np.searchsorted(known, h)
+                place[place == len(known)] = 0
+                ok = known[place] == h
+                row = np.repeat(np.arange(j - i), np.diff(at))[ok]
+                df += np.bincount(np.unique(row * len(known) + place[ok]) % len(known), minlength=len(known))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["place", "n"])
+
+    return run
+
+
 def fit(train: DataFrame, docs: DataFrame) -> Index | None:
     """Learn from labels (doc_id, toxic) of the texts of docs (doc_id, text)."""
     ids = train.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("toxic").cast("long"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE).dropDuplicates(["doc_id"])
-    some = docs.select(F.col("doc_id").cast("long"), F.lower(F.col("text").cast("string")).alias("text")).join(F.broadcast(ids), "doc_id")  # SAMPLE rows
-    some = written(map_batches(some.select("doc_id", "toxic", "text"), _terms, "doc_id long, toxic long, terms array<long>, counts array<long>"), "examples")
-    n, pos = some.agg(F.count("*"), F.sum("toxic")).first()
-    if not n:
+    rows = docs.select(F.col("doc_id").cast("long"), F.lower(F.col("text").cast("string")).alias("text"))
+    some = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")  # SAMPLE rows
+    some = written(map_batches(some, _terms, "doc_id long, toxic long, terms array<long>, counts array<long>"), "examples")
+    # repeated rows of a doc_id may be more than SAMPLE
+    got = some.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms", "counts")).limit(SAMPLE).toArrow()
+    discard(some)
+    if not got.num_rows:
         return None
-    pos, neg = pos or 0, n - (pos or 0)
-    each = some.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("toxic").alias("a"), F.count("*").alias("c"))
-    # chi-square of the 2 x 2 table of presence and label
-    a, c = F.col("a").cast("double"), F.col("c").cast("double")
-    chi = n * F.pow(a * (neg - (c - a)) - (c - a) * (pos - a), 2) / (F.lit(float(max(pos * neg, 1))) * c * (n - c + 1e-9))
-    best = each.withColumn("chi", chi).where((F.col("chi") >= CHI2) & (a * n >= LIFT * pos * c)).orderBy(F.desc("chi"), "t").limit(VOCABULARY).collect()
-    terms = np.array([r["t"] for r in best], np.int64).view(np.uint64)
-    idf = np.log((n + 1) / (np.array([r["c"] for r in best], float) + 1)) + 1
-    known = [r["t"] for r in best]
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    kept = some.select("doc_id", "toxic", F.arrays_zip("terms", "counts").alias("z"), total.alias("total"))
-    have = F.array(*[F.lit(t) for t in known]) if known else F.array().cast("array<bigint>")
-    rows = kept.select("doc_id", "toxic", "total", F.filter("z", lambda z: F.array_contains(have, z["terms"])).alias("z")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    vec = [(np.array([z["terms"] for z in r["z"]], np.int64).view(np.uint64), np.array([z["counts"] for z in r["z"]], float), r["total"]) for r in rows]
-    return Index(terms, idf, [r["doc_id"] for r in rows], np.array([r["toxic"] for r in rows]), vec)
+    columns = [[x.values.to_numpy(zero_copy_only=False) for x in got[c]] for c in ("terms", "counts")]
+    vec = [(t.view(np.uint64), n.astype(float)) for t, n in zip(*columns)]
+    terms = np.unique(np.concatenate([t for t, _ in vec]))
+    df, n_docs = np.zeros(len(terms)), docs.count()
+    if len(terms):
+        shared = docs.sparkSession.sparkContext.broadcast(terms)
+        counts = map_batches(rows.select("text"), _frequencies(shared), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("place >= 0").toArrow()
+        df[counts["place"].to_numpy()] = counts["n"].to_numpy()  # a number for each term of the sample
+    return Index(terms, df, n_docs, got["doc_id"].to_pylist(), got["toxic"].to_numpy(), vec)
 
 
 def score(docs: DataFrame, index: Index | None) -> DataFrame:
@@ -178,14 +246,13 @@ def score(docs: DataFrame, index: Index | None) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        seen = np.zeros(1 << 16, bool)
-        seen[m.terms >> np.uint64(48)] = True
         for batch in batches:
             for i, j, h, at in _rows(batch.column(1)):
-                maybe = np.flatnonzero(seen[h >> np.uint64(48)])
-                total, h, at = np.diff(at), h[maybe], np.searchsorted(maybe, at)
-                out = [m.score(*np.unique(h[at[d] : at[d + 1]], return_counts=True), int(total[d])) for d in range(j - i)]
-                cols = [batch.column(0).slice(i, j - i), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "evidence"])
+                a = 0
+                while a < j - i:
+                    b = max(a + 1, min(a + TEXTS, int(np.searchsorted(at, at[a] + TERMS, side="right")) - 1))
+                    s, evidence = m.scores([np.unique(h[at[d] : at[d + 1]], return_counts=True) for d in range(a, b)])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + a, b - a), pa.array(s), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+                    a = b
 
     return map_batches(rows, run, "doc_id long, score double, evidence array<long>")

@@ -252,6 +252,41 @@ def test_encoder_equals_the_library():
 # ------------------------------------------------------------------ 4, 8
 
 
+def bag(t):
+    """Words and beginnings of longer words with their counts."""
+    out = {}
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", t.lower().encode()):
+        for x in (w, *[(n, w[:n]) for n in toxicity.BEGINNINGS if len(w) > n]):
+            out[x] = out.get(x, 0) + 1
+    return out
+
+
+def test_toxicity_opens_all_blocks_that_matter():
+    """Two-step opening of blocks gives what scoring of every example gives, ties included."""
+    r = np.random.default_rng(4)
+    terms = np.arange(1, 400).astype(np.uint64)
+    docs = []
+    for k in range(900):
+        t = np.unique(r.zipf(1.3, 12) % 399)
+        docs.append((terms[t], r.integers(1, 4, len(t)).astype(float)))
+    docs[5] = docs[700] = docs[3]
+    used = np.unique(np.concatenate([t for t, _ in docs]))
+    ix = toxicity.Index(used, np.full(len(used), 9.0), 900, list(range(900)), r.integers(0, 2, 900), docs)
+    dense = np.zeros((900, len(used)))
+    for e in range(900):
+        k = ix.ids[e]
+        at, w = ix.query(*docs[k])
+        dense[e, at] = w
+    for k in list(range(0, 900, 90)) + [3]:
+        at, w = ix.query(*docs[k])
+        flat = dense[:, at] @ w
+        want = np.lexsort((ix.rank, -np.round(flat, 12)))[: toxicity.NEAREST]
+        place, s = ix.nearest([(at, w)])[0]
+        assert np.allclose(s, flat[want], atol=1e-9) and np.allclose(s, flat[place], atol=1e-9)
+    at = [ix.ids[p] for p in ix.nearest([ix.query(*docs[3])])[0][0][:3]]
+    assert at == [3, 5, 700]
+
+
 def test_toxicity_index_is_exact_and_learns(spark):
     r = random.Random(10)
     texts, labels = [], []
@@ -265,12 +300,29 @@ def test_toxicity_index_is_exact_and_learns(spark):
     docs = docs_of(spark, texts)
     train = spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id < 300")
     ix = toxicity.fit(train, docs)
-    for b in range(20):
-        q = np.unique(np.random.default_rng(b).integers(0, len(ix.terms), 3))
-        w = np.ones(len(q), np.float32) / np.sqrt(len(q))
-        flat = np.concatenate([t[q].T @ w for t in ix.tiles])
-        want = np.sort(flat[flat > 0])[::-1][: toxicity.NEAREST]
-        assert np.allclose(ix.nearest(q, w)[1], want, atol=1e-6)
+    assert ix.n == 300 and ix.blocks > toxicity.FIRST - 2
+    # the same cosines from the texts themselves: every term, idf over all documents, phi over the examples
+    bags = {i: bag(t) for i, t in texts}
+    df = {}
+    for v in bags.values():
+        for t in v:
+            df[t] = df.get(t, 0) + 1
+    phi, y = {}, dict(labels)
+    pos = sum(y[i] for i in range(300))
+    for t in {t for i in range(300) for t in bags[i]}:
+        c, a = (sum(f(i) for i in range(300) if t in bags[i]) for f in (lambda i: 1, lambda i: y[i]))
+        phi[t] = abs(a * 300 - c * pos) / math.sqrt(max(pos * (300 - pos) * c * (300 - c), 1e-9))
+    once = [phi[t] for t in phi if sum(t in bags[i] for i in range(300)) == 1]
+    rest = np.mean(once) if once else np.mean(list(phi.values()))
+    vec = {}
+    for i, v in bags.items():
+        w = {t: (1 + math.log(n)) * (math.log(501 / ((df[t] if t in phi else 1) + 1)) + 1) * phi.get(t, rest) for t, n in v.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        vec[i] = {t: x / norm for t, x in w.items()}
+    for i in (300, 305, 311, 404, 450):
+        sims = sorted((sum(x * vec[e].get(t, 0) for t, x in vec[i].items() if t in phi) for e in range(300)), reverse=True)[: toxicity.NEAREST]
+        h = next(iter(toxicity._rows(pa.array([dict(texts)[i]]))))[2]
+        assert np.allclose(ix.nearest([ix.query(*np.unique(h, return_counts=True))])[0][1], sims, atol=1e-9)
     got = {x.doc_id: x.score for x in toxicity.score(docs, ix).collect()}
     test = [(got[i], y) for i, y in labels if i >= 300]
     assert np.mean([(s >= 0.7) == bool(y) for s, y in test]) >= 0.97
