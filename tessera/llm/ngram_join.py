@@ -236,16 +236,16 @@ def links(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5) -> tuple[Da
 def _live(rows: DataFrame, reps: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
     """(doc_id, k1, n, tokens) of one row for each set that may have a partner."""
     head = map_batches(rows.where("text IS NOT NULL AND doc_id IS NOT NULL"), _sets(shingle, "head"), "doc_id long, n long, k1 long, k2 long, tokens array<long>")
-    head = written(head.select("k1", "tokens"), "head")
+    # hashed twice: the tokens' table would be as large as their shuffle
     each = head.select("k1", F.explode("tokens").alias("t"))
     twice = each.groupBy("t").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("t")
     twice = written(twice, "twice")
-    n_shared = each.join(twice, "t", "left_semi").distinct().groupBy("k1").agg(F.count("*").alias("c"))
+    # tables that grow with the input are merged, never broadcast
+    n_shared = each.join(twice.hint("merge"), "t", "left_semi").distinct().groupBy("k1").agg(F.count("*").alias("c"))
     # a partner may be as small as need(n), whose own head guarantees p(need(n)) shared tokens
     least = F.ceil(F.col("n") * p / q).cast("long")
     least = least - F.ceil(least * p / q).cast("long") + 1
     ids = written(reps.join(n_shared, "k1").where(F.col("c") >= least).select(F.col("rep").alias("doc_id"), "k1", "k2"), "possible")
-    discard(head)
     discard(twice)
     some = rows.where("text IS NOT NULL").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
     live = map_batches(some, _sets(shingle, "all"), "doc_id long, n long, k1 long, k2 long, tokens array<long>")
@@ -260,7 +260,7 @@ def _lists(live: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
     the signatures that more than one set shows."""
     each = live.select("doc_id", "k1", F.explode("tokens").alias("t"))
     count = each.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    known = each.join(written(count, "counts"), "t").groupBy("doc_id", "k1").agg(F.sort_array(F.collect_list(F.struct("t", "c"))).alias("tc"))
+    known = each.join(written(count, "counts").hint("merge"), "t").groupBy("doc_id", "k1").agg(F.sort_array(F.collect_list(F.struct("t", "c"))).alias("tc"))
     known = live.select("doc_id", "k1", "n").join(known, ["doc_id", "k1"]).where(F.size("tc") * q >= F.col("n") * p)
     known = written(known.select("doc_id", "k1", "n", F.col("tc.t").alias("tokens"), F.col("tc.c").alias("c")), "held")
     discard(live)
