@@ -525,6 +525,13 @@ def test_line_dedup_of_one_boilerplate_with_many_tails(spark):
     assert got == {i: keep(i, t) for i, t in texts}
 
 
+def test_minima_that_two_similar_lines_share():
+    """Of pairs at the similarity, next to none has fewer than EQUAL equal minima or no common band."""
+    n, b, r = line_dedup.BANDS * line_dedup.ROWS, line_dedup.BANDS, line_dedup.ROWS
+    fewer = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(line_dedup.EQUAL))
+    assert fewer < 0.001 and (1 - 0.8**r) ** b < 0.003
+
+
 def test_line_dedup_of_a_doc_id_with_two_texts(spark):
     """A row loses its own lines, never the line that stands in the same place of another row."""
     texts = [(1, "a line that both of them hold, here first"), (5, "a line that both of them hold, here first\nanother one of the first row"), (5, "a unique line that nobody else holds\nqq ww")]
