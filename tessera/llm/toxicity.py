@@ -4,10 +4,10 @@ Examples are a bounded sample of labelled texts. Texts are vectors over every te
 examples (words, and the beginnings of longer ones): (1 + log count) * idf * r, where idf comes
 from all documents and r is the strength of the term's association with the label among the
 examples (the absolute phi coefficient of their 2 x 2 table), so that function words do not decide who is near.
-No term is left out. The index keeps, for every term, its postings in blocks of ``BLOCK`` examples with the
-largest weight in each block. A query bounds every block by its block maxima, opens the
-blocks of the highest bounds, and then all others that may still hold one of the k nearest,
-so the neighbours by cosine are exact. Their labels vote with weights that fall with
+No term is left out. The index keeps postings for every term; those of frequent terms lie in blocks of
+``BLOCK`` examples with the largest weight in each block. A query reads the postings of its rare terms, bounds
+what frequent terms can add in every block by the block maxima, opens the blocks of the highest sums, and then all
+others that may still hold one of the k nearest, so the neighbours by cosine are exact. Their labels vote with weights that fall with
 distance, and an isotonic map, fitted on leave-one-out votes of the examples, turns the vote
 into a calibrated score. Neighbours are reported as evidence.
 
@@ -33,12 +33,14 @@ SAMPLE = 4000
 BLOCK, NEAREST = 64, 10
 #: Blocks that are opened before the others' bounds are held against what was found.
 FIRST = 6
+#: A term is frequent if more than one in so many examples has it.
+FREQUENT = 12
 #: Weight of "no evidence" in a vote.
 PRIOR = 0.0005
 #: Beginnings of longer words, in bytes, that are terms too: they stand for inflected and compound forms.
 BEGINNINGS = (3, 5, 7)
 #: Texts that are scored at once, and terms of them at most (a longer text stands alone).
-TEXTS, TERMS = 64, 20_000
+TEXTS, TERMS = 64, 30_000
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 256, dtype=np.uint64)
 
 
@@ -99,13 +101,15 @@ class Index:
         t, w = np.concatenate([places[k] for k in order]), np.concatenate([vec[k] for k in order])
         by = np.argsort(t, kind="stable")
         t, self.ex, self.w = t[by], ex[by].astype(np.int32), w[by]
-        # runs of postings of one term and one block, with their largest weight
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (self.ex[1:] // BLOCK != self.ex[:-1] // BLOCK)
-        self.run = np.append(np.flatnonzero(new), len(t))
-        self.block = self.ex[self.run[:-1]] // BLOCK
-        self.top = np.maximum.reduceat(self.w, self.run[:-1]) if len(t) else np.zeros(0)
-        self.first = np.searchsorted(t[self.run[:-1]], np.arange(len(terms) + 1))
+        self.first = np.searchsorted(t, np.arange(len(terms) + 1))
+        # frequent terms: their postings as blocks of examples x terms, and the largest weight of each term in a block
+        often = np.flatnonzero(c * FREQUENT > n)
+        self.often = np.full(len(terms), -1)
+        self.often[often] = np.arange(len(often))
+        self.tiles = np.zeros((self.blocks * BLOCK, len(often)))
+        some = self.often[t] >= 0
+        self.tiles[self.ex[some], self.often[t[some]]] = self.w[some]
+        self.top = self.tiles.reshape(self.blocks, BLOCK, len(often)).max(1).T
         votes = np.zeros(n)
         for i in range(0, n, TEXTS):
             some = range(i, min(n, i + TEXTS))
@@ -127,39 +131,41 @@ class Index:
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query, the places and cosines (above 0) of the NEAREST examples, exact; skip: a place each leaves out."""
-        d = len(queries)
+        d, width = len(queries), self.blocks * BLOCK
         place, q = np.concatenate([x[0] for x in queries]), np.concatenate([x[1] for x in queries])
         doc = np.repeat(np.arange(d), [len(x[0]) for x in queries])
+        dense = self.often[place]
+        common = np.zeros((d, self.top.shape[0]))
+        common[doc[dense >= 0], dense[dense >= 0]] = q[dense >= 0]
+        doc, place, q = doc[dense < 0], place[dense < 0], q[dense < 0]
         many = self.first[place + 1] - self.first[place]
-        run = _spread(self.first[place], many)
-        doc, q = np.repeat(doc, many), np.repeat(q, many)
-        block = self.block[run]
-        bound = np.bincount(doc * self.blocks + block, weights=q * self.top[run], minlength=d * self.blocks).reshape(d, self.blocks)
-        scores = np.zeros((d, self.n))
+        at = _spread(self.first[place], many)
+        key = np.repeat(doc * width, many) + self.ex[at]
+        scores = np.bincount(key, weights=np.repeat(q, many) * self.w[at], minlength=d * width).astype(float).reshape(d, self.blocks, BLOCK)
+        if skip is not None:
+            scores.reshape(d, width)[np.arange(d), skip] = -np.inf
+        bound = common @ self.top
+        reach = scores.max(2) + bound
+        shut = np.ones((d, self.blocks), bool)
         low = np.zeros((d, 1))
-        if self.blocks > FIRST:
-            high = bound >= np.partition(bound, self.blocks - FIRST, axis=1)[:, [self.blocks - FIRST]]
-        else:
-            high = np.ones_like(bound, bool)
-        for opened in (high, None):
-            if opened is None:
-                # a block stays shut only if its bound is under what NEAREST examples have reached (with room for rounding)
-                opened = ~high & (bound > 0) & (bound * (1 + 1e-9) >= low)
-            use = np.flatnonzero(opened[doc, block])
-            if len(use):
-                size = self.run[run[use] + 1] - self.run[run[use]]
-                at = _spread(self.run[run[use]], size)
-                key = np.repeat(doc[use], size) * self.n + self.ex[at]
-                scores += np.bincount(key, weights=np.repeat(q[use], size) * self.w[at], minlength=d * self.n).reshape(d, self.n)
-            if skip is not None:
-                scores[np.arange(d), skip] = 0
+        for first in (True, False):
+            # a block stays shut only if its bound is under what NEAREST examples have reached (with room for rounding)
+            if first and self.blocks > FIRST:
+                opened = reach >= np.partition(reach, self.blocks - FIRST, axis=1)[:, [self.blocks - FIRST]]
+            else:
+                opened = shut & (bound > 0) & (reach + 1e-9 >= low)
+            for b in np.flatnonzero(opened.any(0)):
+                who = np.flatnonzero(opened[:, b])
+                scores[who, b] += common[who] @ self.tiles[b * BLOCK : (b + 1) * BLOCK].T
+            shut &= ~opened
             if self.n > NEAREST:
-                low = np.partition(scores, self.n - NEAREST, axis=1)[:, [self.n - NEAREST]]
+                low = np.partition(scores.reshape(d, width), width - NEAREST, axis=1)[:, [width - NEAREST]]
         out = []
-        for k in range(d):
-            at = np.flatnonzero((scores[k] >= low[k]) & (scores[k] > 0))
-            at = at[np.lexsort((self.rank[at], -scores[k][at]))][:NEAREST]
-            out.append((at, scores[k][at]))
+        for one in np.round(scores.reshape(d, width), 12):
+            least = np.partition(one, width - NEAREST)[width - NEAREST] if width > NEAREST else 0
+            at = np.flatnonzero((one >= least) & (one > 0))
+            at = at[np.lexsort((self.rank[at], -one[at]))][:NEAREST]
+            out.append((at, one[at]))
         return out
 
     def votes(self, queries, skip: np.ndarray | None = None) -> tuple[np.ndarray, list[list[int]]]:
