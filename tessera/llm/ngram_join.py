@@ -247,9 +247,9 @@ def _live(rows: DataFrame, reps: DataFrame, shingle: int, p: int, q: int) -> Dat
     least = least - F.ceil(least * p / q).cast("long") + 1
     ids = written(reps.join(n_shared, "k1").where(F.col("c") >= least).select(F.col("rep").alias("doc_id"), "k1", "k2"), "possible")
     discard(twice)
-    some = rows.where("text IS NOT NULL").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    some = rows.where("text IS NOT NULL").join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     live = map_batches(some, _sets(shingle, "all"), "doc_id long, n long, k1 long, k2 long, tokens array<long>")
-    live = live.join(ids, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+    live = live.join(ids.hint("merge"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
     live = written(live.select("doc_id", "k1", "n", "tokens"), "live")
     discard(ids)
     return live
