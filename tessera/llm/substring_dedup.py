@@ -1,17 +1,17 @@
 """Exact substring dedup by level-wise doubling.
 
-A window of ``min_words`` words can only recur where its halves recur. So windows of half
-the length are looked at first, and of those only the ones that content selects: the one
-with the least hash inside each full window, which equal full windows share. Selected
-halves found in two documents survive and are extended to the double length, which is
-compared in full; there the length asked for is reached (longer windows cannot change
-what is covered). A word is removed if it lies in a full window that also starts in a
-document with a smaller doc_id; windows are judged on the input.
+A window of ``min_words`` words can only recur where its parts recur. So short windows are
+looked at first, and of those only the ones that content selects: the one with the least hash
+inside each full window, which equal full windows share. Windows found in two texts survive
+and are extended to twice the length: of the full windows around a survivor, the selected window of the
+double length is looked up again, and so on until no candidate survives or the length asked for is
+reached, where full windows are compared (longer windows cannot change what is covered).
+A word is removed if it lies in a full window that also starts in a document with a smaller
+doc_id; windows are judged on the input.
 
 Defined results: a null or empty text has no words; rows without doc_id are kept whole and
-remove nothing; repeated rows with one doc_id do not remove each other and are one document
-(if their texts differ, the places found in one count in all); windows do not cross
-documents; texts of fewer than min_words words stay whole.
+remove nothing; rows with one doc_id do not remove each other, and each loses only what other documents
+hold of its own text; windows do not cross documents; texts of fewer than min_words words stay whole.
 """
 
 from __future__ import annotations
@@ -22,9 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import _W1, _W2, Words, chunks, map_batches, signed, sliding, text_buffers, window_rows, windows, written
+from .common import _W1, _W2, Words, chunks, discard, map_batches, signed, sliding, text_buffers, window_rows, windows, written
+
+#: Shortest window that the doubling may begin with.
+BASE = 8
+
+
+def lengths(min_words: int) -> list[int]:
+    """Lengths of the levels, each at most twice the one before, up to min_words."""
+    out = [min_words]
+    while (out[0] + 1) // 2 >= BASE:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
 def _least(w: Words, length: int, full: int):
@@ -35,8 +45,20 @@ def _least(w: Words, length: int, full: int):
     return starts, row, sliding(windows(w.h, length), full - length + 1, np.minimum)[starts]
 
 
-def _anchors(length: int, full: int):
-    """(h, k): the least parts of the full windows of each text, once per text; k names the text."""
+def _surviving(batch, i: int, j: int, row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the full windows' least parts are among the survivors (column 2) of their rows."""
+    alive = batch.column(2)
+    values, ends = alive.values.to_numpy(zero_copy_only=False).view(np.uint64), alive.offsets.to_numpy()
+    keep = np.zeros(len(h), bool)
+    at = np.searchsorted(row, np.arange(j - i + 1))
+    for d in np.unique(row):
+        keep[at[d] : at[d + 1]] = np.isin(h[at[d] : at[d + 1]], values[ends[i + d] : ends[i + d + 1]])
+    return keep
+
+
+def _anchors(length: int, full: int, before: int | None = None):
+    """(h, k): the least parts of ``length`` of the full windows of each text, once per text; k names the text. before: only of
+    the windows whose least part of that length survived."""
 
     def run(batches):
         for batch in batches:
@@ -45,6 +67,9 @@ def _anchors(length: int, full: int):
             for i, j in chunks(off):
                 w = Words(raw, off, i, j)
                 _, row, h = _least(w, length, full)
+                if before and len(h):
+                    keep = _surviving(batch, i, j, row, _least(w, before, full)[2])
+                    row, h = row[keep], h[keep]
                 if len(h):
                     new = np.ones(len(h), bool)  # neighbours mostly share their least part
                     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
@@ -59,19 +84,14 @@ def _extended(length: int, full: int):
 
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            k, ids = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in (0, 3))
             raw, off = text_buffers(batch.column(1))
-            alive = batch.column(2)
-            values, ends = alive.values.to_numpy(zero_copy_only=False).view(np.uint64), alive.offsets.to_numpy()
             for i, j in chunks(off):
                 w = Words(raw, off, i, j)
                 starts, row, h = _least(w, length, full)
                 if not len(h):
                     continue
-                keep = np.zeros(len(h), bool)
-                for d in np.unique(row):
-                    a, b = np.searchsorted(row, [d, d + 1])
-                    keep[a:b] = np.isin(h[a:b], values[ends[i + d] : ends[i + d + 1]])
+                keep = _surviving(batch, i, j, row, h)
                 starts, row = starts[keep], row[keep]
                 if len(starts):
                     h1 = windows(w.h, full, _W1)[starts]
@@ -82,34 +102,50 @@ def _extended(length: int, full: int):
                     starts, row, h1 = starts[pick], row[pick], h1[pick]
                     h2 = windows(w.h, full, _W2)[starts]
                     at = (starts - w.off[row]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), pa.array(ids[row + i]), pa.array(at)], names=["h1", "h2", "doc_id", "at"])
+                    cols = [signed(h1), signed(h2), ids[row + i], k[row + i], at]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc_id", "k", "at"])
 
     return run
 
 
+def _twice(found: DataFrame) -> DataFrame:
+    """(k, alive): of each text, the windows that another text has too."""
+    twice = found.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("h")
+    return written(found.join(twice.hint("merge"), "h", "left_semi").groupBy("k").agg(F.collect_set("h").alias("alive")), "alive")
+
+
 def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, copy boolean, at array<int>) of the documents that lose words.
+    """(doc_id, k, copy boolean, at array<int>) of the texts that lose words; k is the text's xxhash64.
 
     copy: a smaller doc_id has the same text, so every full window goes. at: first starts of the
     windows that also start in a smaller doc_id. Equal texts are looked into once, by their least doc_id.
     """
-    half = (min_words + 1) // 2
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     some = some.withColumns({"k": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), F.col("text"))})
     names = written(some.select("doc_id", "k", "k2"), "names")
-    reps = names.groupBy("k", "k2").agg(F.min("doc_id").alias("rep"))
-    copies = names.join(reps, ["k", "k2"]).where("rep < doc_id").select("doc_id").distinct()
-    found = written(map_batches(some.select("k", "text"), _anchors(half, min_words), "h long, k long"), "anchors")
-    twice = found.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("h")
-    alive = found.join(twice, "h", "left_semi").groupBy("k").agg(F.collect_set("h").alias("alive"))
-    alive = written(alive.join(reps, "k").select(F.col("rep").alias("doc_id"), "k", "k2", "alive"), "alive")
-    wide = some.join(alive, ["doc_id", "k", "k2"]).select("doc_id", "text", "alive")
-    cand = map_batches(wide, _extended(half, min_words), "h1 long, h2 long, doc_id long, at int")
-    first = Window.partitionBy("h1", "h2")
-    late = cand.withColumn("first", F.min("doc_id").over(first)).where("first < doc_id")
-    late = written(late.groupBy("doc_id").agg(F.collect_set("at").alias("at")), "late")
+    reps = written(names.groupBy("k", "k2").agg(F.min("doc_id").alias("rep")), "reps")
+    copies = written(names.join(reps, ["k", "k2"]).where("rep < doc_id").select("doc_id", "k").distinct(), "copies")
+    discard(names)
+    levels = lengths(min_words)
+    found = written(map_batches(some.select("k", "text"), _anchors(levels[0], min_words), "h long, k long"), "anchors")
+    for length, before in [*zip(levels[1:-1], levels), (None, levels[-2] if len(levels) > 1 else min_words)]:
+        alive = _twice(found)
+        discard(found)
+        one = alive.join(reps, "k").select(F.col("rep").alias("doc_id"), "k", "k2", "alive")
+        wide = some.join(one, ["doc_id", "k", "k2"]).select("k", "text", "alive", "doc_id")
+        if length:
+            found = written(map_batches(wide, _anchors(length, min_words, before), "h long, k long"), "anchors")
+        else:
+            found = written(map_batches(wide, _extended(before, min_words), "h1 long, h2 long, doc_id long, k long, at int"), "windows")
+        discard(alive)
+    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = written(first.select("h1", "h2", "first"), "first")
+    late = found.join(first.hint("merge"), ["h1", "h2"]).where("first < doc_id").groupBy("doc_id", "k").agg(F.collect_set("at").alias("at"))
+    late = written(late, "late")
+    for x in (found, first, reps):
+        discard(x)
     no = F.lit(None).cast("array<int>")
-    return late.select("doc_id", F.lit(False).alias("copy"), "at").unionByName(copies.select("doc_id", F.lit(True).alias("copy"), no.alias("at")))
+    return late.select("doc_id", "k", F.lit(False).alias("copy"), "at").unionByName(copies.select("doc_id", "k", F.lit(True).alias("copy"), no.alias("at")))
 
 
 def kept_words(docs: DataFrame, found: DataFrame, min_words: int = 50, with_text: bool = True) -> DataFrame:
@@ -145,9 +181,9 @@ def kept_words(docs: DataFrame, found: DataFrame, min_words: int = 50, with_text
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    per = found.groupBy("doc_id").agg(F.max("copy").alias("copy"), F.max("at").alias("at"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = rows.join(per, "doc_id", "left").select("doc_id", "text", "copy", "at")
+    per = found.groupBy("doc_id", "k").agg(F.max("copy").alias("copy"), F.max("at").alias("at"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("k"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = rows.join(per, ["doc_id", "k"], "left").select("doc_id", "text", "copy", "at")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return map_batches(rows, run, schema)
 

@@ -66,7 +66,7 @@ def words(t):
 
 def brute_substrings(texts, n=50):
     first, out = {}, {}
-    for i, t in sorted(x for x in texts if x[0] is not None):
+    for i, t in sorted((x for x in texts if x[0] is not None), key=lambda x: x[0]):
         w = words(t)
         for p in range(len(w) - n + 1):
             first.setdefault(tuple(w[p : p + n]), i)
@@ -81,12 +81,28 @@ def brute_substrings(texts, n=50):
     return out
 
 
-@pytest.mark.parametrize("texts", [corpus(1), corpus(2), odd(), []], ids=["a", "b", "odd", "none"])
+def two_texts():
+    """Rows of one doc_id with different texts; passages at other places of each."""
+    r = random.Random(31)
+    a, b, c, d = (prose(r, 60) for _ in range(4))
+    return [(1, a), (5, a), (5, b), (5, b), (6, b + " " + c), (7, c), (7, d + " " + a), (7, "x " + d), (None, a), (9, d), (9, None)]
+
+
+@pytest.mark.parametrize("texts", [corpus(1), corpus(2), odd(), two_texts(), []], ids=["a", "b", "odd", "two", "none"])
 def test_substring_dedup(spark, texts):
     got = {}
     for x in substring_dedup.substring_dedup(docs_of(spark, texts), 50).collect():
         got.setdefault(x.doc_id, []).append((x.n_words, x.n_removed, x.kept_sha256))
-    assert got == brute_substrings(texts)
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in brute_substrings(texts).items()}
+
+
+@pytest.mark.parametrize("n", [5, 9, 16, 33])
+def test_substring_dedup_at_other_lengths(spark, n):
+    """One, two and three levels."""
+    texts = corpus(17, 40)
+    assert len(substring_dedup.lengths(n)) == {5: 1, 9: 1, 16: 2, 33: 3}[n]
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.substring_dedup(docs_of(spark, texts), n).collect()}
+    assert {i: [v] for i, v in got.items()} == brute_substrings(texts, n)
 
 
 # ------------------------------------------------------------------ 2
@@ -287,7 +303,8 @@ def test_toxicity_opens_all_blocks_that_matter():
     assert at == [3, 5, 700]
 
 
-def test_toxicity_index_is_exact_and_learns(spark):
+def test_toxicity_index_is_exact_and_learns(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FREQUENT", 6)
     r = random.Random(10)
     texts, labels = [], []
     for i in range(500):
