@@ -9,38 +9,39 @@ context. It is trained here, on pages of a generator that knows its own labels
 
 Defined results: a null or empty page gives an empty text; white space inside a block
 becomes one space, <br> counts as white space, blocks without text vanish, kept blocks are
-joined by two \\n in page order. Pages of any length are read whole.
+joined by two \\n in page order. Pages of any length are read whole, in one pass; broken markup
+(quotes, comments or elements left open) loses no more text than stated at :func:`tokens`. Repeated rows
+are extracted alike, a null page_id or url stays null, other columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
+import inspect
 import random
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, shared_root
 
 NEAR, FAR, WORDS, MORE = 96, 160, 16, 12
 INPUT, HIDDEN = NEAR + FAR + WORDS + MORE, 24
 
-_IN_TAG = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-#: Dropped with their content: raw text (to the end of the page where unclosed), a head as far as HTML lets it reach
-#: (its end tag may be left out), a self-closed svg alone, and closed elements. An unclosed one loses only its tag.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)"
-    rf"|<(?P<raw>script|style|iframe|noscript)\b{_IN_TAG}>.*?(?:</(?P=raw)\s*>|$)"
-    rf"|<head(?=[\s/>]){_IN_TAG}>(?:\s|<!--.*?(?:-->|$)|<(?:meta|link|base)\b{_IN_TAG}>|<(?P<part>title|script|style|noscript|template)\b{_IN_TAG}>.*?(?:</(?P=part)\s*>|$))*+(?:</head\s*>)?"
-    rf"|<svg\b{_IN_TAG}(?<=/)>"
-    rf"|<(?P<pair>template|svg|object)\b{_IN_TAG}>.*?</(?P=pair)\s*>"
-    rf"|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_IN_TAG})>",
-    re.S | re.I,
-)
+#: A tag whose quoted values hold no angle bracket: matching stops at the next bracket, so all attempts together are linear.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)>")
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_MARK = re.compile(r"[>\"']")
+#: Dropped with what they hold, up to the end of the page where unclosed; and those dropped only where closed.
+_RAW, _PAIR = {"script", "style", "iframe", "noscript"}, {"template", "svg", "object"}
+#: What may stand in a head, whose end tag may be left out.
+_HEAD_VOID, _HEAD_PAIR = {"meta", "link", "base"}, {"title", "script", "style", "noscript", "template"}
+_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW | _PAIR | _HEAD_PAIR}
 _ATTR = re.compile(r"(class|id|role|data-y|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _INLINE = set("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr input label".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +51,78 @@ _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
 
+def tokens(page: str):
+    """(kind, value, attributes) of a page in one pass: "text", "start" and "end" (value: the tag), "space" (something dropped).
+
+    A quote that is never closed is taken for a letter from there on; a comment or raw text that is never closed reaches to the end of the page.
+    """
+    at, last, n = 0, page.rfind(">"), len(page)
+    quotes, never, head = True, set(), False
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last:
+            yield "text", page[at:], ""
+            return
+        if lt > at:
+            text = page[at:lt]
+            if not head or not text.isspace():
+                head = False
+                yield "text", text, ""
+        m = _TAG.match(page, lt)
+        if m:
+            end, tag, attrs, at = m[1], m[2].lower(), m[3], m.end()
+        elif page.startswith("<!--", lt):
+            stop = page.find("-->", lt + 4)
+            at = n if stop < 0 else stop + 3
+            yield "space", "", ""
+            continue
+        elif page.startswith("<![CDATA[", lt) and "]]>" not in never:
+            stop = page.find("]]>", lt)
+            if stop < 0:
+                never.add("]]>")
+                at = lt
+                continue
+            yield "text", html.escape(page[lt + 9 : stop]), ""
+            at = stop + 3
+            continue
+        elif page[lt + 1 : lt + 2] in ("!", "?"):
+            at = page.index(">", lt) + 1
+            continue
+        else:
+            m = _TAG_NAME.match(page, lt)
+            if not m:
+                yield "text", "<", ""
+                at = lt + 1
+                continue
+            k = m.end()
+            while quotes and (mark := _MARK.search(page, k)) and mark[0] != ">":
+                k = page.find(mark[0], mark.end()) + 1
+                quotes = k > 0
+            stop = page.find(">", k) if quotes else -1
+            if stop < 0:  # the end of the page within a tag
+                quotes, stop = False, page.index(">", lt)
+            end, tag, attrs, at = m[1], m[2].lower(), page[m.end() : stop], stop + 1
+        if head:
+            if tag in _HEAD_VOID or (end and tag == "head"):
+                head = not end
+                continue
+            head = tag in _HEAD_PAIR and not end
+        if not end and (tag in _RAW or head or (tag in _PAIR and tag not in never and not (tag == "svg" and attrs.endswith("/")))):
+            stop = _END[tag].search(page, at)
+            if stop or tag in _RAW or head:
+                at = stop.end() if stop else n
+                if not head:
+                    yield "space", "", ""
+                continue
+            never.add(tag)
+        if not end and tag == "head":
+            head = True
+            continue
+        if tag == "svg" and attrs.endswith("/"):
+            continue
+        yield ("end" if end else "start"), tag, attrs
+
+
 class Block:
     __slots__ = ("text", "path", "link")
 
@@ -63,6 +136,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...], str | None]] = []
     parts: list[str] = []
     state = {"link": 0, "in_a": 0}
+    depth: dict[str, list[int]] = {}  # places of each open tag in the stack
 
     def add(text: str) -> None:
         if text:
@@ -78,45 +152,46 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         state["link"] = 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if not tag:
-            if m[0][:9].upper() == "<![CDATA[":
-                add(html.escape(m[0][9:-3]))
-            elif m[0][1] not in "!?":
-                parts.append(" ")
+    for kind, tag, attrs in tokens(page):
+        if kind == "text":
+            add(tag)
+            continue
+        if kind == "space":
+            parts.append(" ")
             continue
-        tag = tag.lower()
         if tag == "a":
-            state["in_a"] = 0 if m["end"] else 1
+            state["in_a"] = 0 if kind == "end" else 1
         if tag in _INLINE:
             if tag == "br":
                 parts.append(" ")
             continue
         flush()
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if kind == "end":
+            if tag in depth:
+                del stack[depth[tag][-1] :]
+                for t, places in list(depth.items()):
+                    while places and places[-1] >= len(stack):
+                        places.pop()
+                    if not places:
+                        del depth[t]
             state["in_a"] = 0
         else:
             while stack and stack[-1][0] in _CLOSES.get(tag, {"p"}):
-                stack.pop()
-            if tag in _VOID or m["attrs"].endswith("/"):
+                closed = stack.pop()[0]
+                depth[closed].pop()
+                if not depth[closed]:
+                    del depth[closed]
+            if tag in _VOID or attrs.endswith("/"):
                 continue
             names, y = [], None
-            for a in _ATTR.finditer(m["attrs"]) if m["attrs"] else ():
+            for a in _ATTR.finditer(attrs) if attrs else ():
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key == "data-y":
                     y = value
                 else:
-                    names += [x.lower() for x in _PARTS.findall(value)][:12] if key in ("class", "id", "role") else [key]
+                    names += [x.lower() for x in _PARTS.findall(value)] if key in ("class", "id", "role") else [key]
+            depth.setdefault(tag, []).append(len(stack))
             stack.append((tag, tuple(names), y))
-    add(page[at:])
     flush()
     return out
 
@@ -147,12 +222,12 @@ def features(seq: list[Block]) -> np.ndarray:
                     row[NEAR + _slot(f"f{s}") % FAR] = 1
             cache[b.path] = row
         x[k, : NEAR + FAR] = row
-        words = _WORD.findall(b.text[:2000].lower())
-        for w in words[:40]:
+        words = _WORD.findall(b.text.lower())
+        for w in words:
             v = _slot(w)
             x[k, NEAR + FAR + v % WORDS] += 1.0 if v & 65536 else -1.0
         n = len(b.text)
-        x[k, NEAR + FAR : -MORE] /= max(1.0, min(len(words), 40)) ** 0.5
+        x[k, NEAR + FAR : -MORE] /= max(1.0, len(words)) ** 0.5
         ends = sum(b.text.count(c) for c in ".!?")
         x[k, -MORE:] = (
             1, np.log1p(n) / 5, min(1.0, b.link / n), min(1.0, 20 * ends / n), n > 120, n < 25, len(b.path) / 8, (k + 1) / len(seq),
@@ -419,10 +494,25 @@ def train(pages: int = 1400, epochs: int = 7, seed: int = 11) -> Labeller:
 _net: list[Labeller] = []
 
 
-def labeller() -> Labeller:
-    """The trained network, fitted once per process."""
-    if not _net:
+def labeller(spark: SparkSession | None = None) -> Labeller:
+    """The trained network, fitted once per process; with a session its weights are kept in the shared folder, under the
+    hash of this code, and read from there by later applications."""
+    if not _net and spark is None:
         _net.append(train())
+    if not _net:
+        source = inspect.getsource(inspect.getmodule(train)).encode()
+        path = f"{shared_root(spark)}/tessera-html-{hashlib.sha256(source + np.__version__.encode()).hexdigest()[:16]}"
+        jvm = spark._jvm
+        done = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            net = Labeller()
+            for r in spark.read.parquet(path).collect():  # a row for each of the network's matrices
+                net.p[r["name"]] = np.frombuffer(r["data"], np.float32).reshape(net.p[r["name"]].shape)
+            _net.append(net)
+        else:
+            _net.append(train())
+            rows = [(k, bytearray(v.astype(np.float32).tobytes())) for k, v in _net[0].p.items()]
+            spark.createDataFrame(rows, "name string, data binary").coalesce(1).write.mode("overwrite").parquet(path)
     return _net[0]
 
 
@@ -433,7 +523,7 @@ def main_texts(pages: list[str | None], net: Labeller) -> list[str]:
 
 def extract(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row (page_id, url, html)."""
-    shared = pages.sparkSession.sparkContext.broadcast(net or labeller())
+    shared = pages.sparkSession.sparkContext.broadcast(net or labeller(pages.sparkSession))
 
     def run(batches):
         for batch in batches:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -492,6 +493,38 @@ def test_html_tags_left_open_lose_no_text(old, new):
     assert [b.text for b in html_extract.blocks(page.replace(old, new))] == want
 
 
+def test_html_of_broken_and_long_pages():
+    """One pass: broken quotes, nesting without end and long texts take time in proportion to the page."""
+    for unit in ('<p x="', "<p x='>", "<svg>", "<div><b>", "</i></p>", "<![CDATA[", "<!x", "<p x=\"'>", "< ", "<a href='>t"):
+        spent = []
+        for n in (4000, 16000):
+            began = time.process_time()
+            html_extract.blocks("<p>One</p>" + unit * n + "<p>Two</p>")
+            spent.append(time.process_time() - began)
+        assert spent[1] < 12 * spent[0] + 0.2, (unit, spent)
+    assert [b.text for b in html_extract.blocks("<p>One</p><p x=\"y>Two</p><p>Three</p>")] == ["One", "Two", "Three"]
+    long = " ".join("word%d" % k for k in range(200_000))
+    assert [b.text for b in html_extract.blocks(f"<p>{long}</p>")] == [long]
+
+
+def test_html_of_odd_tables(spark, monkeypatch):
+    """Empty tables, clashing columns, nulls and repeated rows; weights are read back from the shared folder."""
+    cols = "page_id long, url string, html string, text string, n_chars long, k string"
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>A title</h1><p>The text of the article, which goes on for a while.</p></article></body></html>"
+    rows = [(1, "u", page, "x", 9, "k"), (1, "u", page, "x", 9, "k"), (None, None, page, None, None, None), (2, "v", None, "t", 1, "k")]
+    got = sorted(html_extract.extract(spark.createDataFrame(rows, cols)).collect(), key=str)
+    assert html_extract.extract(spark.createDataFrame([], cols)).collect() == []
+    net = html_extract.labeller()
+    monkeypatch.setattr(html_extract, "_net", [])
+    monkeypatch.setattr(html_extract, "train", lambda: net)
+    html_extract.labeller(spark)
+    html_extract._net.clear()
+    read = html_extract.labeller(spark)
+    assert read is not net and all(np.array_equal(read.p[k], net.p[k]) for k in net.p)
+    assert sorted(html_extract.extract(spark.createDataFrame(rows, cols)).collect(), key=str) == got
+    assert [x.n_chars for x in got].count(0) == 1 and len({x.text for x in got}) == 2
+
+
 def test_html_held_out_pages():
     net = html_extract.labeller()
     seqs = [html_extract.blocks(html_extract.generated(10**9 + k)) for k in range(150)]
