@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ALNUM, LOWER, chunks, map_batches, text_buffers
 
@@ -103,16 +104,12 @@ def _features(batches):
 def fit(train: DataFrame) -> Model | None:
     """Learn from rows (doc_id, text, lang) with a language and a text."""
     train = train.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    langs = sorted(r[0] for r in train.select("lang").distinct().collect())
-    ids = None
-    for g in langs:
-        one = train.where(F.col("lang") == g).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LANG)
-        ids = one if ids is None else ids.unionByName(one)
-    if ids is None:
-        return None
-    some = train.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", F.col("text").cast("string"))  # PER_LANG rows a language
+    # Spark keeps PER_LANG rows of each language in every task before it shuffles them
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = train.select("doc_id", "lang", F.row_number().over(w).alias("n")).where(F.col("n") <= PER_LANG).select("doc_id", "lang").distinct()
+    some = train.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", F.col("text").cast("string"))  # PER_LANG rows a language
     got = map_batches(some, _features, "lang string, x binary").orderBy("lang", F.xxhash64("x")).collect()
-    return Model([r["lang"] for r in got], np.stack([np.frombuffer(r["x"], np.float32) for r in got]))
+    return None if not got else Model([r["lang"] for r in got], np.stack([np.frombuffer(r["x"], np.float32) for r in got]))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -3,12 +3,15 @@
 Rows are ordered by (k1, k2). The exact byte counts below candidate boundaries are taken
 over all partitions; each round looks only into the intervals that still hold a wanted
 boundary and counts 256 sub-intervals of each, until the boundary is within the tolerance
-or falls between two rows. Rows then move once, to the slice of the shard that the
-splitters name.
+or falls between two rows. Boundaries of shards are held to a tight tolerance; those of the slices in which
+a shard is sorted only to a loose one, so few rounds and cells are needed for many slices. Rows then move
+once, to the slice of the shard that the splitters name.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +27,7 @@ def _unsigned(key: str) -> Column:
     return F.col(key).bitwiseXOR(F.lit(_LOW))
 
 
-def _refine(rows: DataFrame, group: Column, key: str, wanted: dict[int, tuple[int, list[int]]], tolerance: int) -> dict[int, tuple[int, int, int, int, int]]:
+def _refine(rows: DataFrame, group: Column, key: str, wanted: dict[int, tuple[int, list[int]]], tolerance: dict[int, int]) -> dict[int, tuple[int, int, int, int, int]]:
     """For each wanted byte count: (group, key, bytes below key, bytes below the next key, rows between).
 
     wanted: for each group value, the bytes before it and the counts sought inside it. Looks at
@@ -53,9 +56,9 @@ def _refine(rows: DataFrame, group: Column, key: str, wanted: dict[int, tuple[in
                     at += r["n"]
             for w in ws:
                 p, lo, hi, r = next(c for c in cells if c[1] <= w <= c[2])
-                if r["a"] == r["b"] or w - lo <= tolerance:
+                if r["a"] == r["b"] or w - lo <= tolerance[w]:
                     found[w] = (g, r["a"], lo, hi, r["c"])
-                elif hi - w <= tolerance:
+                elif hi - w <= tolerance[w]:
                     found[w] = (g, r["b"] + 1, hi, hi, 0)
                 else:
                     nxt.setdefault((g, p), (lo, []))[1].append(w)
@@ -63,21 +66,24 @@ def _refine(rows: DataFrame, group: Column, key: str, wanted: dict[int, tuple[in
     return found
 
 
-def splitters(rows: DataFrame, parts: int, tolerance: float = 0.001) -> list[tuple[int, int]]:
-    """parts - 1 ascending (k1, k2): rows at or above the i-th belong to part i + 1 or later.
+def splitters(rows: DataFrame, shards: int, slices: int = 1, tolerance: float = 0.001, loose: float = 0.25) -> list[tuple[int, int]]:
+    """shards * slices - 1 ascending (k1, k2): rows at or above the i-th belong to part i + 1 or later.
 
     Needs bigint columns k1, k2 and size > 0, not null. A boundary inside the rows of one k1
-    (equal keys may hold any share) is refined on k2. tolerance is a share of a part.
+    (equal keys may hold any share) is refined on k2. tolerance is a share of a shard, for the boundaries of shards;
+    loose one of a slice, for the others.
     """
-    total = rows.agg(F.sum("size").cast("long")).first()[0] or 0
+    total, parts = rows.agg(F.sum("size").cast("long")).first()[0] or 0, shards * slices
     if not total:
         return []
-    wanted = sorted({total * i // parts for i in range(1, parts)})
-    tol = int(total / parts * tolerance)
+    tol: dict[int, int] = {}
+    for i in range(1, parts):
+        w = total * i // parts
+        tol[w] = min(tol.get(w, total), int(total / parts * loose) if i % slices else int(total / shards * tolerance))
     out: dict[int, tuple[int, int]] = {}
     inner: dict[int, tuple[int, list[int]]] = {}
-    for w, (_, k, lo, hi, n) in _refine(rows, F.lit(None).cast("long"), "k1", {None: (0, wanted)}, tol).items():
-        if n < 2 or w - lo <= tol:
+    for w, (_, k, lo, hi, n) in _refine(rows, F.lit(None).cast("long"), "k1", {None: (0, sorted(tol))}, tol).items():
+        if n < 2 or w - lo <= tol[w]:
             out[w] = (k, _LOW) if w - lo <= hi - w else (k + 1, _LOW)
         else:
             inner.setdefault(k, (lo, []))[1].append(w)
@@ -87,12 +93,15 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.001) -> list[tup
 
 
 def _part(at: list[tuple[int, int]], a: str, b: str) -> Column:
-    """How many splitters are <= (a, b)."""
-    lit = lambda x: "(-9223372036854775807L - 1L)" if x == _LOW else f"{x}L"
-    one = [f"CAST({a} >= {lit(p)} AND ({a} > {lit(p)} OR {b} >= {lit(q)}) AS INT)" for p, q in at if p <= -1 - _LOW and q <= -1 - _LOW]
-    while len(one) > 1:
-        one = [f"({' + '.join(one[i : i + 8])})" for i in range(0, len(one), 8)]
-    return F.expr(one[0] if one else "0")
+    """How many splitters are <= (a, b): first among every _STEP-th one, then among those between."""
+    at = [(p, q) for p, q in at if p <= -1 - _LOW and q <= -1 - _LOW]  # no row is above the largest bigint
+    if not at:
+        return F.lit(0)
+    step = max(1, int(len(at) ** 0.5))
+    table = lambda x: F.from_json(F.lit(json.dumps([{"a": p, "b": q} for p, q in x])), "array<struct<a: bigint, b: bigint>>")
+    below = lambda t: F.size(F.filter(t, lambda s: (s["a"] < F.col(a)) | ((s["a"] == F.col(a)) & (s["b"] <= F.col(b)))))
+    whole = F.greatest(below(table(at[::step])) - 1, F.lit(0)) * step
+    return (whole + below(F.slice(table(at), whole + 1, step))).cast("int")
 
 
 def shard(rows: DataFrame, shards: int = 24, k1: str = "k1", k2: str = "k2", size: str = "size", slices: int = 1, tolerance: float = 0.001) -> DataFrame:
@@ -108,7 +117,7 @@ def shard(rows: DataFrame, shards: int = 24, k1: str = "k1", k2: str = "k2", siz
     weight = F.greatest(F.coalesce(F.col(size), F.lit(1)), F.lit(1)).cast("long")
     small = written(x.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), weight.alias("size")), "sizes")
     parts = shards * slices
-    at = splitters(small, parts, tolerance)
+    at = splitters(small, shards, slices, tolerance)
     counts = {r["part"]: r["n"] for r in small.groupBy(_part(at, "k1", "k2").alias("part")).agg(F.count("*").alias("n")).collect()}
     discard(small)
     starts, before = [], 0
@@ -118,6 +127,6 @@ def shard(rows: DataFrame, shards: int = 24, k1: str = "k1", k2: str = "k2", siz
         before += counts.get(p, 0)
     out = x.withColumn("__part", _part(at, "__k1", "__k2"))
     w = Window.partitionBy("__part").orderBy("__k1", "__k2")
-    start = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("__part"))
+    start = F.get(F.from_json(F.lit(json.dumps(starts)), "array<bigint>"), F.col("__part"))
     out = out.withColumn("slot", (start + F.row_number().over(w) - 1).cast("long"))
     return out.withColumn("shard", F.floor(F.col("__part") / slices).cast("int")).drop("__k1", "__k2", "__part")

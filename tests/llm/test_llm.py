@@ -601,7 +601,7 @@ def test_components(spark):
 def test_sharding(spark, texts):
     docs = docs_of(spark, texts).select("doc_id", "text")
     rows = docs.select("doc_id", F.xxhash64("text").alias("k1"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"))
-    got = sharding.shard(rows, 24, "k1", "doc_id", "size", slices=2).collect()
+    got = sharding.shard(rows, 24, "k1", "doc_id", "size", slices=5).collect()
     assert len(got) == len(texts)
     by, order = {}, []
     for x in got:
@@ -615,9 +615,134 @@ def test_sharding(spark, texts):
     assert all(abs(sum(x.size for x in by.get(s, [])) - total / 24) <= 2 * top + 1 for s in range(24))
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 100])
+def test_part_search(spark, n):
+    r = random.Random(n)
+    at = sorted((r.randint(-9, 9), r.randint(-9, 9)) for _ in range(n))
+    rows = [(a, b) for a in range(-10, 11) for b in range(-10, 11, 3)]
+    got = spark.createDataFrame(rows, "a long, b long").withColumn("p", sharding._part(at, "a", "b")).collect()
+    assert all(x.p == sum(s <= (x.a, x.b) for s in at) for x in got)
+
+
+# ------------------------------------------------------------------ registered queries
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A folder of tables with odd rows, two texts of one doc_id, copies, passages of the benchmark, labels and pages."""
+    at = str(tmp_path_factory.mktemp("tables"))
+    r = random.Random(41)
+    texts = odd() + [(100 + i, t) for i, t in corpus(18, 40)] + [(200, prose(r, 90)), (200, prose(r, 70))]
+    items = [(k, prose(r, 30, 10**6)) for k in range(3)] + [(3, None), (4, "")]
+    texts += [(210 + k, prose(r, 60) + " " + t + " " + prose(r, 60)) for k, t in items if t]
+    rows = [(i, t, None if k % 7 == 0 else "en" if k % 2 else "de", "s", len(t or "")) for k, (i, t) in enumerate(texts)]
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>A title</h1><p>The text of the article, which goes on for a while.</p></article></body></html>"
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in texts if i is not None and i % 5], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(1, "u", page), (2, None, None), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    return at, texts
+
+
+def result(spark, name, at):
+    out = queries.queries()[name](spark, at)
+    return out.dtypes, out.collect()
+
+
+def test_query_op1(spark, small):
+    types, got = result(spark, "op1_substring_dedup", small[0])
+    assert types[:4] == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256", "string")]
+    by = {}
+    for x in got:
+        by.setdefault(x.doc_id, []).append(x[1:4])
+    assert {i: sorted(v) for i, v in by.items()} == {i: sorted(v) for i, v in brute_substrings(small[1]).items()}
+
+
+def test_query_op2(spark, small):
+    types, got = result(spark, "op2_ngram_join", small[0])
+    assert types[:3] == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint")]
+    s = [(i, shingles(t)) for i, t in small[1] if i is not None]
+    link = [(i, j) for i, a in s for j, b in s if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b)]
+    root = groups(link, {i for i, _ in s})
+    assert sorted(x[:3] for x in got if x.doc_id is not None) == sorted((i, len(v), root[i]) for i, v in s)
+
+
+def test_query_op3(spark, small):
+    types, got = result(spark, "op3_best_fit_packing", small[0])
+    assert types[:7] == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
+    assert sorted(str(x.doc_id) for x in got if x.piece == 0) == sorted(str(i) for i, _ in small[1]) and all(1 <= x.length <= 1024 for x in got)
+
+
+def test_query_op4(spark, small):
+    types, got = result(spark, "op4_toxicity", small[0])
+    assert types[:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    assert sorted(str(x.doc_id) for x in got) == sorted(str(i) for i, _ in small[1])
+    for x in got:
+        assert x.doc_id is None or x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1)
+        assert 0 <= x.score <= 1 and x.predicted == int(x.score >= 0.7)
+
+
+def test_query_op5(spark, small):
+    types, got = result(spark, "op5_decontamination", small[0])
+    assert types[:2] == [("doc_id", "bigint"), ("item_id", "bigint")]
+    assert {(x.doc_id, x.item_id) for x in got} == {(210 + k, k) for k in range(3)}
+
+
+def test_query_op7(spark, small):
+    types, got = result(spark, "op7_html_extraction", small[0])
+    assert types[:4] == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
+    assert sorted((x.page_id, x.url, x.n_chars) for x in got if x.page_id == 2) == [(2, None, 0)] * 2 and len(got) == 3
+
+
+def test_query_op8(spark, small):
+    types, got = result(spark, "op8_language_id", small[0])
+    assert types[:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    assert len(got) == len(small[1])
+    for x in got:
+        assert x.doc_id is None or x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0)
+    by = {x.doc_id: x for x in got}
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (0, 1, 2)) and by[3].lang_pred in ("de", "en") and by[3][2:4] == by[4][2:4]
+
+
+def test_query_op9(spark, small):
+    types, got = result(spark, "op9_line_dedup", small[0])
+    assert types[0] == ("doc_id", "bigint") and len(got) == len(small[1])
+    once = [(i, t) for i, t in small[1] if i not in (200, 4, None)]
+    keep = brute_lines([x for x in small[1] if x[0] != 200])
+    by = {x.doc_id: x.kept_sha256 for x in got}
+    assert {i: by[i] for i, _ in once} == {i: hashlib.sha256(keep(i, t or "").encode()).hexdigest() for i, t in once}
+
+
+def test_query_op10(spark, small):
+    types, got = result(spark, "op10_sharding", small[0])
+    assert types[:7] == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+    size = lambda t: len((t or "").encode()) + 8
+    assert sorted((str(x.doc_id), x.size, x.text_crc32) for x in got) == sorted((str(i), size(t), zlib.crc32((t or "").encode())) for i, t in small[1])
+    by = {}
+    for x in got:
+        assert x.law == "bytes" and x.grown_shard is None and 0 <= x.shard < 24
+        by.setdefault(x.shard, []).append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 # ------------------------------------------------------------------ pipeline
 
 
+def test_pipeline_of_odd_tables(spark, small, tmp_path):
+    """Odd rows and clashing extra columns go through every stage; an empty table gives no rows."""
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, small[0]).collect()
+    assert got and {x.doc_id for x in got} <= {i for i, _ in small[1]} and not {x.doc_id for x in got} & {210, 211, 212}
+    at = str(tmp_path)
+    clash = ", ".join(f"{c} string" for c in ("k", "at", "gone", "n_words", "rep", "root", "size", "kept", "failed"))
+    spark.createDataFrame([], f"{DOCS}, {clash}").write.parquet(f"{at}/documents.parquet")
+    spark.read.parquet(f"{small[0]}/benchmark.parquet").write.parquet(f"{at}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, at).collect() == []
+
+
 def test_pipeline(spark, data):
     """Each stage on its own input against its brute-force version; the last packs all that is left."""
     import corpus_pipeline
