@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as f
-from tessera.operators import chunking
+from tessera import api
+from tessera.operators import chunking, fetch
+from tessera.operators.intervals import global_exclusive_sum
+from tessera.sources.chunk_store import ChunkStore, store_chunks
+from tessera.streaming.sink import shared_folder
 
 from .registry import query
 
@@ -74,8 +81,6 @@ def s11(t):
 
 @query("s12_ordered_scan", f"WITH tree AS ({_TREE}) SELECT path, oid, mode, row_number() OVER (ORDER BY path) AS pos FROM tree WHERE kind = 'blob'")
 def s12(t):
-    from tessera.operators.intervals import global_exclusive_sum
-
     rows = tree(t).where("kind = 'blob'").select("path", "oid", "mode", F.lit(1).alias("one"))
     return global_exclusive_sum(rows, "path", "one", "before").select("path", "oid", "mode", (F.col("before") + 1).alias("pos"))
 
@@ -109,9 +114,12 @@ def s16(t):
 
 @query("s17_manifest_codec", "SELECT l_orderkey AS manifest, l_linenumber AS frame_index, l_partkey AS hash, CAST(l_quantity AS BIGINT) AS raw_len FROM lineitem")
 def s17(t):
+    """Manifests with their frames are written as nested Parquet, read back and laid out again."""
     item = F.struct(F.col("l_linenumber").alias("frame_index"), F.col("l_partkey").alias("hash"), F.col("l_quantity").cast("long").alias("raw_len"))
     nested = t.lineitem.groupBy(F.col("l_orderkey").alias("manifest")).agg(F.array_sort(F.collect_list(item)).alias("frames"))
-    return nested.select("manifest", F.inline("frames"))
+    path = f"{shared_folder(t.spark)}/manifests-{uuid.uuid4().hex[:12]}"
+    nested.write.parquet(path)
+    return t.spark.read.schema(nested.schema).parquet(path).select("manifest", F.inline("frames"))
 
 
 @query(
@@ -164,3 +172,59 @@ def y01(t):
 def y02(t):
     w = Window.partitionBy("source").orderBy("doc_id")
     return t.documents.select("doc_id", F.row_number().over(w).alias("pos"), f.byte_length("text").alias("n"))
+
+
+@query("s06_delete_batches", "SELECT hash, (row_number() OVER (ORDER BY hash) - 1) // 1000 AS batch FROM objects WHERE hash NOT IN (SELECT hash FROM reachable)")
+def s06(t):
+    """Orphans in delete requests of 1000."""
+    rows = t.objects.join(t.reachable, "hash", "left_anti").select("hash", F.lit(1).alias("one"))
+    return global_exclusive_sum(rows, "hash", "one", "before").select("hash", F.expr("before div 1000").alias("batch"))
+
+
+@query("s19_requested_paths", f"WITH tree AS ({_TREE}) SELECT path, size FROM (SELECT DISTINCT user_id FROM events) JOIN tree ON path = user_id WHERE kind = 'blob' ORDER BY path LIMIT 1000")
+def s19(t):
+    """What one request may ask for: the first 1000 paths that exist."""
+    asked = t.events.select(F.col("user_id").alias("path")).distinct()
+    return tree(t).where("kind = 'blob'").join(asked, "path", "left_semi").select("path", "size").orderBy("path").limit(1000)
+
+
+@query("y03_chunk_fetch", "SELECT l_orderkey, l_linenumber, l_partkey, sha256(substr(repeat(sha256(CAST(l_partkey AS VARCHAR)), 4), 2 * (l_linenumber * 7) + 1, 2 * (1 + l_quantity::BIGINT % 32)::BIGINT)) AS part FROM lineitem")
+def y03(t):
+    """Ranges read through a caller's function; here a chunk is four times the digest of its number."""
+
+    def read(chunk, first, end):
+        return (hashlib.sha256(str(chunk).encode()).digest() * 4)[first:end]
+
+    want = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_linenumber") * 7).cast("long").alias("at"), (1 + F.col("l_quantity").cast("long") % 32).alias("n"))
+    got = fetch.fetched(want, read, "l_partkey", "at", "n")
+    return got.select("l_orderkey", "l_linenumber", "l_partkey", F.sha2(F.lower(F.hex("content")), 256).alias("part"))
+
+
+@query("y03s_chunk_store", "SELECT sha256(p_name) AS hash, CAST(max(strlen(p_name)) AS BIGINT) AS size FROM part GROUP BY 1")
+def y03s(t):
+    """Chunks written to a folder by hash, and read back and verified by the data source."""
+    folder = f"{shared_folder(t.spark)}/chunks-{uuid.uuid4().hex[:12]}"
+    store_chunks(t.part, "p_name", folder)
+    t.spark.dataSource.register(ChunkStore)
+    return t.spark.read.format("chunk_store").load(folder).select("hash", "size")
+
+
+@query("y04_stores", "SELECT hash, size, coalesce(first_seen, 5000) AS first_seen, CASE WHEN coalesce(first_seen, 5000) + 100 <= 5000 THEN 'delete' ELSE 'keep' END AS fate FROM objects LEFT JOIN (SELECT p_partkey AS hash, 4850 + p_partkey % 100 AS first_seen FROM part WHERE p_partkey % 3 = 0) USING (hash) WHERE hash NOT IN (SELECT hash FROM reachable)")
+def y04(t):
+    """A caller's stores in place of the tables."""
+    k = F.col("p_partkey")
+    stores = api.Frames(objects=t.objects, references=t.reachable.select(F.lit("r").alias("ref"), "hash"))
+    ledger = t.part.where(k % 3 == 0).select(k.alias("hash"), (F.lit(4850) + k % 100).cast("long").alias("first_seen"))
+    return api.garbage(stores, stores, ledger, 5000, 100)
+
+
+@query("y05_sync_plan", "WITH n AS (SELECT n.content FROM snap_new n LEFT JOIN snap_old o USING (doc_id) WHERE o.doc_id IS NULL OR o.content <> n.content) SELECT sha256(content) AS hash, CAST(max(strlen(content)) AS BIGINT) AS size FROM n WHERE strlen(content) > 0 AND sha256(content) NOT IN (SELECT sha256(content) FROM snap_old) GROUP BY 1")
+def y05(t):
+    return api.sync_plan(t.snap_old, t.snap_new, t.snap_old.select(f.content_hash("content").alias("hash")), "doc_id", "content")
+
+
+@query("y05b_next_jobs", "WITH j AS (SELECT id, size % 3 AS class, ts FROM jobs WHERE kind = 'view'), w AS (SELECT c_custkey AS worker, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey % 3 END AS ceiling FROM customer) SELECT worker, arg_min(id, (ts, id)) AS id FROM w JOIN j ON ceiling IS NULL OR class <= ceiling GROUP BY 1")
+def y05b(t):
+    jobs = t.jobs.select("id", "key", F.when(F.col("kind") == "view", "queued").otherwise("done").alias("status"), (F.col("size") % 3).alias("class"), F.col("ts").alias("created_at"))
+    c = F.col("c_custkey")
+    return api.next_jobs(api.Frames(jobs=jobs), t.customer.select(c.alias("worker"), F.when(c % 4 != 0, c % 3).alias("ceiling")))

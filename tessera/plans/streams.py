@@ -32,3 +32,11 @@ def x01s(t):
 def x10(t):
     tracked = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
     return states.drain(states.triggers(states.events(t.spark, t.directory), tracked), "append").select("event_id", "user_id")
+
+
+@query("x12s_two_phase_stream", "SELECT user_id AS key, bool_or(event_type IN ('purchase', 'signup')) AS full_ready, CASE WHEN bool_or(event_type IN ('purchase', 'signup')) THEN 200 ELSE 202 END AS code FROM events WHERE event_type IN ('click', 'purchase', 'signup') GROUP BY 1")
+def x12s(t):
+    """Shallow form first, then the full one; a key that has only the first answers 202."""
+    out = states.publish(states.events(t.spark, t.directory))
+    full = F.max("phase") == 2
+    return out.groupBy("key").agg(full.alias("full_ready"), F.when(full, 200).otherwise(202).alias("code"))

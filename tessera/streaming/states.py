@@ -67,3 +67,25 @@ def lifecycle(stream: DataFrame) -> DataFrame:
 def triggers(stream: DataFrame, tracked: DataFrame) -> DataFrame:
     """Webhook events of tracked keys: a stream joined with a table."""
     return stream.join(tracked, "user_id", "left_semi").where("event_type = 'purchase'").select("event_id", "user_id")
+
+
+def publish(stream: DataFrame) -> DataFrame:
+    """Two-phase publication: (key, phase, __batch) of what was published, in the order a reader may see it.
+
+    Each micro-batch first publishes the shallow form of its ready keys (phase 1) and only after that write has
+    succeeded the full form (phase 2), so no key is ever served in full before its shallow form could be. A repeated
+    micro-batch writes its own folder anew.
+    """
+    from tessera.streaming.sink import shared_folder
+
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/publish-{uuid.uuid4().hex[:12]}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        for phase, kinds in ((1, ("click", "purchase", "signup")), (2, ("purchase", "signup"))):
+            some = batch.where(F.col("event_type").isin(*kinds)).select(F.col("user_id").alias("key"), F.lit(phase).alias("phase")).distinct()
+            some.write.mode("overwrite").parquet(f"{base}/out/__batch={number}/part={phase}")
+
+    q = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
+    q.awaitTermination()
+    return spark.read.schema("key bigint, phase int, __batch int, part int").option("basePath", f"{base}/out").parquet(f"{base}/out")

@@ -9,8 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera import api
 from tessera.functions import scalars as f
-from tessera.operators import chunking, folds, graph, intervals
+from tessera.operators import chunking, fetch, folds, graph, intervals
 from tessera.sources.tables import with_views
 
 
@@ -136,6 +137,26 @@ def test_pack_headers(spark):
     assert [x.r for x in bad.select(f.read_pack_header(F.col("h")).alias("r")).collect()] == [None] * 3
 
 
+def test_fetch_groups_ranges_of_a_chunk(spark, tmp_path):
+    def read(chunk, first, end):
+        with open(f"{tmp_path}/calls", "a") as f:
+            f.write(f"{chunk}\n")
+        return bytes((k * 7 + chunk) % 256 for k in range(first, end))
+
+    rows = [(c, at, n) for c in (1, 2) for at, n in ((0, 5), (3, 9), (20, 0), (9000, 4))] + [(None, 1, 1), (3, None, 1)]
+    got = fetch.fetched(spark.createDataFrame(rows, "c long, at long, n long"), read, "c", "at", "n").collect()
+    assert len(got) == 10
+    for x in got:
+        assert x.content is None if None in (x.c, x.at, x.n) else bytes(x.content) == bytes((k * 7 + x.c) % 256 for k in range(x.at, x.at + x.n))
+    assert sorted(open(f"{tmp_path}/calls").read().split()) == ["1", "1", "2", "2"]
+
+
+def test_snapshot_diff_of_nulls(spark):
+    old = spark.createDataFrame([(1, None), (2, "a"), (3, "b"), (4, None)], "k long, c string")
+    new = spark.createDataFrame([(1, None), (2, "z"), (4, "x"), (5, "")], "k long, c string")
+    assert {x.k: x.change for x in api.snapshot_diff(old, new, "k", "c").collect()} == {1: "same", 2: "modified", 3: "deleted", 4: "modified", 5: "added"}
+
+
 def test_zstd_round_trip(spark):
     df = spark.createDataFrame([(1, "abc" * 100), (2, ""), (3, None)], "i long, t string")
     got = chunking.zstd_lengths(df, "i", "t").orderBy("i").collect()
