@@ -14,7 +14,9 @@ from the end, at least one of them in 7 to 9: together all patterns that are pos
 Tokens: lower-cased runs of letters, digits and non-ASCII characters. Defined results: a
 null or empty text or item hits nothing; an item of less than ``min_match`` tokens is held
 whole against its alignment and needs ``min_short`` equal tokens and a share of ``identity`` of
-all its tokens (so of less than ``min_short`` tokens it never hits); repeated items hit each.
+all its tokens (so of less than ``min_short`` tokens it never hits); repeated items hit each; rows of one
+doc_id are looked at one by one, and a hit in any of them takes all of them out; a null doc_id is reported as null
+and stays; of equally good stretches the last in the document is reported; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
