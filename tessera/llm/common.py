@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _shipped: set[str] = set()
+#: Seconds between two collections of the driver's garbage, at least; and when the last one was.
+PAUSE = 2.0
+_collected = [0.0]
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,13 +61,15 @@ def shared_root(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    The finished job's shuffle files are let go at once: Spark deletes them when the driver
-    collects its garbage, which it would otherwise do rarely.
+    The finished job's shuffle files are let go: Spark deletes them when the driver collects its
+    garbage, which it would otherwise do rarely. Small jobs that follow each other closely share one collection.
     """
     path = f"{shared_root(df.sparkSession)}/tessera-{uuid.uuid4().hex[:12]}/{name}"
     schema = df.schema
     df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()
+    if time.monotonic() - _collected[0] > PAUSE:
+        df.sparkSession._jvm.System.gc()
+        _collected[0] = time.monotonic()
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._tessera_path = path
     return out
