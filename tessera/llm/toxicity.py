@@ -86,9 +86,11 @@ class Index:
         self.terms, y = terms, labels.astype(float)
         n, pos = len(docs), float(y.sum())
         self.zero = (pos + 0.1) / (n + 2)
-        places = [np.searchsorted(terms, t) for t, _ in docs]
-        c = np.bincount(np.concatenate(places), minlength=len(terms)).astype(float)
-        a = np.bincount(np.concatenate(places), weights=np.repeat(y, [len(x) for x in places]), minlength=len(terms))
+        places = [np.searchsorted(terms, t).astype(np.int32) for t, _ in docs]
+        c, a = np.zeros(len(terms)), np.zeros(len(terms))
+        for x, toxic in zip(places, y):  # the terms of one text are distinct
+            c[x] += 1
+            a[x] += toxic
         r = np.abs(a * n - c * pos) / np.sqrt(np.maximum(pos * (n - pos) * c * (n - c), 1e-9))
         self.weight = (np.log((n_docs + 1) / (df + 1)) + 1) * r
         self.other = (np.log((n_docs + 1) / 2) + 1) * float(r[c == 1].mean() if (c == 1).any() else r.mean() if len(r) else 0)
@@ -110,11 +112,11 @@ class Index:
         some = self.often[t] >= 0
         self.tiles[self.ex[some], self.often[t[some]]] = self.w[some]
         self.top = self.tiles.reshape(self.blocks, BLOCK, len(often)).max(1).T
-        votes = np.zeros(n)
-        for i in range(0, n, TEXTS):
-            some = range(i, min(n, i + TEXTS))
-            q = [(places[order[k]], vec[order[k]]) for k in some]
-            votes[i : i + len(q)] = self.votes(q, np.array(some))[0]
+        del t, w, by, ex, some
+        votes, few = np.zeros(n), TEXTS // 4  # the driver has less room than the workers
+        for i in range(0, n, few):
+            q = [(places[k], vec[k]) for k in order[i : i + few]]
+            votes[i : i + len(q)] = self.votes(q, np.arange(i, i + len(q)))[0]
         self.x, self.p = _isotonic(votes, self.y)
 
     def _weights(self, place: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> np.ndarray:
