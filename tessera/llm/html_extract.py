@@ -167,7 +167,12 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if kind == "end":
-            if tag in depth:
+            if stack and stack[-1][0] == tag:
+                stack.pop()
+                depth[tag].pop()
+                if not depth[tag]:
+                    del depth[tag]
+            elif tag in depth:
                 del stack[depth[tag][-1] :]
                 for t, places in list(depth.items()):
                     while places and places[-1] >= len(stack):
@@ -223,9 +228,11 @@ def features(seq: list[Block]) -> np.ndarray:
             cache[b.path] = row
         x[k, : NEAR + FAR] = row
         words = _WORD.findall(b.text.lower())
+        sums = [0] * WORDS
         for w in words:
-            v = _slot(w)
-            x[k, NEAR + FAR + v % WORDS] += 1.0 if v & 65536 else -1.0
+            v = _hashed.get(w) or _slot(w)
+            sums[v % WORDS] += 1 if v & 65536 else -1
+        x[k, NEAR + FAR : -MORE] = sums
         n = len(b.text)
         x[k, NEAR + FAR : -MORE] /= max(1.0, len(words)) ** 0.5
         ends = sum(b.text.count(c) for c in ".!?")
