@@ -97,6 +97,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import report
+
+    return report(_read(spark, sf_dir, "conversations"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    out = token_counts(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import report
+
+    return report(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")} | {"pipeline": _pipeline}
 
@@ -131,7 +152,75 @@ FROM b
 """
 
 
+#: The search with whole audit strings in place of ranks; crc32 bit by bit.
+_OP11 = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s
+  FROM conversations),
+k AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(s, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 20 AS k
+  FROM c),
+d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM k WHERE k <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn FROM d),
+f AS (
+  SELECT conv_id, rn, turn, role, text, substr(role, 1, 1) AS ini,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault
+  FROM n),
+stat AS (
+  SELECT conv_id, max(rn) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY rn) AS before FROM f) GROUP BY 1),
+run(src, len, mid, said) AS (VALUES ('', 0, '', []::VARCHAR[]), ('', 1, 'u', ['user:']), ('', 2, 'a', ['user:', 'assistant:']), ('s', 0, 's', []), ('s', 1, 'u', ['user:']),
+  ('s', 2, 'a', ['user:', 'assistant:']), ('u', 0, 'u', []), ('u', 1, 'a', ['assistant:']), ('u', 2, 'u', ['assistant:', 'user:']), ('a', 0, 'a', []), ('a', 1, 'u', ['user:']), ('a', 2, 'a', ['user:', 'assistant:'])),
+op(mid, edit, dst, price) AS (
+  SELECT mid, 'K', dst, 0 FROM (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')) v(mid, dst)
+  UNION ALL SELECT mid, 'R', dst, 3 FROM (VALUES ('', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')) v(mid, dst)
+  UNION ALL SELECT mid, 'D', mid, 4 FROM (VALUES (''), ('s'), ('u'), ('a')) v(mid)),
+g(conv_id, rn, st, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '', {'cost': CAST(0 AS BIGINT), 'audit': '', 'said': []::VARCHAR[]} FROM d
+  UNION ALL
+  SELECT f.conv_id, f.rn, op.dst, min({
+    'cost': g.best.cost + 3 * len + price + CASE WHEN edit <> 'D' AND fault = 3 THEN 3 ELSE 0 END, 'audit': g.best.audit || repeat('I', len) || edit,
+    'said': g.best.said || run.said || CASE edit WHEN 'K' THEN [role || ':' || text] WHEN 'R' THEN [CASE op.dst WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text] ELSE [] END})
+  FROM g JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.rn = g.rn + 1 JOIN run ON run.src = g.st JOIN op ON op.mid = run.mid
+  WHERE edit = 'D' OR (fault NOT IN (1, 2) AND (edit = 'R' OR ini = op.dst))
+  GROUP BY 1, 2, 3),
+e AS (
+  SELECT stat.*, (SELECT min({'cost': g.best.cost + 3 * len, 'audit': g.best.audit || repeat('I', len), 'said': g.best.said || run.said})
+    FROM g JOIN run ON run.src = g.st AND run.mid IN ('', 'a') WHERE g.conv_id IS NOT DISTINCT FROM stat.conv_id AND g.rn = stat.n) AS best
+  FROM stat)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+def _op13(k: int = 8, rounds: int = 10) -> str:
+    """Every vector against every centroid, a common table for each round."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+    near = lambda r: f"SELECT id, vec_id, any_value(v) AS v, min({{'d': {square}, 'j': j}}) AS m FROM v, c{r} GROUP BY 1, 2"
+    mean = "((s - (s % n + n) % n) // n)::BIGINT"
+    ctes = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM v ORDER BY h, v LIMIT {k}))",
+    ]
+    for r in range(rounds):
+        ctes.append(f"a{r} AS MATERIALIZED ({near(r)})")
+        ctes.append(
+            f"c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(x.c, c.c) AS c FROM c{r} c LEFT JOIN (SELECT j, list({mean} ORDER BY i) AS c FROM "
+            f"(SELECT m.j AS j, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2) GROUP BY 1) x ON x.j = c.j)"
+        )
+    return f"""WITH {", ".join(ctes)}, e AS ({near(rounds)})
+SELECT vec_id, m.j::INT AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.j)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM e JOIN c{rounds} ON j = m.j"""
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op6_quality_rules": _OP6}
+    out = {"op6_quality_rules": _OP6, "op11_conversation_repair": _OP11, "op13_centroid_clustering": _op13()}
     sql = getattr(importlib.import_module("corpus_pipeline"), "ORACLE_SQL", None)
     return out | ({"pipeline": sql} if sql else {})
