@@ -36,22 +36,6 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], needs: list[str], st
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def greedy_batches(df: DataFrame, key: str, order: str, size: str, target: int, early: bool = False, breaker: str | None = None) -> DataFrame:
-    """Add ``batch``: a batch closes when it is not empty and the next item would pass the target.
-
-    early: it also closes as soon as its sum reaches the target. breaker: a change of this column
-    closes it too. An item above the target stands alone.
-    """
-
-    def step(state, n, mark=None):
-        batch, total, last = state
-        if total is not None and (total + n > target or (early and total >= target) or (breaker and mark != last)):
-            batch, total = batch + 1, None
-        return (batch, (total or 0) + n, mark), batch
-
-    return ordered_fold(df, key, [order], [size, breaker] if breaker else [size], lambda: (0, None, None), step, "batch", "bigint")
-
-
 def token_bucket(df: DataFrame, key: str, at: str, tie: str, seconds: int, burst: int, whole: bool = True) -> DataFrame:
     """Add ``allowed``: a token comes every ``seconds``. whole: the refill truncates to integers and restamps on every
     call (so frequent calls can starve it, which is kept on purpose); else it is fractional."""

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as f
-from tessera.operators import folds, graph, intervals
+from tessera.operators import batches, folds, graph, intervals, merkle
+from tessera.operators.steps import written
 
 from .registry import query
 from .storage import _TREE, tree
@@ -29,8 +30,9 @@ def j05(t):
 
 
 def diff(old, new):
-    """(doc_id, change) of two snapshots."""
-    j = old.withColumnRenamed("content", "o").join(new.withColumnRenamed("content", "n"), "doc_id", "full_outer")
+    """(doc_id, change) of two snapshots. Rows meet by 128-bit digests, so no content is shuffled."""
+    said = lambda x, c: x.select("doc_id", F.struct(*[v.alias(k) for k, v in merkle.digest("doc_id", "content").items()]).alias(c))
+    j = said(old, "o").join(said(new, "n"), "doc_id", "full_outer")
     change = F.when(_C("o").isNull(), "added").when(_C("n").isNull(), "deleted").when(_C("o") == _C("n"), "same").otherwise("modified")
     return j.select("doc_id", change.alias("change"))
 
@@ -43,6 +45,18 @@ def j06(t):
     return diff(t.snap_old, t.snap_new)
 
 
+def trees(t):
+    """Both snapshots as stored trees, 16 documents to a finest prefix and 16 prefixes to the next."""
+    prefixes = [lambda k, b=b: F.shiftright(k, b) for b in (12, 8, 4)]
+    return [merkle.stored(x, "doc_id", "content", prefixes) for x in (t.snap_old, t.snap_new)]
+
+
+@query("j06t_subtree_diff", f"SELECT doc_id, change FROM ({_DIFF}) WHERE change <> 'same'")
+def j06t(t):
+    """Only subtrees whose digests differ are looked into."""
+    return merkle.changes(*trees(t)).withColumnRenamed("key", "doc_id")
+
+
 def stream(t):
     """The path-ordered byte stream: doc_id, start, len."""
     rows = t.files_now.select("doc_id", f.byte_length("content").alias("len"))
@@ -105,10 +119,14 @@ _RUNS = f"""d AS ({_DIFF}), m AS (SELECT d.doc_id, change = 'same' AS same, CAST
 
 
 def aligned(t):
-    """The files of both snapshots by path: doc_id, same, ol, nl (bytes, 0 where absent), os, ns (bytes before), grp (changes before)."""
-    o, n = t.snap_old.withColumnRenamed("content", "o"), t.snap_new.withColumnRenamed("content", "n")
-    m = o.join(n, "doc_id", "full_outer").select("doc_id", F.coalesce(_C("o") == _C("n"), F.lit(False)).alias("same"), F.coalesce(f.byte_length("o"), F.lit(0)).alias("ol"), F.coalesce(f.byte_length("n"), F.lit(0)).alias("nl"))
-    m = m.withColumn("brk", F.when(_C("same"), 0).otherwise(1))
+    """The files of both snapshots by path: doc_id, same, ol, nl (bytes, 0 where absent), os, ns (bytes before), grp (changes before).
+
+    Digests and lengths meet, not contents, and the meeting is written, since bounds, totals and sums all read it.
+    """
+    own = lambda x, s: x.select("doc_id", F.struct(*[v.alias(k) for k, v in merkle.digest("doc_id", "content").items()]).alias(s), F.coalesce(f.byte_length("content"), F.lit(0)).alias(f"{s}l"))
+    m = own(t.snap_old, "o").join(own(t.snap_new, "n"), "doc_id", "full_outer")
+    m = m.select("doc_id", F.coalesce(_C("o") == _C("n"), F.lit(False)).alias("same"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("ol", "nl")])
+    m = written(m.withColumn("brk", F.when(_C("same"), 0).otherwise(1)), "aligned")
     return intervals.global_exclusive_sum(m, "doc_id", ["ol", "nl", "brk"], ["os", "ns", "grp"])
 
 
@@ -129,7 +147,7 @@ _OLD = "p AS (SELECT doc_id, CAST(strlen(content) AS BIGINT) AS len FROM snap_ol
 @query("j08_frame_containment", f"WITH {_RUNS}, {_OLD}, fr AS ({_FRAMES}) SELECT frame, fs + shift AS new_start FROM fr JOIN seg ON fs >= old_start AND fe <= old_end AND (old_start = 0 OR fs >= old_start + 8192)")
 def j08(t):
     """A frame can lie in a run only if the file that it begins in belongs to it, so the run's number is the join key."""
-    m = aligned(t)
+    m = written(aligned(t), "sums")
     fr = frames(m.select("same", "grp", _C("os").alias("start"), _C("ol").alias("len"))).where("same")
     hit = fr.join(segments(m), "grp").where("fs >= old_start AND fe <= old_end AND (old_start = 0 OR fs >= old_start + 8192)")
     return hit.select("frame", (_C("fs") + _C("shift")).alias("new_start"))
@@ -142,7 +160,7 @@ def j08(t):
     SELECT doc_id, greatest(gs, st) AS at, CAST(least(ge, st + len) - greatest(gs, st) AS BIGINT) AS n, sha256(content[1:0] || substr(hex(encode(content)), 2 * (greatest(gs, st) - st)::BIGINT + 1, 2 * (least(ge, st + len) - greatest(gs, st))::BIGINT)) AS part FROM q JOIN gap ON gs < st + len AND ge > st AND gs < ge WHERE len > 0""",
 )
 def j09(t):
-    m = aligned(t)
+    m = written(aligned(t), "sums")
     total = m.agg(F.sum("nl").alias("total"))
     seg = segments(m).select("old_start", (_C("old_end") + _C("shift")).alias("gs"), (_C("old_start") + _C("shift")).alias("at"))
     gap = intervals.global_lead(seg, "old_start", "at", "next").join(F.broadcast(total))  # one row
@@ -220,17 +238,17 @@ def sized(t):
 
 @query("w03_greedy_batches", _BATCH.format(mark="0", close="g.cum + d.w > 32768"))
 def w03(t):
-    return folds.greedy_batches(sized(t), "source", "doc_id", "n", 32768).select("source", "doc_id", "batch")
+    return batches.greedy_batches(sized(t).drop("mk"), "source", "doc_id", "n", 32768).select("source", "doc_id", "batch")
 
 
-@query("w04_greedy_bundles", _BATCH.format(mark="0", close="g.cum + d.w > 32768 OR g.cum >= 32768"))
+@query("w04_greedy_bundles", _BATCH.format(mark="0", close="(g.cum > 0 AND g.cum + d.w > 32768) OR g.cum >= 32768"))
 def w04(t):
-    return folds.greedy_batches(sized(t), "source", "doc_id", "n", 32768, early=True).select("source", "doc_id", "batch")
+    return batches.greedy_batches(sized(t).drop("mk"), "source", "doc_id", "n", 32768, early=True, bytes_only=True).select("source", "doc_id", "batch")
 
 
-@query("w05_range_requests", _BATCH.format(mark="CAST(doc_id % 200 < 100 AS INT)", close="g.cum + d.w > 32768 OR g.mk <> d.mk"))
+@query("w05_range_requests", _BATCH.format(mark="CAST(doc_id % 200 < 100 AS INT)", close="(g.cum > 0 AND g.cum + d.w > 32768) OR g.mk <> d.mk"))
 def w05(t):
-    return folds.greedy_batches(sized(t), "source", "doc_id", "n", 32768, breaker="mk").select("source", "doc_id", "batch")
+    return batches.greedy_batches(sized(t), "source", "doc_id", "n", 32768, breaker="mk", bytes_only=True).select("source", "doc_id", "batch")
 
 
 @query("w07_tiling", "WITH x AS (SELECT l_orderkey, l_linenumber, (l_linenumber - 1) * 10 + CASE WHEN l_orderkey % 4 = 0 AND l_linenumber = 3 THEN 1 ELSE 0 END AS s, l_linenumber * 10 AS e FROM lineitem), y AS (SELECT *, lead(s) OVER (PARTITION BY l_orderkey ORDER BY s, e) AS nx FROM x) SELECT l_orderkey, min(s) = 0 AND bool_and(coalesce(nx = e, true)) AS tiled FROM y GROUP BY 1")
@@ -300,7 +318,7 @@ def t10(t):
 
 @query("u04_changed_paths", f"SELECT doc_id FROM ({_DIFF}) WHERE change <> 'same'")
 def u04(t):
-    return diff(t.snap_old, t.snap_new).where("change <> 'same'").select("doc_id")
+    return merkle.changes(*trees(t)).select(_C("key").alias("doc_id"))
 
 
 @query("u05_closure_difference", "SELECT sha1(content) AS oid FROM snap_new EXCEPT SELECT sha1(content) FROM snap_old")
@@ -368,9 +386,9 @@ _HEADS = "SELECT conv_id, max(turn) AS turn FROM commits GROUP BY 1"
 
 
 def parents(t):
-    """Edges (src, dst) from commits to their parents, with merges."""
+    """Edges (src, dst, rank) from commits to their parents, with merges; rank 0: the first parent."""
     node = lambda d: F.struct("conv_id", (_C("turn") - d).alias("turn"))
-    one = lambda cond, d: t.commits.where(cond).select(node(0).alias("src"), node(d).alias("dst"))
+    one = lambda cond, d: t.commits.where(cond).select(node(0).alias("src"), node(d).alias("dst"), F.lit(2 - d).alias("rank"))
     return one("turn >= 2", 2).unionByName(one("turn % 4 = 3", 1))
 
 
@@ -385,15 +403,18 @@ def heads(t):
 )
 def g03(t):
     """(from, to]: what the head reaches and the commit four turns before it does not."""
-    reach = lambda h: graph.closure(parents(t), h.select(F.struct("conv_id", "turn").alias("root"))).select(_C("node.conv_id").alias("conv_id"), _C("node.turn").alias("turn"))
     before = heads(t).select("conv_id", (_C("turn") - 4).alias("turn")).where("turn >= 0")
-    return reach(heads(t)).subtract(reach(before))
+    roots = heads(t).unionByName(before).select(F.struct("conv_id", "turn").alias("root"))
+    found = graph.reach(parents(t), roots).select("root", _C("node.conv_id").alias("conv_id"), _C("node.turn").alias("turn"))
+    from_head = _C("root.turn") == _C("head")
+    own = found.join(heads(t).select(_C("conv_id").alias("c"), _C("turn").alias("head")), F.col("root.conv_id") == F.col("c"))
+    return own.groupBy("conv_id", "turn").agg(F.bool_and(from_head).alias("only")).where("only").select("conv_id", "turn")
 
 
 @query("g04_generation", f"WITH {_ANCESTORS.format(p=_PARENTS, roots=_HEADS)} SELECT conv_id, root AS turn, count(*) AS generation FROM g GROUP BY 1, 2")
 def g04(t):
     """Of each head, the number of distinct ancestors with itself; with merges that is not the longest path."""
-    found = graph.closure(parents(t), heads(t).select(F.struct("conv_id", "turn").alias("root")))
+    found = graph.reach(parents(t), heads(t).select(F.struct("conv_id", "turn").alias("root")))
     return found.groupBy("root").agg(F.count("*").alias("generation")).select("root.conv_id", "root.turn", "generation")
 
 

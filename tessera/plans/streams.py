@@ -1,10 +1,10 @@
-"""Streaming queries, each drained and compared with its batch form."""
+"""Streaming queries, each drained and compared with its batch form."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.streaming import states
+from tessera.streaming import states, timers
 
 from .registry import query
 
@@ -40,3 +40,45 @@ def x12s(t):
     out = states.publish(states.events(t.spark, t.directory))
     full = F.max("phase") == 2
     return out.groupBy("key").agg(full.alias("full_ready"), F.when(full, 200).otherwise(202).alias("code"))
+
+
+_HOUR = timers.HOUR
+_SEEN = "SELECT event_id, user_id, event_type, (epoch_us(ts) // 1000) AS tm, lead((epoch_us(ts) // 1000)) OVER w AS nx, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id ROWS UNBOUNDED PRECEDING) AS grp FROM events WINDOW w AS (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id)"
+_PASSED = f"(SELECT (epoch_us(max(ts)) // 1000) - {_HOUR} FROM events)"
+
+
+def timed(t, of, stream):
+    with timers.store(t.spark):
+        return states.drain(of(stream), "append").drop("__batch")
+
+
+@query(
+    "x03t_lease_expiry",
+    f"""WITH e AS ({_SEEN}), x AS (SELECT *, row_number() OVER (PARTITION BY user_id, grp ORDER BY tm, event_id) - 1 AS n FROM e WHERE event_type = 'click' AND (nx - tm >= {6 * _HOUR} OR (nx IS NULL AND tm + {6 * _HOUR} <= {_PASSED})))
+    SELECT user_id, event_id, tm + {6 * _HOUR} AS expired_at, (n % 3 + 1)::INT AS attempt, CASE WHEN n % 3 = 2 THEN 'dead-letter' ELSE 'requeued' END AS outcome, CASE WHEN n % 3 = 2 THEN 0 ELSE 500 * power(2, n % 3)::BIGINT END AS wait_ms FROM x""",
+)
+def x03t(t):
+    """Claims whose lease runs out, by timers: requeued with a back-off, or dead letters at the third expiry."""
+    return timed(t, timers.leases, states.events(t.spark, t.directory))
+
+
+@query(
+    "x05t_worker_ageout",
+    f"""WITH e AS ({_SEEN}), g AS (SELECT *, coalesce(nx, {_PASSED}) - tm AS gap FROM e)
+    SELECT user_id, event_id, 'stale' AS state, tm + {6 * _HOUR} AS since FROM g WHERE gap >= {6 * _HOUR} UNION ALL SELECT user_id, event_id, 'gone', tm + {24 * _HOUR} FROM g WHERE gap >= {24 * _HOUR}""",
+)
+def x05t(t):
+    """Workers that grow stale and are forgotten, by timers."""
+    return timed(t, timers.ageouts, states.events(t.spark, t.directory))
+
+
+@query(
+    "x08t_tombstones",
+    f"""WITH e AS (SELECT event_id, user_id, event_type, event_id % 3 AS branch, (epoch_us(ts) // 1000) AS tm, (epoch_us(ts) // 1000) - event_id % 5 * {_HOUR} AS synced_at FROM events),
+    d AS (SELECT *, max(tm) FILTER (event_type = 'error') OVER (PARTITION BY user_id, branch ORDER BY tm, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone FROM e)
+    SELECT user_id, event_id, NOT coalesce(gone + {6 * _HOUR} > tm AND synced_at <= gone, false) AS accepted FROM d WHERE event_type <> 'error'""",
+)
+def x08t(t):
+    """Writes of deleted branches, refused while the tombstone lives; expired ones leave the state."""
+    rows = states.events(t.spark, t.directory).withColumns({"branch": F.col("event_id") % 3, "synced_at": F.unix_millis("ts") - F.col("event_id") % 5 * _HOUR})
+    return timed(t, timers.tombstones, rows)

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 
 import numpy as np
 import pytest
@@ -11,36 +12,60 @@ from pyspark.sql import functions as F
 
 from tessera import api
 from tessera.functions import scalars as f
-from tessera.operators import chunking, fetch, folds, graph, intervals
+from tessera.operators import batches, chunking, fetch, folds, graph, intervals, merkle
 from tessera.sources.tables import with_views
+from tessera.streaming import states, timers
 
 
-def greedy(sizes, target, early=False):
-    out, batch, total = [], 0, None
-    for n in sizes:
-        if total is not None and (total + n > target or (early and total >= target)):
+def greedy(rows, target, early=False, bytes_only=False):
+    """Batch numbers of (size, mark) in order."""
+    out, batch, total, last = [], 0, None, None
+    for n, mark in rows:
+        full = total is not None and total + n > target and not (bytes_only and total == 0)
+        if full or total is not None and (early and total >= target or mark != last):
             batch, total = batch + 1, None
-        total = (total or 0) + n
+        total, last = (total or 0) + n, mark
         out.append(batch)
     return out
 
 
-def test_greedy_batches_ignore_input_order(spark):
+@pytest.fixture
+def uncoalesced(spark):
+    """Sixteen partitions that stay sixteen, so that a key's rows lie in many ranges."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("early, marks, bytes_only", [(False, False, False), (True, False, True), (False, True, True), (True, True, False)])
+def test_greedy_batches(spark, uncoalesced, early, marks, bytes_only):
+    """Hot and small keys, a null key, empty and oversize items, changes of mark, one batch over many ranges."""
     r = random.Random(1)
-    rows = [(k, i, r.randint(0, 60)) for k in "abc" for i in range(40)]
+    rows = []
+    for k, n, size in (("a", 900, lambda: r.randint(0, 60)), ("b", 40, lambda: r.choice([0, 0, 0, 500])), (None, 60, lambda: r.randint(0, 9)), ("c", 1, lambda: 5), ("d", 300, lambda: 0), ("e", 700, lambda: r.choice([0, 1, 99, 100, 101]))):
+        rows += [(k, i, size(), r.choice("xy") if marks and r.random() < 0.2 else "x", "extra") for i in range(n)]
     want = {}
-    for k in "abc":
-        own = [n for kk, _, n in rows if kk == k]
-        want |= {(k, i): b for i, b in enumerate(greedy(own, 100))}
+    for k in "abcde":
+        own = [x for x in rows if x[0] == k]
+        want |= {(k, x[1]): b for x, b in zip(own, greedy([x[2:4] for x in own], 100, early, bytes_only))}
+    own = [x for x in rows if x[0] is None]
+    want |= {(None, x[1]): b for x, b in zip(own, greedy([x[2:4] for x in own], 100, early, bytes_only))}
     r.shuffle(rows)
-    df = spark.createDataFrame(rows, "k string, i long, n long")
-    got = {(x.k, x.i): x.batch for x in folds.greedy_batches(df, "k", "i", "n", 100).collect()}
-    assert got == want
+    df = spark.createDataFrame(rows, "k string, i long, n long, m string, extra string")
+    done = batches.greedy_batches(df, "k", "i", "n", 100, early, "m" if marks else None, bytes_only)
+    assert done.columns == ["k", "i", "n", "m", "extra", "batch"]
+    assert {(x.k, x.i): x.batch for x in done.collect()} == want
+    assert batches.greedy_batches(df.where("false"), "k", "i", "n", 100).collect() == []
 
 
-def test_oversize_item_stands_alone(spark):
-    df = spark.createDataFrame([("a", 0, 5), ("a", 1, 500), ("a", 2, 5)], "k string, i long, n long")
-    assert [x.batch for x in folds.greedy_batches(df, "k", "i", "n", 100).orderBy("i").collect()] == [0, 1, 2]
+def test_one_key_of_a_million_rows_is_dealt_to_all_tasks(spark, uncoalesced):
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), F.col("id").alias("i"), (F.col("id") * 7919 % 101).alias("n"))
+    rows = batches.greedy_batches(df, "k", "i", "n", 1000).withColumn("task", F.spark_partition_id()).toPandas().sort_values("i")
+    assert rows["task"].nunique() > 8 and rows["task"].value_counts().max() < 300_000
+    assert list(rows["batch"]) == greedy([(n, None) for n in rows["n"]], 1000)
 
 
 @given(st.lists(st.integers(0, 100), min_size=1, max_size=12), st.integers(0, 5))
@@ -175,6 +200,78 @@ def test_closure_of_a_diamond(spark):
     assert {(x.node, x.depth) for x in got} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
 
 
+def reached(edges, root):
+    out, todo = {root}, [root]
+    while todo:
+        v = todo.pop()
+        todo += [d for s, d in edges if s == v and d not in out and not out.add(d)]
+    return out
+
+
+def test_reach_of_random_graphs(spark):
+    """Cycles, self edges, repeated edges, nodes without edges, roots that are no node."""
+    r = random.Random(6)
+    for n, m in ((12, 14), (30, 60), (40, 25)):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(n + i, n + (i + 1) % 5) for i in range(5)]
+        roots = [0, 1, 2, n, n + 3, 999]
+        got = graph.reach(spark.createDataFrame(edges * 2, "src long, dst long"), spark.createDataFrame([(x,) for x in roots], "root long")).collect()
+        assert sorted(map(tuple, got)) == sorted((x, v) for x in roots for v in reached(edges, x))
+
+
+def test_reach_along_a_long_history_with_merges(spark, monkeypatch):
+    """10,000 commits in two lanes that merge: positions take log2 rounds of pointer doubling, and few more reach all."""
+    n = 10_000
+    rows = [(i, i - 2, 0) for i in range(2, n)] + [(i, i - 1, 1) for i in range(3, n, 4)]
+    edges = spark.createDataFrame(rows, "src long, dst long, rank int")
+    nodes, _ = graph.chains(edges)
+    assert nodes._rounds <= 14 and nodes.select("chain").distinct().count() == 2
+    steps = []
+    monkeypatch.setattr(graph, "written", lambda df, name, write=graph.written: steps.append(name) or write(df, name))
+    roots = spark.createDataFrame([(n - 1,), (n - 2,), (4001,)], "root long")
+    got = {x.root: x["count"] for x in graph.reach(edges, roots).groupBy("root").count().collect()}
+    after = {}
+    for s, d, _ in rows:
+        after.setdefault(s, []).append(d)
+
+    def count(root):
+        out, todo = {root}, [root]
+        while todo:
+            todo += [d for d in after.get(todo.pop(), []) if d not in out and not out.add(d)]
+        return len(out)
+
+    assert got == {k: count(k) for k in (n - 1, n - 2, 4001)}
+    assert steps.count("reached") <= 4 and steps.count("pointers") <= 15
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    empty = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = store.stageList(None, False, False, empty, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_tree_comparison_reads_what_differs(spark):
+    """Changes are right for any edit, and what is shuffled follows the change, not the snapshot."""
+    prefixes = [lambda k, b=b: F.shiftright(k, b) for b in (12, 8, 4)]
+    base = spark.range(40_000).select(F.col("id").alias("k"), F.concat(F.lit("text "), F.col("id")).alias("c"))
+    edit = F.when(F.col("k") == 17, "new").when(F.col("k") == 30_000, F.lit(None)).otherwise(F.col("c"))
+    new = base.where("k <> 123").withColumn("c", edit).unionByName(spark.createDataFrame([(50_000, "x")], "k long, c string"))
+    old_tree, new_tree = (merkle.stored(x, "k", "c", prefixes) for x in (base, new))
+    assert merkle.unequal(old_tree, new_tree).count() == 4
+    before = shuffled(spark)
+    got = merkle.changes(old_tree, new_tree).collect()
+    few = shuffled(spark) - before
+    assert {x.key: x.change for x in got} == {17: "modified", 30_000: "modified", 123: "deleted", 50_000: "added"}
+    before = shuffled(spark)
+    assert merkle.changes(merkle.stored(base.withColumn("c", F.lit("y")), "k", "c", prefixes), old_tree).count() == 40_000
+    assert few * 10 < shuffled(spark) - before
+    assert merkle.changes(old_tree, old_tree).collect() == []
+    none = merkle.stored(base.where("false"), "k", "c", prefixes)
+    assert merkle.changes(none, old_tree).groupBy("change").count().collect() == [("added", 40_000)]
+    assert merkle.changes(none, none).collect() == []
+
+
 def test_views_are_inlined_in_order():
     sql = with_views("WITH x AS (SELECT 1) SELECT * FROM reachable, x")
     assert sql.startswith("WITH live_refs AS") and sql.index("chunk_refs AS") < sql.index("reachable AS") < sql.index("x AS (SELECT 1)")
@@ -184,3 +281,52 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def timeline(rows, lease, most):
+    """Expired claims (event_id, attempt, outcome) of one key's (event_id, type, hour) in order; the last claim stays open."""
+    out, claim, tries = [], None, 0
+    for event_id, kind, at in rows:
+        if claim and at - claim[1] >= lease:
+            tries += 1
+            out.append((claim[0], tries, "dead-letter" if tries >= most else "requeued"))
+            tries = 0 if tries >= most else tries
+        claim = (event_id, at) if kind == "click" else None
+        tries = 0 if kind == "purchase" else tries
+    return out
+
+
+def test_leases_over_a_restart(spark, tmp_path):
+    """Rows in four files, read one a micro-batch by two runs of one query with one checkpoint: nothing is lost or told twice,
+    and claims without a later event expire by timer as soon as the watermark has passed."""
+    r = random.Random(8)
+    hours = sorted(r.sample(range(1000, 1400), 160))
+    rows = [(i, r.randrange(6), r.choice(["click", "click", "click", "view", "purchase"]), h) for i, h in enumerate(hours)]
+    rows += [(500, 77, "click", hours[-1]), (501, 78, "view", hours[-1] + 3), (502, 78, "view", hours[-1] + 8)]
+    at = str(tmp_path)
+
+    def put(k, some):
+        df = spark.createDataFrame(some, "event_id long, user_id long, event_type string, h long")
+        df.select("event_id", "user_id", "event_type", F.timestamp_seconds(F.col("h") * 3600).alias("ts")).coalesce(1).write.mode("append").parquet(f"{at}/events.parquet")
+        time.sleep(1.1)  # files are read in order of their times
+
+    def run():
+        stream = timers.leases(states.events(spark, at, files_per_trigger=1))
+        with timers.store(spark):
+            q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+            q.awaitTermination()
+
+    put(0, rows[:50])
+    put(1, rows[50:90])
+    run()
+    put(2, rows[90:130])
+    put(3, rows[130:])
+    run()
+    got = sorted((x.user_id, x.event_id, x.attempt, x.outcome) for x in spark.read.parquet(f"{at}/out").collect())
+    passed = max(h for *_, h in rows) - 1
+    want = []
+    for k in {x[1] for x in rows}:
+        own = [(i, kind, h) for i, u, kind, h in rows if u == k]
+        own += [(None, "view", passed)] if passed > own[-1][2] else []
+        want += [(k, *x) for x in timeline(own, 6, 3)]
+    assert got == sorted(want) and (77, 500, 1, "requeued") in got
