@@ -13,13 +13,8 @@ What is done in place of all pairs of a list: every set is verified against the
 the member with the smallest share of tokens that no other set holds, and linked sets are
 united. Members that no partner of the list can match leave it: two sets of m and n tokens
 need an overlap of 4/9 (m + n), and neither can overlap in more tokens than it has in common
-with any other set. Lists that still hold several components get new pivots, as long as that
-halves the open pairs. For what is left, each member's overlap i with a pivot is known, and two
-members overlap in at most min(i) tokens of the pivot; what is missing to 4/9 (m + n) they must
-share outside the pivot. So they are joined on the first tokens outside it (a prefix again),
-or on the pivot alone where nothing is missing, and verified if they lie in different
-components. Components are exact, and large groups of copies cost verifications in proportion
-to their size.
+with any other set. Lists that still hold several components are decided by pivots of pivots (see :mod:`refine`): no pairs of a list are
+listed, so groups of copies and families of variants cost comparisons in proportion to their size.
 
 Before that, sets without a possible partner leave: of the first 2p tokens by hash order
 (p: the plain prefix length) at least about p must occur in another set.
@@ -32,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import refine
 from .common import LOWER, Words, chunks, discard, map_batches, mix, signed, text_buffers, window_rows, windows, written
 from .components import components
 
@@ -39,9 +35,6 @@ from .components import components
 FREQUENT = 24
 #: Frequent tokens that a group is meant to show in a prefix.
 GROUP = 6
-#: Open pairs for each member of open lists above which lists get new pivots, as long as that halves them.
-OPEN_PAIRS = 8
-
 
 def need(n, p: int = 4, q: int = 5):
     """Least overlap of a set of n tokens with any partner: ceil(n * p / q)."""
@@ -176,27 +169,6 @@ def _verified(pairs: DataFrame, live: DataFrame, p: int, q: int) -> DataFrame:
     return map_batches(both, _alike(p, q), "a long, b long")
 
 
-def _outside(p: int, q: int):
-    """Of rows (pivot, doc_id, n, least, root, big, x: the pivot's tokens, y: the set's): the overlap with the pivot, the number of tokens
-    outside it, and the first of these, of which a partner of at least ``least`` tokens must hold one if it needs any."""
-
-    def run(batches):
-        for batch in batches:
-            n, least = (batch.column(c).to_numpy() for c in ("n", "least"))
-            i, h, out = [], [], []
-            for k, (a, b) in enumerate(_pairs(batch)):
-                rest = b[~np.isin(b, a, assume_unique=True)]
-                i.append(len(b) - len(rest))
-                h.append(len(rest))
-                missing = -(-p * int(n[k] + max(least[k], need(int(n[k]), p, q))) // (p + q)) - i[-1]
-                out.append(rest[: max(0, len(rest) - max(missing, 1) + 1)])
-            names = ["pivot", "doc_id", "n", "root", "big"]
-            cols = [*[batch.column(c) for c in names], pa.array(i, pa.int64()), pa.array(h, pa.int64()), pa.array(out, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "i", "h", "out"])
-
-    return run
-
-
 def _possible(p: int, q: int, *names: str) -> str:
     """Whether two sets, by names of their sizes and of their tokens held by others, can have similarity p/q."""
     na, ha, nb, hb = names
@@ -215,16 +187,13 @@ def links(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5) -> tuple[Da
     live = _live(rows, reps, shingle, p, q)
     discard(reps)
     live, sig = _lists(live, p, q)
-    all_ = sig.withColumns({"root": F.col("doc_id"), "big": F.lit(None).cast("long")})
-    found, last = _star(all_, live, p, q, 1 - F.col("held") / F.col("n")), None
-    while True:
-        open_, pairs, members = _open(sig, found, p, q)
-        if pairs <= OPEN_PAIRS * members or (last is not None and 2 * pairs > last):
-            break
-        last = pairs
-        found = written(found.unionByName(_star(open_, live, p, q, F.xxhash64(F.lit(pairs), "doc_id"))), "links")
-        discard(open_)
-    rest = written(_verified(_across(open_, live, p, q), live, p, q).distinct(), "rest")
+    found = _star(sig, live, p, q)
+    open_ = _open(sig, found, p, q)
+    key = F.struct(F.col("doc_id").alias("d"), F.col("k1").alias("k")).alias("id")
+    of = open_.groupBy("s").agg(F.min(F.struct("n", key, "root")).alias("v"))
+    cells = open_.select("s", key, F.col("root").alias("r")).join(of, "s").where("id <> v.id").select(F.col("v.id").alias("pivot"), "id", "r", F.col("v.root").alias("rp"))
+    rest = refine.links(cells, live.select(key, "n", F.col("tokens").alias("v")), p, q)
+    rest = written(rest.select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct(), "rest")
     for x in (open_, sig, live):
         discard(x)
     # a doc_id of several rows with different sets is one document
@@ -271,66 +240,29 @@ def _lists(live: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
     return known, sig
 
 
-def _star(members: DataFrame, live: DataFrame, p: int, q: int, first) -> DataFrame:
-    """Verified links between each list's pivot and its members of other components. The pivot is the first
-    by ``first`` outside the list's largest component ``big``."""
-    pivot = F.min(F.struct(first.alias("first"), "doc_id", "n", "held", "root")).alias("v")
-    pivot = members.where("big IS NULL OR root <> big").groupBy("s").agg(pivot)
-    pairs = members.join(pivot, "s").where("doc_id <> v.doc_id AND root <> v.root AND " + _possible(p, q, "n", "held", "v.n", "v.held"))
+def _star(members: DataFrame, live: DataFrame, p: int, q: int) -> DataFrame:
+    """Verified links between each list's pivot, the member with the smallest share of tokens of its own, and its members."""
+    pivot = F.min(F.struct((1 - F.col("held") / F.col("n")).alias("first"), "doc_id", "n", "held")).alias("v")
+    pairs = members.join(members.groupBy("s").agg(pivot), "s").where("doc_id <> v.doc_id AND " + _possible(p, q, "n", "held", "v.n", "v.held"))
     pairs = written(pairs.select(F.least("doc_id", "v.doc_id").alias("a"), F.greatest("doc_id", "v.doc_id").alias("b")).distinct(), "star")
     found = written(_verified(pairs, live, p, q).distinct(), "links")
     discard(pairs)
     return found
 
 
-def _open(sig: DataFrame, found: DataFrame, p: int, q: int) -> tuple[DataFrame, int, int]:
-    """The lists that still hold several components, as (s, doc_id, k1, n, held, root, big), without the members
-    that no partner there can match; the pairs of different components among them; and the members."""
+def _open(sig: DataFrame, found: DataFrame, p: int, q: int) -> DataFrame:
+    """The lists that still hold several components, as (s, doc_id, k1, n, held, root), without the members that no
+    partner there can match."""
     comp = components(found)
     named = sig.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     of = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).where("lo < hi")
     able = f"(n + greatest(least, ceil(n * {p} / {q}))) * {p} <= {p + q} * held"
     some = written(named.join(of.select("s", "least"), "s").where(able).select("s", "doc_id", "k1", "n", "held", "root"), "able")
-    each = some.groupBy("s", "root").agg(F.count("*").alias("k"))
-    of = each.groupBy("s").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.count("*").alias("roots"), F.max_by("root", "k").alias("big"))
-    of = written(of.where("roots > 1"), "of")
-    pairs, members = of.agg(F.sum((F.col("m") * F.col("m") - F.col("k2")) / 2), F.sum("m")).first()
-    open_ = written(some.join(of.select("s", "big"), "s"), "open")
-    for x in (comp, some, of):
+    of = some.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
+    open_ = written(some.join(of, "s", "left_semi"), "open")
+    for x in (comp, some):
         discard(x)
-    return open_, int(pairs or 0), int(members or 0)
-
-
-def _across(open_: DataFrame, live: DataFrame, p: int, q: int) -> DataFrame:
-    """Candidate pairs (a, b) of open lists in different components, by what they share outside a pivot of the largest component."""
-    key = F.struct(F.col("doc_id").alias("d"), F.col("k1").alias("k")).alias("pivot")
-    pivot = open_.where("root = big").groupBy("s").agg(F.min(F.struct((1 - F.col("held") / F.col("n")).alias("own"), key)).alias("v"))
-    cells = open_.join(pivot, "s").select(F.col("v.pivot").alias("pivot"), "doc_id", "k1", "n", "root", "big").distinct()
-    cells = written(cells, "cells")
-    least = cells.groupBy("pivot").agg(F.min("n").alias("least"))
-    x, y = live.select(key, F.col("tokens").alias("x")), live.select("doc_id", "k1", F.col("tokens").alias("y"))
-    sets = cells.join(least, "pivot").join(x, "pivot").join(y, ["doc_id", "k1"]).select("pivot", "doc_id", "n", "least", "root", "big", "x", "y")
-    schema = "pivot struct<d: long, k: long>, doc_id long, n long, root long, big long, i long, h long, out array<long>"
-    known = written(map_batches(sets, _outside(p, q), schema), "outside")
-    discard(cells)
-
-    def side(df: DataFrame, c: str, *on: str) -> DataFrame:
-        return df.select(*on, *[F.col(k).alias(f"{k}_{c}") for k in ("doc_id", "n", "root", "i", "h")])
-
-    other = f"doc_id_a <> doc_id_b AND root_a <> root_b AND least(n_a, n_b) * {q} >= greatest(n_a, n_b) * {p} AND (n_a + n_b) * {p} <= {p + q} * (least(i_a, i_b)"
-    # where something is missing, a token outside the pivot is shared
-    token = known.select("pivot", F.explode("out").alias("t"), "doc_id", "n", "root", "i", "h")
-    split = token.groupBy("pivot", "t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("pivot", "t")
-    token = written(token.join(split, ["pivot", "t"], "left_semi"), "tokens")
-    shared = side(token, "a", "pivot", "t").join(side(token, "b", "pivot", "t"), ["pivot", "t"]).where("doc_id_a < doc_id_b AND " + other + " + least(h_a, h_b))")
-    # where nothing is missing, one of the two is not linked to the pivot, and the other is smaller than the pivot
-    reach = (F.col("i") * (p + q) / p - F.col("n")).alias("reach")
-    span = known.groupBy("pivot").agg(F.min("n").alias("lo"), F.max(F.when(F.col("root") != F.col("big"), reach)).alias("hi"))
-    stray = known.where("root <> big").join(span.select("pivot", "lo"), "pivot").where(reach >= F.col("lo"))
-    small = known.join(span.select("pivot", "hi"), "pivot").where("n <= hi")
-    alone = side(stray, "a", "pivot").join(side(small, "b", "pivot"), "pivot").where(other + ")")
-    pairs = shared.select("doc_id_a", "doc_id_b").unionByName(alone.select("doc_id_a", "doc_id_b"))
-    return written(pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "across")
+    return open_
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:

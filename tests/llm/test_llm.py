@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import components, decontam, html_extract, lang_id, line_dedup, ngram_join, packing, quality_rules, queries, sharding, substring_dedup, toxicity
+from tessera.llm import common, components, decontam, html_extract, lang_id, line_dedup, ngram_join, packing, quality_rules, queries, refine, sharding, substring_dedup, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, k string, at string, gone string, tokens string, rep string, size string"
@@ -137,7 +137,7 @@ def test_ngram_join(spark, texts):
     assert got == sorted((i, len(s[i]), root[i]) for i, _ in texts if i is not None)
 
 
-def test_ngram_join_of_a_large_near_copy_group(spark, monkeypatch):
+def test_ngram_join_of_a_large_near_copy_group(spark):
     """Frequent tokens: a group far above the rare class, each member with edits of its own."""
     r = random.Random(9)
     base = [prose(r, 200).split(), prose(r, 60).split()]
@@ -154,8 +154,8 @@ def test_ngram_join_of_a_large_near_copy_group(spark, monkeypatch):
     assert got == want
 
 
-def test_ngram_join_of_families(spark, monkeypatch):
-    """Copies of copies: many pairs just above and below the similarity, around several bases; and new pivots at every turn."""
+def test_ngram_join_of_families(spark):
+    """Copies of copies: many pairs just above and below the similarity, around several bases."""
     r = random.Random(23)
     texts, at = [], 0
     for size in (90, 90, 45):
@@ -174,9 +174,7 @@ def test_ngram_join_of_families(spark, monkeypatch):
     s = {i: shingles(t) for i, t in texts}
     link = [(i, j) for i in s for j in s if i < j and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])]
     want = groups(link, s)
-    for pairs in (8, 0):
-        monkeypatch.setattr(ngram_join, "OPEN_PAIRS", pairs)
-        assert {x.doc_id: x.component_id for x in ngram_join.near_duplicates(docs_of(spark, texts)).collect()} == want
+    assert {x.doc_id: x.component_id for x in ngram_join.near_duplicates(docs_of(spark, texts)).collect()} == want
 
 
 def test_ngram_join_of_a_doc_id_with_two_texts(spark):
@@ -541,7 +539,7 @@ def brute_lines(texts):
         for k, x in enumerate(t.split("\n")):
             if re.search(r"[^\x20\x09-\x0D]", x):
                 first.setdefault(x, (i, k))
-    s = {x: {x.encode()[k : k + 10] for k in range(max(1, len(x.encode()) - 9))} for x in first}
+    s = {x: {x[k : k + 10] for k in range(max(1, len(x) - 9))} for x in first}
     near = lambda a, b: 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b))
     link = [(x, y) for x in s for y in s if x < y and near(s[x], s[y]) and 5 * len(s[x] & s[y]) >= 4 * len(s[x] | s[y])]
     root = groups(link, s)
@@ -575,11 +573,76 @@ def test_line_dedup_of_one_boilerplate_with_many_tails(spark):
     assert got == {i: keep(i, t) for i, t in texts}
 
 
-def test_minima_that_two_similar_lines_share():
-    """Of pairs at the similarity, next to none has fewer than EQUAL equal minima or no common band."""
-    n, b, r = line_dedup.BANDS * line_dedup.ROWS, line_dedup.BANDS, line_dedup.ROWS
-    fewer = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(line_dedup.EQUAL))
-    assert fewer < 0.001 and (1 - 0.8**r) ** b < 0.003
+def test_two_similar_lines_share_a_band():
+    """Of pairs at the similarity, next to none has no common band."""
+    assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS < 0.003
+
+
+def compared(spark, monkeypatch, run):
+    """How many pairs of sets refine compares while run() is computed."""
+    n = []
+
+    def count(df, name, write=common.written):
+        out = write(df, name)
+        if name == "compared":
+            n.append(out.count())
+        return out
+
+    monkeypatch.setattr(refine, "written", count)
+    run()
+    return sum(n)
+
+
+def template_lines(n, seed=41):
+    """One template, two variants, tails of their own; and links within a third variant only."""
+    r = random.Random(seed)
+    some = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    base, variants, close = some(380), [some(50), some(50)], some(110)
+    return [base + variants[i % 2] + some(70) for i in range(n)] + [base + close + some(8) for _ in range(n // 4)]
+
+
+def test_comparisons_of_line_variants_grow_with_the_group(spark, monkeypatch):
+    n = {}
+    for k in (100, 200):
+        texts = list(enumerate(template_lines(k)))
+        n[k] = compared(spark, monkeypatch, lambda: line_dedup.line_dedup(docs_of(spark, texts)).collect())  # noqa: B023
+    keep = brute_lines(texts)
+    assert {x.doc_id: x.text for x in line_dedup.line_dedup(docs_of(spark, texts)).collect()} == {i: keep(i, t) for i, t in texts}
+    assert n[200] < 2.6 * n[100], n
+
+
+def test_comparisons_of_document_variants_grow_with_the_group(spark, monkeypatch):
+    r = random.Random(43)
+    base, variants = prose(r, 400), [prose(r, 40), prose(r, 40)]
+    n = {}
+    for k in (60, 120):
+        texts = [(i, f"{base} {variants[i % 2]} {prose(r, 60)}") for i in range(k)]
+        n[k] = compared(spark, monkeypatch, lambda: ngram_join.near_duplicates(docs_of(spark, texts)).collect())  # noqa: B023
+    s = {i: shingles(t) for i, t in texts}
+    link = [(i, j) for i in s for j in s if i < j and 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j])]
+    root = groups(link, s)
+    assert {x.doc_id: x.component_id for x in ngram_join.near_duplicates(docs_of(spark, texts)).collect()} == root
+    assert n[120] < 2.6 * max(n[60], 60), n
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_refine_against_all_pairs(spark, seed):
+    """Random families of sets in one group under any pivot: components are those of all links."""
+    r = random.Random(seed)
+    sets = {}
+    for f in range(8):
+        core = r.sample(range(10_000), 40)
+        for _ in range(r.randint(1, 9)):
+            x = set(core) | set(r.sample(range(500), r.randint(0, 12)))
+            for v in r.sample(sorted(x), min(len(x) - 1, r.randint(0, 9))):
+                x.discard(v)
+            sets[len(sets)] = x | set(range(20_000, 20_000 + 30 * (f % 3)))
+    first = r.randrange(len(sets))
+    cells = spark.createDataFrame([(first, i, i, first) for i in sets if i != first], "pivot long, id long, r long, rp long")
+    got = refine.links(cells, spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, v array<long>"), 4, 5).collect()
+    link = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert all(tuple(sorted((x.a, x.b))) in set(link) for x in got)
+    assert groups([(x.a, x.b) for x in got], sets) == groups(link, sets)
 
 
 def test_line_dedup_of_a_doc_id_with_two_texts(spark):
