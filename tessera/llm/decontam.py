@@ -3,24 +3,29 @@
 A seed is a fixed mask over ``SPAN`` consecutive tokens; the tokens at its ignored places
 do not enter the hash, so a test passage is still met after some of its tokens were
 substituted. Test hashes go to the workers in blocks of bounded size, every training
-window is looked up, and each hit is verified: on its alignment, the best stretch of the
-test item must have at least ``min_match`` equal tokens and a share of ``identity``.
+window is looked up, and each hit is verified: on its alignment, some stretch of the
+test item must have at least ``min_match`` equal tokens and a share of ``identity`` or more. Every stretch is
+considered: with weights that add up to nought at the share, a stretch is good if its running sum ends no lower than it
+began, and for each end the first such beginning is found in the running minimum.
 
-The masks meet every stretch that the verification can accept. Every end of a best stretch has
-a positive sum (equal +1, others -2), so its last three tokens are equal, of the last six at
-most one differs, and of the last nine at most two. Each mask ignores two of the places 4 to 9
-from the end, at least one of them in 7 to 9: together all patterns that are possible.
+The masks meet every stretch that the verification can accept at 13 equal tokens and a share of 0.7, wherever it lies in
+item and document (so also at more, or a higher share). A good stretch of 26 equal tokens and more holds a shorter good one
+(one of two halves is good), so there are few lengths; a search over all patterns of these (in the tests) finds none whose windows
+the masks all miss.
 
 Tokens: lower-cased runs of letters, digits and non-ASCII characters. Defined results: a
 null or empty text or item hits nothing; an item of less than ``min_match`` tokens is held
 whole against its alignment and needs ``min_short`` equal tokens and a share of ``identity`` of
 all its tokens (so of less than ``min_short`` tokens it never hits); repeated items hit each; rows of one
 doc_id are looked at one by one, and a hit in any of them takes all of them out; a null doc_id is reported as null
-and stays; of equally good stretches the last in the document is reported; extra columns stay, whatever their names.
+and stays; of the good stretches of a pair the one with most equal tokens is reported, of these the shortest, then the last in the document; extra columns
+stay, whatever their names; an empty table of documents or items gives no hits.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, Words, chunks, map_batches, mix, powers, text_buffers, window_rows, windows
 
-#: Fixed masks: 1 = the token counts. Each ignores two of the first six places, at least one of the first three.
-SPAN = 9
-MASKS = tuple("".join("0" if i in (x, y) else "1" for i in range(SPAN)) for x in range(3) for y in range(x + 1, 6))
-#: Test tokens that one broadcast block holds (8 bytes each, and 12 hashes a token).
+#: Fixed masks: 1 = the token counts. The two places that each ignores.
+SPAN = 7
+IGNORED = ((0, 1), (1, 2), (2, 5), (2, 6), (3, 5), (4, 5))
+MASKS = tuple("".join("0" if i in places else "1" for i in range(SPAN)) for places in IGNORED)
+#: What the masks are proved for: least equal tokens, and least share of them.
+LEAST_MATCH, LEAST_SHARE = 13, 0.7
+#: Test tokens that one broadcast block holds (8 bytes each, and a hash a token for each mask).
 BLOCK_TOKENS = 500_000
 _B = 0x9FB21C651E98DF25
 
@@ -113,19 +121,43 @@ def _short_hits(block: Block, w: Words):
             yield from zip(d[good].tolist(), item[good].tolist(), same[good].tolist(), (first - w.off[d])[good].tolist())
 
 
-def _verified(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Best stretch of item[k] against doc[k + shift]: (equal tokens, length, start in doc).
-
-    Equal tokens score 1, others -2: the stretch with the largest sum keeps a share of 2/3 and
-    more; the caller holds its identity against the wanted one.
-    """
+def _verified(doc: np.ndarray, item: np.ndarray, shift: int, min_match: int, identity: float) -> tuple[int, int, int] | None:
+    """Of the stretches of item[k] against doc[k + shift] with enough equal tokens and share, that with most equal tokens, then
+    the shortest, then the last: (equal tokens, -length, start in doc)."""
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
     same = item[a:b] == doc[a + shift : b + shift]
-    s = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    low = np.minimum.accumulate(s)
-    end = int(np.argmax(s - low))
-    start = int(np.argmin(s[: end + 1]))
-    return int(same[start:end].sum()), end - start, a + shift + start
+    equal = np.concatenate([[0], np.cumsum(same)])
+    if equal[-1] < min_match:
+        return None
+    share = Fraction(identity).limit_denominator(1000)
+    s = share.denominator * equal - share.numerator * np.arange(len(equal))
+    first = np.searchsorted(-np.minimum.accumulate(s), -s, side="left")  # of the beginnings of good stretches that end here
+    gain = equal - equal[first]
+    most = int(gain.max())
+    if most < min_match:
+        return None
+    ends = np.flatnonzero(gain == most)
+    at = np.flatnonzero(same)[equal[first[ends]]]  # unequal tokens in front do not count
+    k = int(np.lexsort((-ends, ends - at))[0])
+    return most, -int(ends[k] - at[k]), a + shift + int(at[k])
+
+
+def _alignments(block: Block, w: Words, at_once: int = 1_000_000):
+    """(row, item, shift) of all hits, each alignment once."""
+    starts, row = window_rows(w.off, SPAN)
+    found = np.zeros((0, 3), np.int64)
+    for s in _seeds(w.h) if len(starts) else []:
+        s = s[starts]
+        near = np.flatnonzero(block.map[s >> block.drop])
+        lo, hi = (np.searchsorted(block.key, s[near], side=x) for x in ("left", "right"))
+        many = hi - lo
+        for part in np.split(np.arange(len(near)), np.flatnonzero(np.diff(np.cumsum(many) // at_once)) + 1):
+            k = np.repeat(part, many[part])
+            e = np.arange(len(k)) - np.repeat(np.cumsum(many[part]) - many[part], many[part]) + lo[k]
+            d, item = row[near[k]], block.row[e].astype(np.int64)
+            shift = (starts[near[k]] - w.off[d]) - (block.at[e] - block.off[item])
+            found = np.unique(np.concatenate([found, np.stack([d, item, shift], axis=1)]), axis=0)
+    yield from found.tolist()
 
 
 def _hits(block: Block, min_match: int, identity: float):
@@ -136,27 +168,15 @@ def _hits(block: Block, min_match: int, identity: float):
             for i, j in chunks(off):
                 w = Words(raw, off, i, j, ALNUM, LOWER)
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                starts, row = window_rows(w.off, SPAN)
-                tried: set[tuple[int, int, int]] = set()
-                for s in _seeds(w.h) if len(starts) else []:
-                    s = s[starts]
-                    near = np.flatnonzero(block.map[s >> block.drop])
-                    lo, hi = (np.searchsorted(block.key, s[near], side=x) for x in ("left", "right"))
-                    for k, a, b in zip(near[lo < hi], lo[lo < hi], hi[lo < hi]):
-                        d = int(row[k])
-                        for e in range(a, b):
-                            item = int(block.row[e])
-                            shift = int(starts[k] - w.off[d]) - int(block.at[e] - block.off[item])
-                            if (d, item, shift) not in tried:
-                                tried.add((d, item, shift))
-                                got = _verified(w.h[w.off[d] : w.off[d + 1]], block.h[block.off[item] : block.off[item + 1]], shift)
-                                if got[0] >= min_match and got[0] >= identity * got[1]:
-                                    best[d, item] = max(best.get((d, item), got), got)
+                for d, item, shift in _alignments(block, w):
+                    got = _verified(w.h[w.off[d] : w.off[d + 1]], block.h[block.off[item] : block.off[item + 1]], shift, min_match, identity)
+                    if got:
+                        best[d, item] = max(best.get((d, item), got), got)
                 for d, item, same, at in _short_hits(block, w):
-                    got = same, int(block.off[item + 1] - block.off[item]), max(at, 0)
+                    got = same, -int(block.off[item + 1] - block.off[item]), max(at, 0)
                     best[d, item] = max(best.get((d, item), got), got)
                 if best:
-                    rows = [(ids[d + i], block.ids[item], *v) for (d, item), v in sorted(best.items())]
+                    rows = [(ids[d + i], block.ids[item], n, -length, at) for (d, item), (n, length, at) in sorted(best.items())]
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "item_id", "n_match", "n_span", "at"])
 
@@ -184,8 +204,8 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = 13, identit
     docs: doc_id, text; items: item_id, text. ``at`` is the stretch's first token in the document.
     Items are matched in blocks, so any number of them works; documents are never shuffled.
     """
-    if min_match < SPAN:
-        raise ValueError(f"min_match must be {SPAN} or more: the masks span {SPAN} tokens")
+    if min_match < LEAST_MATCH or identity < LEAST_SHARE:
+        raise ValueError(f"the masks are for {LEAST_MATCH} equal tokens or more and a share of {LEAST_SHARE} or more")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.lower(F.col("text").cast("string")).alias("text"))
     out = None

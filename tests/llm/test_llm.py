@@ -407,19 +407,60 @@ def planted(spark, pairs, **limits):
     return {(x.doc_id, x.item_id): x.n_match for x in decontam.contaminated(docs_of(spark, texts), items, **limits).collect()}
 
 
+def any_stretch(same, n=13, share=0.7):
+    """Most equal tokens of any stretch with n of them and the share; 0 if there is none."""
+    total = [0]
+    for x in same:
+        total.append(total[-1] + x)
+    good = [total[j] - total[i] for i in range(len(same)) for j in range(i + n, len(same) + 1) if total[j] - total[i] >= n and 10 * (total[j] - total[i]) >= round(10 * share) * (j - i)]
+    return max(good, default=0)
+
+
 def test_decontamination_meets_all_that_it_accepts(spark):
-    """Every k-th token substituted, and random places: what verification accepts on the true alignment is found."""
+    """Every k-th token substituted, random places, dense and sparse parts in turn: each stretch that is good is found."""
     r, pairs, want = random.Random(15), [], {}
     changes = [(n, set(range(at, n, k))) for n in (24, 36, 60) for k in (4, 5, 6) for at in range(k)]
-    changes += [(n, set(r.sample(range(n), c))) for n, c in ((18, 4), (18, 5), (24, 6), (30, 8)) for _ in range(25)]
+    changes += [(n, set(r.sample(range(n), c))) for n, c in ((18, 4), (18, 5), (20, 6), (24, 6), (30, 8), (40, 14), (80, 30)) for _ in range(25)]
+    for n in (60, 120):
+        changes += [(n, {i for i in range(n) if r.random() < (0.1, 0.5, 0.33)[i // 15 % 3]}) for _ in range(25)]
+    changes.append((323, {i for i in range(13, 323) if i % 3 == 0 or i % 31 == 0}))
+    changes += [(len(p), {i for i, x in enumerate(p) if x == "x"}) for p in ("eeeeeeeexxxxxxeeeeeeee", "eeeeeexxxeeeeeexxxee", "xeeeeeexxxeeeeeeexx")]
     for k, (n, gone) in enumerate(changes):
         item = [f"i{k}x{j}" for j in range(n)]
-        form = ["subst" if j in gone else t for j, t in enumerate(item)]
-        pairs.append((" ".join(item), " ".join(form)))
-        got = decontam._verified(*(decontam._tokens(pa.array([t])).h for t in reversed(pairs[-1])), 0)
-        if got[0] >= 13 and got[0] >= 0.7 * got[1]:
-            want[k, k] = got[0]
-    assert len(want) > 60 and planted(spark, pairs) == want
+        pairs.append((" ".join(item), " ".join("subst" if j in gone else t for j, t in enumerate(item))))
+        if got := any_stretch([j not in gone for j in range(n)]):
+            want[k, k] = got
+    assert len(want) > 100 and (len(changes) - 4, len(changes) - 4) in want and planted(spark, pairs) == want
+
+
+def test_masks_meet_every_good_stretch():
+    """Over all patterns of equal and other tokens, by the last places and the number of equal ones: none that is good is missed."""
+    n = decontam.SPAN
+    met = [any(all(w >> (n - 1 - i) & 1 == 0 or i in z for i in range(n)) for z in decontam.IGNORED) for w in range(1 << n)]
+    now = {(0, 0)}
+    for length in range(1, 40):  # 25 equal tokens are at most 35
+        new = set()
+        for bits, equal in now:
+            for other in (0, 1):
+                w = (bits << 1 | other) & ((1 << n) - 1)
+                if length < n or not met[w]:
+                    new.add((w & ((1 << n - 1) - 1), equal + 1 - other))
+        now = new
+        assert not [e for _, e in now if e >= 13 and 10 * e >= 7 * length]
+
+
+def test_verified_stretch_against_all_stretches():
+    r = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(r.integers(1, 90))
+        item = np.arange(n, dtype=np.uint64)
+        doc = np.where(r.random(n) < r.choice([0.2, 0.3, 0.4]), np.uint64(999), item)
+        got = decontam._verified(doc, item, 0, 13, 0.7)
+        want = any_stretch((doc == item).tolist())
+        assert (got[0] if got else 0) == want
+        if got:
+            same = (doc == item)[got[2] : got[2] - got[1]]
+            assert same.sum() == got[0] and same[0] and same[-1] and 10 * same.sum() >= 7 * len(same)
 
 
 def test_decontamination_of_short_items(spark):
