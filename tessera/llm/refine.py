@@ -8,9 +8,11 @@ linked (directly or by way of others) form the groups of the next round; the sma
 lacks nothing outside the pivot must hold a set smaller than the pivot, which only a first pivot can have; those members
 form one more group.
 
-So no pairs of a group are ever listed: a group of m members costs m - 1 comparisons with its pivot, however many
+So a group of m members costs m - 1 comparisons with its pivot, however many
 variants it has, and a variant's members meet again under a pivot of their own, outside of which they share nothing any more
-or are linked. Pivots grow from round to round (in order of size and id), so the rounds end.
+or are linked. Groups of at most ``SMALL`` members are compared pair by pair, which is in proportion to them too. What ``ROUNDS`` pivots
+have not divided are sets that lie closely below the similarity to each other in ways of their own; their pairs that sizes and
+overlaps with the last pivot allow are all compared.
 """
 
 from __future__ import annotations
@@ -24,23 +26,47 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
+#: Members of a group that are compared pair by pair.
+SMALL = 24
+#: Pivots that a pair may meet before it is compared itself.
+ROUNDS = 5
+
+
 def links(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[Column], Column] = lambda v: v) -> DataFrame:
     """(a, b): links that, with what ``r`` and ``rp`` tell, connect all members of a group that links connect.
 
     cells: pivot, id, r and rp, labels of components that id and pivot are known to belong to. sets: id, v, and n where the
     set has more tokens than ``tokens(v)`` gives (those that no other set holds). Similarity p/q.
     """
-    found = []
+    found, pairs = [], []
     cells = written(cells.groupBy("pivot", "id").agg(F.min("r").alias("r"), F.min("rp").alias("rp")), "cells")
-    while True:
+    for k in range(ROUNDS):
         known = written(_compared(cells, sets, p, q, tokens), "compared")
         discard(cells)
         found.append(written(known.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")), "links"))
-        cells = written(_groups(known, p, q), "cells")
+        open_ = written(_open(known, p, q), "open")
         discard(known)
-        if cells.isEmpty():
-            discard(cells)
-            return reduce(DataFrame.unionByName, found)
+        last = k == ROUNDS - 1
+        pairs.append(written(_pairs(open_, p, q, last), "pairs"))
+        cells = written(_groups(open_), "cells") if not last else None
+        discard(open_)
+        if last or cells.isEmpty():
+            break
+    discard(cells)
+    some = reduce(DataFrame.unionByName, pairs).distinct()
+    found.append(written(_alike(some, sets, p, q, tokens), "links"))
+    for x in pairs:
+        discard(x)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[Column], Column]) -> DataFrame:
+    """The pairs (a, b) that link."""
+    own = "n" in sets.columns
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"), *([F.col("n").alias(f"n{c}")] if own else []))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumns({"x": tokens(F.col("va")), "y": tokens(F.col("vb"))})
+    n = F.col("na") + F.col("nb") if own else F.size("x") + F.size("y")
+    return both.where(n * p <= (p + q) * F.size(F.array_intersect("x", "y"))).select("a", "b")
 
 
 def _compared(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[Column], Column]) -> DataFrame:
@@ -64,8 +90,9 @@ def _shown(out: Column, least: Column, p: int, q: int) -> Column:
     return F.slice(out, F.lit(1), F.greatest(F.col("h") - F.greatest(need - F.col("i"), F.lit(1)) + 1, F.lit(0)).cast("int"))
 
 
-def _groups(known: DataFrame, p: int, q: int) -> DataFrame:
-    """The cells of the next round."""
+def _open(known: DataFrame, p: int, q: int) -> DataFrame:
+    """(pivot, t, id, n, r, i, h, m): the members of a pivot's groups, each group known by a token outside the pivot, or by none where
+    nothing outside is needed; m members, of several components."""
     joined = known.where("linked").select("pivot", "r", F.lit(True).alias("u")).distinct()
     named = known.join(joined, ["pivot", "r"], "left").withColumn("r", F.when(F.col("u"), F.col("rp")).otherwise(F.col("r")))
     stray = F.col("r") != F.col("rp")
@@ -74,13 +101,24 @@ def _groups(known: DataFrame, p: int, q: int) -> DataFrame:
     open_ = named.join(of.where("r0 < r1").drop("r0", "r1"), "pivot")
     # what has no partner of the group's sizes shows nothing
     able = (F.col("n") + F.greatest("least", F.ceil(F.col("n") * p / q))) * p <= (p + q) * (F.col("i") + F.col("h"))
-    lists = open_.where(able).select("pivot", "id", "n", "r", F.explode(_shown(F.col("out"), F.col("least"), p, q)).alias("t"))
-    alone = open_.where((stray & (reach >= F.col("least"))) | (F.col("n") <= F.col("hi"))).where("hi >= least").select("pivot", "id", "n", "r")
-
-    def groups(members: DataFrame, *key: str) -> DataFrame:
-        first = F.min(F.struct("n", "id", "r")).alias("v")
-        of = members.groupBy(*key).agg(first, F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 < r1").select(*key, "v")
-        return members.join(of, [*key]).where("id <> v.id").select(F.col("v.id").alias("pivot"), "id", "r", F.col("v.r").alias("rp"))
-
-    both = groups(lists, "pivot", "t").unionByName(groups(alone, "pivot"))
-    return both.groupBy("pivot", "id").agg(F.min("r").alias("r"), F.min("rp").alias("rp"))
+    cols = ["pivot", "id", "n", "r", "i", "h"]
+    lists = open_.where(able).select(*cols, F.explode(_shown(F.col("out"), F.col("least"), p, q)).alias("t"))
+    alone = open_.where((stray & (reach >= F.col("least"))) | (F.col("n") <= F.col("hi"))).where("hi >= least").select(*cols, F.lit(0).cast("long").alias("t"))
+    both = lists.withColumn("outside", F.lit(True)).unionByName(alone.withColumn("outside", F.lit(False)))
+    of = both.groupBy("pivot", "outside", "t").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("*").alias("m"), F.min(F.struct("n", "id", "r")).alias("v"))
+    return both.join(of.where("r0 < r1").drop("r0", "r1"), ["pivot", "outside", "t"])
+
+
+def _groups(open_: DataFrame) -> DataFrame:
+    """The cells of the next round: large groups under their smallest members."""
+    some = open_.where((F.col("m") > SMALL) & (F.col("id") != F.col("v.id")))
+    return some.groupBy(F.col("v.id").alias("pivot"), "id").agg(F.min("r").alias("r"), F.min("v.r").alias("rp"))
+
+
+def _pairs(open_: DataFrame, p: int, q: int, all_: bool) -> DataFrame:
+    """(a, b): pairs of small groups, or of all, in different components, that sizes and overlaps with the pivot allow."""
+    side = lambda c: open_.where(F.lit(all_) | (F.col("m") <= SMALL)).select("pivot", "outside", "t", *[F.col(x).alias(x + c) for x in ("id", "n", "r", "i", "h")])
+    both = side("a").join(side("b"), ["pivot", "outside", "t"]).where("ida < idb AND ra <> rb")
+    most = "least(ia, ib) + IF(outside, least(ha, hb), 0)"
+    both = both.where(f"least(na, nb) * {q} >= greatest(na, nb) * {p} AND (na + nb) * {p} <= {p + q} * ({most})")
+    return both.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()

@@ -625,7 +625,7 @@ def compared(spark, monkeypatch, run):
 
     def count(df, name, write=common.written):
         out = write(df, name)
-        if name == "compared":
+        if name in ("compared", "pairs"):
             n.append(out.count())
         return out
 
@@ -666,9 +666,11 @@ def test_comparisons_of_document_variants_grow_with_the_group(spark, monkeypatch
     assert n[120] < 2.6 * max(n[60], 60), n
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_refine_against_all_pairs(spark, seed):
-    """Random families of sets in one group under any pivot: components are those of all links."""
+@pytest.mark.parametrize("seed, small, rounds", [(0, 24, 5), (1, 3, 8), (2, 2, 2)])
+def test_refine_against_all_pairs(spark, monkeypatch, seed, small, rounds):
+    """Random families of sets in one group under any pivot: components are those of all links, by pivots or by pairs."""
+    monkeypatch.setattr(refine, "SMALL", small)
+    monkeypatch.setattr(refine, "ROUNDS", rounds)
     r = random.Random(seed)
     sets = {}
     for f in range(8):
