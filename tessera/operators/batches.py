@@ -19,14 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .steps import ship, written
-
-
-def placed(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The rows dealt by ranges of (key, order) and sorted, with ``__part`` (the range) and ``__seq`` (their place in all
-    rows), written, so that both stay what they are."""
-    rows = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("__seq", F.monotonically_increasing_id())
-    return written(rows.withColumn("__part", F.shiftright("__seq", 33).cast("int")), "placed")
+from .steps import placed, ship
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:

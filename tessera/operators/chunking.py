@@ -1,5 +1,6 @@
-"""Content-defined chunking with a gear hash (own table and bounds), and zstd frames.
+"""Normalised content-defined chunking with a gear hash (own table and bounds), and zstd frames.
 
+Up to the mean length a boundary needs a hash of more zero bits, beyond it one of fewer, which draws lengths to the mean.
 Boundaries depend on the bytes since the last boundary alone, so cutting a stream piece by
 piece gives the same chunks as cutting it at once.
 """
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame
 
 _GEAR = np.random.Generator(np.random.PCG64(1)).integers(0, 2**64, 256, dtype=np.uint64)
 _SHIFT = 32
+#: How much rarer boundaries are before the mean length, and how much more common after it.
+NORMAL = 4
 
 
 def cut_points(data: bytes, least: int = 256, mean: int = 1024, most: int = 4096) -> list[int]:
-    """Ends of the chunks of data: ascending, the last is len(data). mean is a power of two."""
+    """Ends of the chunks of data: ascending, the last is len(data). mean is a power of two, 4 at least."""
     n, out, at = len(data), [], 0
     if not n:
         return out
@@ -25,10 +28,16 @@ def cut_points(data: bytes, least: int = 256, mean: int = 1024, most: int = 4096
     h = np.zeros(n, np.uint64)
     for k in range(min(_SHIFT, n)):  # the hash of the last 32 bytes, for all places at once
         h[k:] += v[: n - k] << np.uint64(k)
-    cuts = np.flatnonzero((h >> np.uint64(40)) % np.uint64(mean) == 0) + 1
+    bits = h >> np.uint64(40)
+    rare, common = (np.flatnonzero(bits % np.uint64(m) == 0) + 1 for m in (mean * NORMAL, mean // NORMAL))
     while at < n:
-        k = np.searchsorted(cuts, at + max(least, _SHIFT))
-        end = int(cuts[k]) if k < len(cuts) else n
+        first = at + max(least, _SHIFT)
+        k = np.searchsorted(rare, first)
+        if k < len(rare) and rare[k] < at + mean:
+            end = int(rare[k])
+        else:
+            k = np.searchsorted(common, max(first, at + mean))
+            end = int(common[k]) if k < len(common) else n
         at = min(end, at + most, n)
         out.append(at)
     return out

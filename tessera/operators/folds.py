@@ -50,6 +50,18 @@ def token_bucket(df: DataFrame, key: str, at: str, tie: str, seconds: int, burst
     return ordered_fold(df, key, [at, tie], [at], lambda: (burst, None), step, "allowed", "boolean")
 
 
+def bounded_queue(df: DataFrame, key: str, at: str, tie: str, hold: int, places: int) -> DataFrame:
+    """Add ``accepted``: whether an arrival finds one of ``places`` free, which it then keeps for ``hold``. The state is the times at
+    which places become free again, at most as many as there are."""
+
+    def step(state, now):
+        state = tuple(x for x in state if x > now)
+        ok = len(state) < places
+        return (state + (now + hold,) if ok else state), ok
+
+    return ordered_fold(df, key, [at, tie], [at], tuple, step, "accepted", "boolean")
+
+
 def newest_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     """Add ``lands``: whether the write replaces what is stored, in order of arrival.
 

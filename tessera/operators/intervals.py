@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .steps import placed
+
 #: Bounds that one step of the search for a range passes over.
 _STEP = 64
 
@@ -52,6 +54,18 @@ def global_exclusive_sum(df: DataFrame, order: str, size: str | list[str], out:
     return joined.select(*df.columns, *[(F.col(f"__s{k}") + F.col(f"__b{k}")).cast("long").alias(o) for k, o in enumerate(outs)])
 
 
+def positions(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """Add each row's place (from 1) among its key's rows. Rows are dealt by ranges of (key, order), whatever the keys' sizes; order is
+    unique within a key."""
+    rows = placed(df, key, order)
+    first = rows.groupBy("__part").agg(F.min("__seq").alias("s"), F.count("*").alias("n"))
+    base = first.select("__part", "s", exclusive_sum("n", "__part").alias("base"))  # a row for each range
+    at = rows.join(F.broadcast(base), "__part").withColumn("__at", F.col("base") + F.col("__seq") - F.col("s"))
+    begin = at.groupBy(key).agg(F.min("__at").alias("__begin"))
+    own = F.col(f"__k.{key}").eqNullSafe(F.col(f"__b.{key}"))
+    return at.alias("__k").join(begin.alias("__b"), own).select(*[F.col(f"__k.{c}") for c in df.columns], (F.col("__at") - F.col("__begin") + 1).alias(out))
+
+
 def global_lead(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """Add the next row's ``value`` over the whole table (null for the last row), by fixed ranges of ``order``."""
     rows = df.withColumn("__p", range_parts(df, order))

@@ -175,10 +175,17 @@ def x18(t):
     return folds.token_bucket(calls(t), "user_id", "at", "event_id", 7200, 2, whole=False).select("event_id", "allowed")
 
 
-@query("x11_freshness_checks", f"WITH j AS ({_JOBS}) SELECT id, row_number() OVER (PARTITION BY key ORDER BY id) <= 3 AS checked FROM j")
+@query(
+    "x11_freshness_checks",
+    f"""WITH j AS ({_JOBS}), g AS (SELECT *, count(*) FILTER (status = 'queued') OVER (PARTITION BY key ORDER BY id ROWS UNBOUNDED PRECEDING) AS chain FROM j)
+    SELECT id, row_number() OVER (PARTITION BY key, chain ORDER BY id) - 1 AS recheck, row_number() OVER (PARTITION BY key, chain ORDER BY id) <= 3 AS checked FROM g WHERE status = 'claimed'""",
+)
 def x11(t):
-    n = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-    return jobs(t).select("id", (n <= 3).alias("checked"))
+    """Re-checks after a build count up along the chain that one push began; at the third the chain stops until the next push."""
+    upto = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    g = jobs(t).withColumn("chain", F.sum(F.when(_C("status") == "queued", 1).otherwise(0)).over(upto)).where("status = 'claimed'")
+    n = F.row_number().over(Window.partitionBy("key", "chain").orderBy("id"))
+    return g.select("id", (n - 1).cast("long").alias("recheck"), (n <= 3).alias("checked"))
 
 
 @query("x12_two_phase_publish", f"WITH j AS ({_JOBS}) SELECT key, bool_or(status = 'claimed') AS depth1, bool_or(status = 'done') AS full_ready, CASE WHEN bool_or(status = 'done') THEN 200 WHEN bool_or(status = 'claimed') THEN 202 ELSE 404 END AS code FROM j GROUP BY 1")
@@ -187,10 +194,17 @@ def x12(t):
     return jobs(t).groupBy("key").agg(one("claimed").alias("depth1"), one("done").alias("full_ready")).withColumn("code", F.when(_C("full_ready"), 200).when(_C("depth1"), 202).otherwise(404))
 
 
-@query("x13_backpressure", "SELECT event_id, row_number() OVER (PARTITION BY date_trunc('minute', ts) ORDER BY ts, event_id) <= 2 AS accepted FROM events")
+@query(
+    "x13_backpressure",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS tm, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS rn FROM events),
+    g AS (SELECT event_id, user_id, rn, [tm + 43200] AS q, true AS accepted FROM e WHERE rn = 1 UNION ALL
+      SELECT e.event_id, e.user_id, e.rn, CASE WHEN len(list_filter(g.q, lambda x: x > e.tm)) < 2 THEN list_filter(g.q, lambda x: x > e.tm) || [e.tm + 43200] ELSE list_filter(g.q, lambda x: x > e.tm) END, len(list_filter(g.q, lambda x: x > e.tm)) < 2
+      FROM g JOIN e ON e.user_id = g.user_id AND e.rn = g.rn + 1)
+    SELECT event_id, accepted FROM g""",
+)
 def x13(t):
-    w = Window.partitionBy(F.date_trunc("minute", _C("ts").cast("timestamp"))).orderBy("ts", "event_id")
-    return t.events.select("event_id", (F.row_number().over(w) <= 2).alias("accepted"))
+    """A channel of two places for each key, each taken for twelve hours; a job that finds none is refused."""
+    return folds.bounded_queue(calls(t), "user_id", "at", "event_id", 43200, 2).select("event_id", "accepted")
 
 
 @query("x14_prune_failed", f"WITH j AS ({_JOBS}) SELECT id FROM j WHERE NOT (status = 'failed' AND date_diff('second', ts, (SELECT max(ts) FROM j)) >= 2 * 86400)")

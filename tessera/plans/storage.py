@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 
 from tessera.functions import scalars as f
 from tessera import api
-from tessera.operators import chunking, fetch
+from tessera.operators import chunking, fetch, intervals
 from tessera.operators.intervals import global_exclusive_sum
-from tessera.sources.chunk_store import ChunkStore, store_chunks
+from tessera.sources.chunk_table import ChunkTable
+from tessera.sources.object_index import ObjectIndex
 from tessera.streaming.sink import shared_folder
 
 from .registry import query
@@ -146,7 +147,24 @@ def f18(t):
     return read.select("doc_id", "header", F.col("h.kind").alias("kind"), F.col("h.size").alias("size"))
 
 
-@query("f19_content_chunks")
+#: Hashes of all places, boundaries of both kinds, and chunks one after another.
+_CDC = f"""WITH RECURSIVE k AS (SELECT {[int(x) for x in chunking._GEAR]}::UBIGINT[] AS gear),
+    b AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    v AS (SELECT doc_id, x, len(x) // 2 AS n, list_transform(regexp_extract_all(x, '..'), lambda y: gear[16 * instr('0123456789ABCDEF', left(y, 1)) + instr('0123456789ABCDEF', right(y, 1)) - 16]::HUGEINT) AS g FROM b, k),
+    h0 AS (SELECT doc_id, x, n, list_transform(range(1, n + 1), lambda i: (g[i] + CASE WHEN i > 1 THEN g[i - 1] * 2::HUGEINT ELSE 0 END) % 18446744073709551616) AS g FROM v),
+    h1 AS (SELECT doc_id, x, n, list_transform(range(1, n + 1), lambda i: (g[i] + CASE WHEN i > 2 THEN g[i - 2] * 4::HUGEINT ELSE 0 END) % 18446744073709551616) AS g FROM h0),
+    h2 AS (SELECT doc_id, x, n, list_transform(range(1, n + 1), lambda i: (g[i] + CASE WHEN i > 4 THEN g[i - 4] * 16::HUGEINT ELSE 0 END) % 18446744073709551616) AS g FROM h1),
+    h3 AS (SELECT doc_id, x, n, list_transform(range(1, n + 1), lambda i: (g[i] + CASE WHEN i > 8 THEN g[i - 8] * 256::HUGEINT ELSE 0 END) % 18446744073709551616) AS g FROM h2),
+    h4 AS (SELECT doc_id, x, n, list_transform(range(1, n + 1), lambda i: (g[i] + CASE WHEN i > 16 THEN g[i - 16] * 65536::HUGEINT ELSE 0 END) % 18446744073709551616) AS g FROM h3),
+    h AS (SELECT doc_id, x, n, list_transform(g, lambda y: y // 1099511627776) AS h FROM h4),
+    c AS MATERIALIZED (SELECT doc_id, x, n, list_filter(range(1, n + 1), lambda i: h[i] % 4096 = 0) AS rare, list_filter(range(1, n + 1), lambda i: h[i] % 256 = 0) AS common FROM h),
+    r AS (SELECT doc_id, -1 AS chunk_index, 0::BIGINT AS chunk_offset, 0::BIGINT AS stop FROM c WHERE n > 0 UNION ALL
+      SELECT r.doc_id, chunk_index + 1, stop, least(coalesce(list_min(list_filter(rare, lambda e: e >= stop + 256 AND e < stop + 1024)), list_min(list_filter(common, lambda e: e >= stop + 1024)), n), stop + 4096, n)
+      FROM r JOIN c USING (doc_id) WHERE stop < n)
+    SELECT doc_id, chunk_index, chunk_offset, (stop - chunk_offset)::INT AS raw_len, sha256(from_hex(x[2 * chunk_offset + 1:2 * stop])) AS raw_hash FROM r JOIN c USING (doc_id) WHERE chunk_index >= 0"""
+
+
+@query("f19_content_chunks", _CDC)
 def f19(t):
     return chunking.chunks(t.documents, "doc_id", "text")
 
@@ -158,20 +176,15 @@ def f20(t):
 
 @query("y01_process_batches", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS raw_len, sha256(text) AS hash FROM documents")
 def y01(t):
-    def run(batches):
-        import hashlib
-
-        for pdf in batches:
-            raw = [x.encode() for x in pdf["text"]]
-            yield pdf[["doc_id"]].assign(raw_len=[len(r) for r in raw], hash=[hashlib.sha256(r).hexdigest() for r in raw])
-
-    return t.documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, raw_len bigint, hash string")
+    return t.documents.select("doc_id", f.byte_length("text").alias("raw_len"), F.sha2("text", 256).alias("hash"))
 
 
 @query("y02_ordered_map", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, CAST(strlen(text) AS BIGINT) AS n FROM documents")
 def y02(t):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return t.documents.select("doc_id", F.row_number().over(w).alias("pos"), f.byte_length("text").alias("n"))
+    """What is done to the items is done anywhere; each keeps its place in its source's order, which a range sum gives for all sources
+    at once, so a large source is no task of its own."""
+    rows = t.documents.select("source", "doc_id", f.byte_length("text").alias("n"))
+    return intervals.positions(rows, "source", "doc_id", "pos").select("doc_id", "pos", "n")
 
 
 @query("s06_delete_batches", "SELECT hash, (row_number() OVER (ORDER BY hash) - 1) // 1000 AS batch FROM objects WHERE hash NOT IN (SELECT hash FROM reachable)")
@@ -202,11 +215,31 @@ def y03(t):
 
 @query("y03s_chunk_store", "SELECT sha256(p_name) AS hash, CAST(max(strlen(p_name)) AS BIGINT) AS size FROM part GROUP BY 1")
 def y03s(t):
-    """Chunks written to a folder by hash, and read back and verified by the data source."""
-    folder = f"{shared_folder(t.spark)}/chunks-{uuid.uuid4().hex[:12]}"
-    store_chunks(t.part, "p_name", folder)
-    t.spark.dataSource.register(ChunkStore)
-    return t.spark.read.format("chunk_store").load(folder).select("hash", "size")
+    """Chunks put into a table by hash in two writes that overlap, read back and verified."""
+    store = ChunkTable(t.spark, f"{shared_folder(t.spark)}/chunks-{uuid.uuid4().hex[:12]}")
+    store.put(t.part.where("p_partkey % 3 <> 0"), "p_name")
+    store.put(t.part, "p_name")
+    return store.rows().join(store.corrupt(), "hash", "left_anti").select("hash", "size")
+
+
+@query(
+    "s02t_stored_ranges",
+    "SELECT p_partkey, sha256(p_name) AS hash, sha256(substr(hex(encode(p_name)), 2 * (p_partkey % 5)::BIGINT + 1, 2 * (1 + p_partkey % 4)::BIGINT)) AS part FROM part WHERE p_partkey % 7 = 0 AND strlen(p_name) >= 9",
+)
+def s02t(t):
+    """Byte ranges of stored chunks, by hash."""
+    store = ChunkTable(t.spark, f"{shared_folder(t.spark)}/chunks-{uuid.uuid4().hex[:12]}")
+    store.put(t.part, "p_name")
+    k = F.col("p_partkey")
+    wanted = t.part.where("p_partkey % 7 = 0 AND octet_length(p_name) >= 9").select("p_partkey", f.content_hash("p_name").alias("hash"), (k % 5).alias("at"), (1 + k % 4).alias("n"))
+    return store.ranges(wanted, "hash", "at", "n").select("p_partkey", "hash", F.sha2(F.hex("part"), 256).alias("part"))
+
+
+@query("s14t_index_lookup", "SELECT o_orderkey, o_custkey AS oid, (SELECT min(l_suppkey) FROM lineitem WHERE l_partkey = o_custkey) AS pack FROM orders")
+def s14t(t):
+    """Objects looked up in a stored, bucketed multi-pack index."""
+    index = ObjectIndex.build(t.lineitem.select(F.col("l_partkey").alias("oid"), F.col("l_suppkey").alias("pack")))
+    return index.lookup(t.orders.select("o_orderkey", F.col("o_custkey").alias("oid"))).select("o_orderkey", "oid", "pack")
 
 
 @query("y04_stores", "SELECT hash, size, coalesce(first_seen, 5000) AS first_seen, CASE WHEN coalesce(first_seen, 5000) + 100 <= 5000 THEN 'delete' ELSE 'keep' END AS fate FROM objects LEFT JOIN (SELECT p_partkey AS hash, 4850 + p_partkey % 100 AS first_seen FROM part WHERE p_partkey % 3 = 0) USING (hash) WHERE hash NOT IN (SELECT hash FROM reachable)")

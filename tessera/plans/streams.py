@@ -82,3 +82,27 @@ def x08t(t):
     """Writes of deleted branches, refused while the tombstone lives; expired ones leave the state."""
     rows = states.events(t.spark, t.directory).withColumns({"branch": F.col("event_id") % 3, "synced_at": F.unix_millis("ts") - F.col("event_id") % 5 * _HOUR})
     return timed(t, timers.tombstones, rows)
+
+
+@query(
+    "x07s_idle_sessions",
+    f"""WITH e AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) AS prev FROM events),
+    g AS (SELECT *, sum(CASE WHEN us - prev < {12 * 3600 * 1000000} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM e)
+    SELECT user_id, min(us) AS began, max(us) + {12 * 3600 * 1000000} AS evicted, count(*) AS n FROM g GROUP BY user_id, run
+    HAVING max(us) + {12 * 3600 * 1000000} <= (SELECT max(epoch_us(ts)) FROM events) - {3600 * 1000000}""",
+)
+def x07s(t):
+    """Keys idle for twelve hours: a session ends with its last use, and is told once, when the watermark has passed its end."""
+    return states.drain(states.idle_sessions(states.events(t.spark, t.directory)), "append").drop("__batch")
+
+
+@query(
+    "x06t_orphan_ledger",
+    f"""WITH e AS (SELECT user_id, event_id, event_type = 'purchase' AS live, (epoch_us(ts) // 1000) AS tm, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id ROWS UNBOUNDED PRECEDING) AS run FROM events),
+    g AS (SELECT user_id, run, min(tm) FILTER (NOT live) AS first_seen, arg_min(event_id, (tm, event_id)) FILTER (NOT live) AS event_id FROM e GROUP BY 1, 2),
+    n AS (SELECT user_id, run - 1 AS run, min(tm) AS until FROM e WHERE live GROUP BY 1, 2)
+    SELECT user_id, event_id, first_seen, first_seen + {24 * _HOUR} AS deleted_at FROM g LEFT JOIN n USING (user_id, run) WHERE first_seen IS NOT NULL AND coalesce(until, {_PASSED}) >= first_seen + {24 * _HOUR}""",
+)
+def x06t(t):
+    """What is unreachable keeps its first time of being seen so, until it is reachable again; after a grace it is deleted, once."""
+    return timed(t, timers.orphans, states.events(t.spark, t.directory))

@@ -47,6 +47,13 @@ def hourly(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return w.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def idle_sessions(stream: DataFrame, idle: str = "12 hours", late: str = "1 hour") -> DataFrame:
+    """(user_id, began, evicted, n): runs of uses with gaps below ``idle``, told when the watermark has passed their end (append mode).
+    Times are microseconds."""
+    w = stream.withWatermark("ts", late).groupBy(F.session_window("ts", idle).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return w.select("user_id", F.unix_micros("w.start").alias("began"), F.unix_micros("w.end").alias("evicted"), "n")
+
+
 def lifecycle(stream: DataFrame) -> DataFrame:
     """Each key's last state, kept in keyed state: (user_id, state, changes)."""
 

@@ -173,6 +173,40 @@ class Tombstones(Timed):
         return [(int(x.event_id), not (known and int(x.synced_at) <= self.deleted.getValue(key)[0]))]
 
 
+class Orphans(Timed):
+    """A purchase finds the key reachable, any other event finds it an orphan. The time at which it was first found so is kept while
+    it stays one; after ``grace`` it is deleted, which is told once, and a reachable one starts anew."""
+
+    columns = ["event_id", "first_seen", "deleted_at"]
+
+    def __init__(self, grace: int):
+        self.grace = grace
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.seen = handle.getValueState("seen", "event_id long, at long, told boolean")
+
+    def due(self, now: int) -> list[tuple]:
+        if not self.seen.exists():
+            return []
+        event_id, at, told = self.seen.get()
+        if told or at + self.grace > now:
+            return []
+        self.handle.deleteTimer(at + self.grace)
+        self.seen.update((event_id, at, True))
+        return [(event_id, at, at + self.grace)]
+
+    def row(self, x) -> list[tuple]:
+        if x.event_type == "purchase":
+            if self.seen.exists():
+                self.handle.deleteTimer(self.seen.get()[1] + self.grace)
+                self.seen.clear()
+        elif not self.seen.exists():
+            self.seen.update((int(x.event_id), int(x.at), False))
+            self.handle.registerTimer(int(x.at) + self.grace)
+        return []
+
+
 def timed(stream: DataFrame, processor: Timed, schema: str, late: str, *more: str) -> DataFrame:
     """The processor over a stream of (user_id, event_id, event_type, ts) and more columns; ``late``: the watermark's delay."""
     ship(stream.sparkSession)
@@ -191,3 +225,7 @@ def ageouts(stream: DataFrame, soft: int = 6 * HOUR, hard: int = 24 * HOUR, late
 def tombstones(stream: DataFrame, keep: int = 6 * HOUR, late: str = "1 hour") -> DataFrame:
     """stream has branch and synced_at (milliseconds) besides the columns of events."""
     return timed(stream, Tombstones(keep), "event_id long, accepted boolean", late, "branch", "synced_at")
+
+
+def orphans(stream: DataFrame, grace: int = 24 * HOUR, late: str = "1 hour") -> DataFrame:
+    return timed(stream, Orphans(grace), "event_id long, first_seen long, deleted_at long", late)
