@@ -23,7 +23,9 @@ def select_ranks(values: DataFrame, wanted: DataFrame) -> DataFrame:
     rounds = [written(wanted.select("key", "rank", F.col("rank").alias("left"), "lo", "hi"), "ranks")]
     while not (open_ := rounds[-1].where("lo < hi")).isEmpty():
         near = values.join(open_, "key").where("v >= lo AND v <= hi")
-        at = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS), F.lit(BUCKETS - 1))
+        span = F.col("hi") / 2 - F.col("lo") / 2  # halves, so that it does not overflow
+        at = F.when(span > 0, F.least(F.floor(F.try_divide(F.col("v") / 2 - F.col("lo") / 2, span) * BUCKETS), F.lit(BUCKETS - 1)))
+        at = at.otherwise(F.when(F.col("v") > F.col("lo"), BUCKETS - 1).otherwise(0))
         counts = near.groupBy("key", "rank", "left", at.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         w = Window.partitionBy("key", "rank").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows
         inside = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where("left >= before AND left < before + n")
