@@ -5,6 +5,11 @@ a subset-sum dynamic programme over bitsets; that combination is removed, as oft
 counts allow, and the next one is sought. Only the counts per length (at most ``capacity``
 numbers, whatever the input) reach the driver; pieces are numbered within their length and
 placed by an arithmetic lookup.
+
+Defined results: a null text is an empty one, whose only id is the end; every row is a document of its own, also with a repeated or
+null doc_id; of pieces of one length any may take a place, so ties change which document lies where and not how many
+sequences there are; a text of any length is encoded whole and cut into pieces; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations

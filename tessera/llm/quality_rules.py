@@ -3,6 +3,10 @@
 Every rule is evaluated once per document into one bit of ``failed``; the measurements
 stand beside it. A policy is a version name and a mask of the rules it applies, so a new
 policy, or an ablation of one rule, is arithmetic on the ledger and reads no text.
+
+Defined results: a null or empty text has no words and fails ``min_words`` and no other rule; rules are judged row by row, so repeated
+rows and ties of any kind are judged alike, and each keeps its row; a text of any length is read whole; an empty table
+gives an empty ledger; other columns stay, and those named like a measurement are replaced.
 """
 
 from __future__ import annotations

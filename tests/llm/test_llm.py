@@ -833,6 +833,41 @@ def test_query_op10(spark, small):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_empty_documents(spark):
+    """No documents give no rows, with examples and without."""
+    none = spark.createDataFrame([], SCHEMA)
+    some = docs_of(spark, [(i, prose(random.Random(i), 30, 50)) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.score(none, toxicity.fit(labels, some)).collect() == []
+    assert toxicity.fit(labels, none) is None or toxicity.score(none, toxicity.fit(labels, none)).collect() == []
+    assert lang_id.predict(none, lang_id.fit(none)).collect() == [] and lang_id.predict(none, lang_id.fit(some)).collect() == []
+    items = spark.createDataFrame([(1, prose(random.Random(1), 30))], "item_id long, text string")
+    assert decontam.contaminated(none, items).collect() == [] and decontam.contaminated(some, items.where("false")).collect() == []
+    assert packing.pack(packing.pieces(none, public_tokenizers.path("byte_bpe_50k.json"))).collect() == []
+
+
+def test_decontamination_of_repeated_items(spark):
+    """Repeated items and documents hit each."""
+    text = prose(random.Random(3), 40)
+    items = spark.createDataFrame([(1, text), (2, text), (2, text)], "item_id long, text string")
+    got = decontam.contaminated(docs_of(spark, [(1, "x y " + text), (5, text), (5, text)]), items).collect()
+    assert {(x.doc_id, x.item_id, x.n_match, x.at) for x in got} == {(1, 1, 40, 2), (1, 2, 40, 2), (5, 1, 40, 0), (5, 2, 40, 0)}
+
+
+def test_quality_of_clashing_columns(spark):
+    rows = [("one two. " * 40, "a", "b", 7), (None, "a", "b", 7)]
+    out = quality_rules.ledger(spark.createDataFrame(rows, "text string, __w string, __tri string, n_words int"))
+    assert {x.n_words for x in out.collect()} == {80, 0}
+
+
+def test_line_dedup_of_a_very_hot_line(spark):
+    """One line in every document, often, beside near copies of it."""
+    line = "the very same words stand in each of these documents, over and over again"
+    texts = [(i, "\n".join([line, f"own line {i} of this document, with words of its own {i * 7919}", line, line[: 60 + i % 9] + line[60:]])) for i in range(150)]
+    keep = brute_lines(texts)
+    assert {x.doc_id: x.text for x in line_dedup.line_dedup(docs_of(spark, texts)).collect()} == {i: keep(i, t) for i, t in texts}
+
+
 # ------------------------------------------------------------------ pipeline
 
 
