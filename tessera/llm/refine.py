@@ -2,11 +2,12 @@
 
 A group is known by its pivot, and every member is compared with that: they link, or i tokens are shared and h lie outside
 the pivot. Two members of m and n tokens link only if (m + n) * p <= (p + q) * overlap, and of the overlap at most the smaller i
-lies in the pivot; the rest they share outside it. So each shows the first tokens outside the pivot in order of hash, as
-many as it may lack and not find, and two that link both show one of them. Members that show a token and are not known to be
-linked (directly or by way of others) form the groups of the next round; the smallest of them is the pivot. A pair that
-lacks nothing outside the pivot must hold a set smaller than the pivot, which only a first pivot can have; those members
-form one more group.
+lies in the pivot; the rest they share outside it. Tokens outside the pivot that only one member, or members known to be linked, hold
+are shared with nobody that matters and count for nothing; most members are done with by that alone. The others show the first
+of their shared tokens, rare ones of the group first, as many as leave fewer than they may lack, and two that link both show one of them. Members that show
+a token and are not known to be linked (directly or by way of others) form the groups of the next round; the smallest of
+them is the pivot. A pair that lacks nothing outside the pivot must hold a set smaller than the pivot, which only a first pivot
+can have; those members form one more group.
 
 So a group of m members costs m - 1 comparisons with its pivot, however many
 variants it has, and a variant's members meet again under a pivot of their own, outside of which they share nothing any more
@@ -70,7 +71,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[
 
 
 def _compared(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[Column], Column]) -> DataFrame:
-    """(pivot, id, r, rp, np, n, i, h, linked, out): out, the tokens outside the pivot that a member shows."""
+    """(pivot, id, r, rp, np, n, i, linked, out): out, the tokens outside the pivot."""
     size = F.col("n") if "n" in sets.columns else F.size("x")
     pivots = sets.join(cells.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi").withColumn("x", tokens(F.col("v")))
     pivots = pivots.select(F.col("id").alias("pivot"), size.cast("long").alias("np"), "x")
@@ -79,15 +80,9 @@ def _compared(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callabl
     both = both.select("pivot", "id", "r", "rp", "np", "x", *own, tokens(F.col("v")).alias("y"))
     n = F.col("n") if own else F.size("y")
     both = both.select("pivot", "id", "r", "rp", "np", n.cast("long").alias("n"), F.size("y").alias("held"), F.array_except("y", "x").alias("out"))
-    both = both.withColumn("h", F.size("out").cast("long")).withColumn("i", F.col("held") - F.col("h"))
+    both = both.withColumn("i", F.col("held") - F.size("out").cast("long"))
     linked = (F.col("n") + F.col("np")) * p <= (p + q) * F.col("i")
-    return both.select("pivot", "id", "r", "rp", "np", "n", "i", "h", linked.alias("linked"), _shown(F.sort_array("out"), F.lit(0), p, q).alias("out"))
-
-
-def _shown(out: Column, least: Column, p: int, q: int) -> Column:
-    """The first tokens outside the pivot, of which a partner of at least ``least`` tokens shares one."""
-    need = F.ceil((F.col("n") + F.greatest(least, F.ceil(F.col("n") * p / q))) * p / (p + q))
-    return F.slice(out, F.lit(1), F.greatest(F.col("h") - F.greatest(need - F.col("i"), F.lit(1)) + 1, F.lit(0)).cast("int"))
+    return both.select("pivot", "id", "r", "rp", "np", "n", "i", linked.alias("linked"), "out")
 
 
 def _open(known: DataFrame, p: int, q: int) -> DataFrame:
@@ -99,10 +94,16 @@ def _open(known: DataFrame, p: int, q: int) -> DataFrame:
     reach = F.col("i") * (p + q) / p - F.col("n")
     of = named.groupBy("pivot").agg(F.least(F.min("n"), F.min("np")).alias("least"), F.max(F.when(stray, reach)).alias("hi"), F.min("r").alias("r0"), F.max("r").alias("r1"))
     open_ = named.join(of.where("r0 < r1").drop("r0", "r1"), "pivot")
-    # what has no partner of the group's sizes shows nothing
-    able = (F.col("n") + F.greatest("least", F.ceil(F.col("n") * p / q))) * p <= (p + q) * (F.col("i") + F.col("h"))
+    need = F.ceil((F.col("n") + F.greatest("least", F.ceil(F.col("n") * p / q))) * p / (p + q)) - F.col("i")
+    # tokens of several components only, and how many of those that may have a partner hold each
+    each = open_.where(need <= F.size("out")).select("pivot", "id", "r", F.explode("out").alias("t"))
+    count = each.groupBy("pivot", "t").agg(F.count("*").alias("c"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 < r1").select("pivot", "t", "c")
+    shared = each.join(count, ["pivot", "t"]).groupBy("pivot", "id").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).getField("t").alias("shared"))
+    h = F.size("shared").cast("long")
     cols = ["pivot", "id", "n", "r", "i", "h"]
-    lists = open_.where(able).select(*cols, F.explode(_shown(F.col("out"), F.col("least"), p, q)).alias("t"))
+    show = F.slice("shared", F.lit(1), F.greatest(F.col("h") - F.greatest(need, F.lit(1)) + 1, F.lit(0)).cast("int"))
+    lists = open_.join(shared, ["pivot", "id"]).withColumn("h", h).where(need <= F.col("h")).select(*cols, F.explode(show).alias("t"))
+    open_ = open_.withColumn("h", F.lit(0).cast("long"))
     alone = open_.where((stray & (reach >= F.col("least"))) | (F.col("n") <= F.col("hi"))).where("hi >= least").select(*cols, F.lit(0).cast("long").alias("t"))
     both = lists.withColumn("outside", F.lit(True)).unionByName(alone.withColumn("outside", F.lit(False)))
     of = both.groupBy("pivot", "outside", "t").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("*").alias("m"), F.min(F.struct("n", "id", "r")).alias("v"))
