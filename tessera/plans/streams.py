@@ -106,3 +106,17 @@ def x07s(t):
 def x06t(t):
     """What is unreachable keeps its first time of being seen so, until it is reachable again; after a grace it is deleted, once."""
     return timed(t, timers.orphans, states.events(t.spark, t.directory))
+
+
+@query(
+    "x17s_reassembly_stream",
+    """WITH j AS (SELECT o_orderkey, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000 AS tm, 1 + o_orderkey % 4 AS expected FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND CAST(l_shipdate AS TIMESTAMP) <= CAST(o_orderdate AS TIMESTAMP) + INTERVAL 60 DAY),
+    n AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY tm) AS fragments FROM j) SELECT o_orderkey AS user_id, fragments::INT AS fragments, tm AS completed_at FROM n WHERE fragments = expected""",
+)
+def x17s(t):
+    """Manifests and fragments as two streams: files are told once, when the last of their expected fragments has come."""
+    fragments = states.table(t.spark, t.directory, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("part"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    k = F.col("o_orderkey")
+    manifests = states.table(t.spark, t.directory, "orders").select(k.alias("id"), (1 + k % 4).alias("expected"), F.col("o_orderdate").cast("timestamp").alias("since"))
+    with timers.store(t.spark):
+        return states.drain(timers.reassembled(fragments, manifests), "append").drop("__batch")

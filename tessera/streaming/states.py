@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def table(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
+    """A table's files as a stream."""
+    schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{directory}/{name}.parquet*")
+
+
 def events(spark: SparkSession, directory: str, files_per_trigger: int = 1000) -> DataFrame:
     """The events table as a stream; ts becomes a zoned timestamp, which watermarks need."""
-    schema = spark.read.parquet(f"{directory}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{directory}/events.parquet*")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table(spark, directory, "events", files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:

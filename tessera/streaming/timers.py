@@ -207,6 +207,35 @@ class Orphans(Timed):
         return []
 
 
+class Reassembly(Timed):
+    """Fragments of a file are counted until as many as expected have arrived; then the file is complete, which is told once. ``keep``
+    after its first fragment, when none can match any more, a file is forgotten, complete or not."""
+
+    columns = ["fragments", "completed_at"]
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.pending = handle.getValueState("pending", "n int, first long")
+
+    def due(self, now: int) -> list[tuple]:
+        if self.pending.exists() and self.pending.get()[1] + self.keep <= now:
+            self.handle.deleteTimer(self.pending.get()[1] + self.keep)
+            self.pending.clear()
+        return []
+
+    def row(self, x) -> list[tuple]:
+        if self.pending.exists():
+            n, first = self.pending.get()
+        else:
+            n, first = 0, int(x.at)
+            self.handle.registerTimer(first + self.keep)
+        self.pending.update((n + 1, first))
+        return [(n + 1, int(x.at))] if n + 1 == x.expected else []
+
+
 def timed(stream: DataFrame, processor: Timed, schema: str, late: str, *more: str) -> DataFrame:
     """The processor over a stream of (user_id, event_id, event_type, ts) and more columns; ``late``: the watermark's delay."""
     ship(stream.sparkSession)
@@ -229,3 +258,18 @@ def tombstones(stream: DataFrame, keep: int = 6 * HOUR, late: str = "1 hour") ->
 
 def orphans(stream: DataFrame, grace: int = 24 * HOUR, late: str = "1 hour") -> DataFrame:
     return timed(stream, Orphans(grace), "event_id long, first_seen long, deleted_at long", late)
+
+
+def reassembled(fragments: DataFrame, manifests: DataFrame, days: int = 60, late: str = "7 days") -> DataFrame:
+    """(user_id, fragments, completed_at): files whose fragments have all arrived, two streams joined within ``days`` and then counted.
+
+    fragments: file, part, ts. manifests: id, expected, since. A fragment counts if it is no older than its manifest and at most
+    ``days`` younger; what is later than the watermarks allow is dropped, and neither side is kept for longer.
+    """
+    ship(fragments.sparkSession)
+    m = manifests.withWatermark("since", late)
+    near = F.expr(f"file = id AND ts >= since AND ts <= since + INTERVAL {days} DAYS")
+    rows = fragments.withWatermark("ts", late).join(m, near)
+    rows = rows.select(F.col("file").alias("user_id"), F.col("part").alias("event_id"), "ts", F.unix_millis("ts").alias("at"), "expected")
+    keep = (days + 1) * 24 * HOUR
+    return rows.groupBy("user_id").transformWithStateInPandas(Reassembly(keep), "user_id long, fragments int, completed_at long", "append", "eventtime")
