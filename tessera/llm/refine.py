@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
+from .components import components
 
 
 #: Members of a group that are compared pair by pair.
@@ -33,11 +34,12 @@ SMALL = 24
 ROUNDS = 5
 
 
-def links(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[Column], Column] = lambda v: v) -> DataFrame:
+def links(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[Column], Column] = lambda v: v, unite: bool = False) -> DataFrame:
     """(a, b): links that, with what ``r`` and ``rp`` tell, connect all members of a group that links connect.
 
     cells: pivot, id, r and rp, labels of components that id and pivot are known to belong to. sets: id, v, and n where the
-    set has more tokens than ``tokens(v)`` gives (those that no other set holds). Similarity p/q.
+    set has more tokens than ``tokens(v)`` gives (those that no other set holds). Similarity p/q. unite: r and rp are the ids
+    themselves; after the first comparisons the components over all groups take their place.
     """
     found, pairs = [], []
     cells = written(cells.groupBy("pivot", "id").agg(F.min("r").alias("r"), F.min("rp").alias("rp")), "cells")
@@ -45,6 +47,8 @@ def links(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[C
         known = written(_compared(cells, sets, p, q, tokens), "compared")
         discard(cells)
         found.append(written(known.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")), "links"))
+        if unite and k == 0:
+            known = _united(known, found[0])
         open_ = written(_open(known, p, q), "open")
         discard(known)
         last = k == ROUNDS - 1
@@ -61,6 +65,18 @@ def links(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[C
     return reduce(DataFrame.unionByName, found)
 
 
+def _united(known: DataFrame, found: DataFrame) -> DataFrame:
+    """``known`` with the components of the links found as labels."""
+    comp = components(found)
+    label = lambda c, r: comp.select(F.col("node").alias(c), F.col("root").alias(f"_{r}"))
+    both = known.join(label("id", "r"), "id", "left").join(label("pivot", "rp"), "pivot", "left")
+    new = {r: F.coalesce(f"_{r}", r) for r in ("r", "rp")}
+    out = written(both.withColumns(new).drop("_r", "_rp").select(*known.columns), "compared again")
+    for x in (known, comp):
+        discard(x)
+    return out
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[Column], Column]) -> DataFrame:
     """The pairs (a, b) that link."""
     own = "n" in sets.columns
@@ -86,7 +102,7 @@ def _compared(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callabl
 
 
 def _open(known: DataFrame, p: int, q: int) -> DataFrame:
-    """(pivot, t, id, n, r, i, h, m): the members of a pivot's groups, each group known by a token outside the pivot, or by none where
+    """(pivot, t, id, n, r, rp, i, h, m): the members of a pivot's groups, each group known by a token outside the pivot, or by none where
     nothing outside is needed; m members, of several components."""
     joined = known.where("linked").select("pivot", "r", F.lit(True).alias("u")).distinct()
     named = known.join(joined, ["pivot", "r"], "left").withColumn("r", F.when(F.col("u"), F.col("rp")).otherwise(F.col("r")))
@@ -100,7 +116,7 @@ def _open(known: DataFrame, p: int, q: int) -> DataFrame:
     count = each.groupBy("pivot", "t").agg(F.count("*").alias("c"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 < r1").select("pivot", "t", "c")
     shared = each.join(count, ["pivot", "t"]).groupBy("pivot", "id").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).getField("t").alias("shared"))
     h = F.size("shared").cast("long")
-    cols = ["pivot", "id", "n", "r", "i", "h"]
+    cols = ["pivot", "id", "n", "r", "rp", "i", "h"]
     show = F.slice("shared", F.lit(1), F.greatest(F.col("h") - F.greatest(need, F.lit(1)) + 1, F.lit(0)).cast("int"))
     lists = open_.join(shared, ["pivot", "id"]).withColumn("h", h).where(need <= F.col("h")).select(*cols, F.explode(show).alias("t"))
     open_ = open_.withColumn("h", F.lit(0).cast("long"))
@@ -118,8 +134,10 @@ def _groups(open_: DataFrame) -> DataFrame:
 
 def _pairs(open_: DataFrame, p: int, q: int, all_: bool) -> DataFrame:
     """(a, b): pairs of small groups, or of all, in different components, that sizes and overlaps with the pivot allow."""
-    side = lambda c: open_.where(F.lit(all_) | (F.col("m") <= SMALL)).select("pivot", "outside", "t", *[F.col(x).alias(x + c) for x in ("id", "n", "r", "i", "h")])
-    both = side("a").join(side("b"), ["pivot", "outside", "t"]).where("ida < idb AND ra <> rb")
+    some = open_.where(F.lit(all_) | (F.col("m") <= SMALL))
+    side = lambda x, c: x.select("pivot", "outside", "t", *[F.col(k).alias(k + c) for k in ("id", "n", "r", "rp", "i", "h")])
+    # one of the two is not in the pivot's component
+    both = side(some.where("r <> rp"), "a").join(side(some, "b"), ["pivot", "outside", "t"]).where("ra <> rb AND (rb = rpb OR ida < idb)")
     most = "least(ia, ib) + IF(outside, least(ha, hb), 0)"
     both = both.where(f"least(na, nb) * {q} >= greatest(na, nb) * {p} AND (na + nb) * {p} <= {p + q} * ({most})")
-    return both.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+    return both.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()

@@ -619,8 +619,8 @@ def test_two_similar_lines_share_a_band():
     assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS < 0.003
 
 
-def compared(spark, monkeypatch, run):
-    """How many pairs of sets refine compares while run() is computed."""
+def compared(monkeypatch, run):
+    """How many pairs of sets refine compares while run() is computed, and what run() gives."""
     n = []
 
     def count(df, name, write=common.written):
@@ -630,8 +630,8 @@ def compared(spark, monkeypatch, run):
         return out
 
     monkeypatch.setattr(refine, "written", count)
-    run()
-    return sum(n)
+    got = run()
+    return sum(n), got
 
 
 def template_lines(n, seed=41):
@@ -646,9 +646,9 @@ def test_comparisons_of_line_variants_grow_with_the_group(spark, monkeypatch):
     n = {}
     for k in (100, 200):
         texts = list(enumerate(template_lines(k)))
-        n[k] = compared(spark, monkeypatch, lambda: line_dedup.line_dedup(docs_of(spark, texts)).collect())  # noqa: B023
+        n[k], got = compared(monkeypatch, lambda: line_dedup.line_dedup(docs_of(spark, texts)).collect())  # noqa: B023
     keep = brute_lines(texts)
-    assert {x.doc_id: x.text for x in line_dedup.line_dedup(docs_of(spark, texts)).collect()} == {i: keep(i, t) for i, t in texts}
+    assert {x.doc_id: x.text for x in got} == {i: keep(i, t) for i, t in texts}
     assert n[200] < 2.6 * n[100], n
 
 
@@ -658,11 +658,11 @@ def test_comparisons_of_document_variants_grow_with_the_group(spark, monkeypatch
     n = {}
     for k in (60, 120):
         texts = [(i, f"{base} {variants[i % 2]} {prose(r, 60)}") for i in range(k)]
-        n[k] = compared(spark, monkeypatch, lambda: ngram_join.near_duplicates(docs_of(spark, texts)).collect())  # noqa: B023
+        n[k], got = compared(monkeypatch, lambda: ngram_join.near_duplicates(docs_of(spark, texts)).collect())  # noqa: B023
     s = {i: shingles(t) for i, t in texts}
     link = [(i, j) for i in s for j in s if i < j and 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j])]
     root = groups(link, s)
-    assert {x.doc_id: x.component_id for x in ngram_join.near_duplicates(docs_of(spark, texts)).collect()} == root
+    assert {x.doc_id: x.component_id for x in got} == root
     assert n[120] < 2.6 * max(n[60], 60), n
 
 
@@ -682,7 +682,8 @@ def test_refine_against_all_pairs(spark, monkeypatch, seed, small, rounds):
             sets[len(sets)] = x | set(range(20_000, 20_000 + 30 * (f % 3)))
     first = r.randrange(len(sets))
     cells = spark.createDataFrame([(first, i, i, first) for i in sets if i != first], "pivot long, id long, r long, rp long")
-    got = refine.links(cells, spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, v array<long>"), 4, 5).collect()
+    got = refine.links(cells, spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, v array<long>"), 4, 5, unite=seed != 1)
+    got = got.collect()
     link = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     assert all(tuple(sorted((x.a, x.b))) in set(link) for x in got)
     assert groups([(x.a, x.b) for x in got], sets) == groups(link, sets)
