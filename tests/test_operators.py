@@ -330,3 +330,22 @@ def test_leases_over_a_restart(spark, tmp_path):
         own += [(None, "view", passed)] if passed > own[-1][2] else []
         want += [(k, *x) for x in timeline(own, 6, 3)]
     assert got == sorted(want) and (77, 500, 1, "requeued") in got
+
+
+def test_reassembly_drops_what_is_too_late(spark, tmp_path):
+    """A file is told once, when its last expected fragment has come; a fragment behind the watermark completes nothing."""
+    day = 86_400
+
+    def put(name, rows, schema, time_column):
+        df = spark.createDataFrame(rows, schema).withColumn(time_column, F.timestamp_seconds(F.col(time_column) * day))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}.parquet")
+        time.sleep(1.1)
+
+    put("manifests", [(1, 2, 1000), (2, 1, 1000), (3, 1, 1100)], "id long, expected long, since long", "since")
+    put("fragments", [(1, 1, 1010), (2, 1, 1010), (2, 2, 1011), (9, 1, 1100)], "file long, part long, ts long", "ts")
+    put("fragments", [(9, 2, 1100)], "file long, part long, ts long", "ts")  # manifest 1 leaves the state
+    put("fragments", [(1, 2, 1012), (3, 1, 1101), (3, 2, 1102)], "file long, part long, ts long", "ts")
+    streams = [states.table(spark, str(tmp_path), x, files_per_trigger=1) for x in ("fragments", "manifests")]
+    with timers.store(spark):
+        got = states.drain(timers.reassembled(*streams), "append").collect()
+    assert sorted((x.user_id, x.fragments, x.completed_at // 1000 // day) for x in got) == [(2, 1, 1010), (3, 1, 1101)]
