@@ -34,12 +34,12 @@ SMALL = 24
 ROUNDS = 5
 
 
-def links(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[Column], Column] = lambda v: v, unite: bool = False) -> DataFrame:
+def links(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[Column], Column] = lambda v: v) -> DataFrame:
     """(a, b): links that, with what ``r`` and ``rp`` tell, connect all members of a group that links connect.
 
     cells: pivot, id, r and rp, labels of components that id and pivot are known to belong to. sets: id, v, and n where the
-    set has more tokens than ``tokens(v)`` gives (those that no other set holds). Similarity p/q. unite: r and rp are the ids
-    themselves; after the first comparisons the components over all groups take their place.
+    set has more tokens than ``tokens(v)`` gives (those that no other set holds). Similarity p/q. After the first comparisons the labels
+    are united over all groups.
     """
     found, pairs = [], []
     cells = written(cells.groupBy("pivot", "id").agg(F.min("r").alias("r"), F.min("rp").alias("rp")), "cells")
@@ -47,8 +47,8 @@ def links(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[C
         known = written(_compared(cells, sets, p, q, tokens), "compared")
         discard(cells)
         found.append(written(known.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")), "links"))
-        if unite and k == 0:
-            known = _united(known, found[0])
+        if k == 0:
+            known = _united(known)
         open_ = written(_open(known, p, q), "open")
         discard(known)
         last = k == ROUNDS - 1
@@ -65,13 +65,13 @@ def links(cells: DataFrame, sets: DataFrame, p: int, q: int, tokens: Callable[[C
     return reduce(DataFrame.unionByName, found)
 
 
-def _united(known: DataFrame, found: DataFrame) -> DataFrame:
-    """``known`` with the components of the links found as labels."""
-    comp = components(found)
-    label = lambda c, r: comp.select(F.col("node").alias(c), F.col("root").alias(f"_{r}"))
-    both = known.join(label("id", "r"), "id", "left").join(label("pivot", "rp"), "pivot", "left")
+def _united(known: DataFrame) -> DataFrame:
+    """``known`` with one label for all that its links connect, in whatever groups they are."""
+    comp = components(known.where("linked"), "r", "rp")
+    label = lambda r: comp.select(F.col("node").alias(r), F.col("root").alias(f"_{r}"))
+    both = known.join(label("r"), "r", "left").join(label("rp"), "rp", "left")
     new = {r: F.coalesce(f"_{r}", r) for r in ("r", "rp")}
-    out = written(both.withColumns(new).drop("_r", "_rp").select(*known.columns), "compared again")
+    out = written(both.withColumns(new).drop("_r", "_rp").select(*known.columns), "united")
     for x in (known, comp):
         discard(x)
     return out
