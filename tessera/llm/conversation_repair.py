@@ -24,7 +24,6 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import WORD, discard, map_batches, written
 
