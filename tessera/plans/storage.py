@@ -6,7 +6,6 @@ import hashlib
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import scalars as f
 from tessera import api
