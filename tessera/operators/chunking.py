@@ -60,18 +60,26 @@ def chunks(df: DataFrame, key: str, content: str, least: int = 256, mean: int =
     return df.select(key, content).mapInPandas(run, f"`{key}` {kind}, chunk_index int, chunk_offset bigint, raw_len int, raw_hash string")
 
 
-def zstd_lengths(df: DataFrame, key: str, content: str, level: int = 3) -> DataFrame:
-    """(key, raw_len, compressed_len, same): each content as a zstd frame, checked by decompression."""
+def frames(batches, level: int = 3):
+    """Arrow batches (key, content) as (key, raw_len, compressed_len, same), one content at a time: neither frames nor decoded texts
+    of a batch are held."""
+    import pyarrow as pa
+    import zstandard
+
+    up, down = zstandard.ZstdCompressor(level=level), zstandard.ZstdDecompressor()
+    for batch in batches:
+        raw_len, compressed_len, same = [], [], []
+        for c in batch.column(1):
+            raw = (c.as_py() or "").encode()
+            z = up.compress(raw)
+            raw_len.append(len(raw))
+            compressed_len.append(len(z))
+            same.append(down.decompress(z, max_output_size=max(1, len(raw))) == raw)
+        columns = [batch.column(0), pa.array(raw_len, pa.int64()), pa.array(compressed_len, pa.int64()), pa.array(same, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "raw_len", "compressed_len", "same"])
 
-    def run(batches):
-        import zstandard
-
-        up, down = zstandard.ZstdCompressor(level=level), zstandard.ZstdDecompressor()
-        for pdf in batches:
-            raw = [(c or "").encode() for c in pdf[content]]
-            z = [up.compress(r) for r in raw]
-            same = [down.decompress(x, max_output_size=max(1, len(r))) == r for x, r in zip(z, raw)]
-            yield pd.DataFrame({key: pdf[key], "raw_len": [len(r) for r in raw], "compressed_len": [len(x) for x in z], "same": same})
 
+def zstd_lengths(df: DataFrame, key: str, content: str, level: int = 3) -> DataFrame:
+    """(key, raw_len, compressed_len, same): each content as a zstd frame, checked by decompression."""
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, content).mapInPandas(run, f"`{key}` {kind}, raw_len bigint, compressed_len bigint, same boolean")
+    return df.select(key, content).mapInArrow(lambda batches: frames(batches, level), f"`{key}` {kind}, raw_len bigint, compressed_len bigint, same boolean")

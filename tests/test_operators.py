@@ -188,6 +188,23 @@ def test_zstd_round_trip(spark):
     assert all(x.same for x in got) and got[0].compressed_len < got[0].raw_len
 
 
+def test_zstd_frames_hold_one_text():
+    """A batch's memory is that of one text and its frame, however many texts it has."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(1)
+    text = r.randbytes(100_000).hex()
+    batch = pa.record_batch([pa.array(range(100)), pa.array([text] * 100)], ["i", "t"])
+    tracemalloc.start()
+    (got,) = chunking.frames([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column("raw_len").to_pylist() == [200_000] * 100 and all(got.column("same").to_pylist())
+    assert peak < 3_000_000
+
+
 def test_escape_round_trip(spark):
     df = spark.createDataFrame([("a/b%2F\\c",), ("",), (None,)], "p string")
     rows = df.select("p", f.escape_path(F.col("p")).alias("e"), f.unescape_path(f.escape_path(F.col("p"))).alias("back")).collect()
