@@ -14,6 +14,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import numpy as np
@@ -66,7 +67,17 @@ class Encoder:
                 at = k
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text. Nothing here refers to itself, so the collector, which would go through all
+        words again and again, waits."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._many(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _many(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > RETAINED:
             self.old, self.young = self.young, {}
         young, old, get = self.young, self.old, self.young.get

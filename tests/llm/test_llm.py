@@ -926,3 +926,39 @@ def test_quality_sql(spark, data):
     assert sorted(got.columns) == sorted(want.columns)
     for c in got.columns:
         assert list(got[c]) == list(want[c])
+
+
+def test_encoder_pauses_the_collector(monkeypatch):
+    """The collector waits while texts are encoded, and is as before afterwards, also after an error."""
+    import gc
+
+    import public_tokenizers
+
+    from tessera.llm import packing
+
+    enc = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    seen, learn = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: (seen.append(gc.isenabled()), learn(words)))
+    texts = ["one two three", "", "a  b", "one two.\nthree four"]
+    got = enc.many(texts)
+    assert seen == [False] and gc.isenabled()
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    with pytest.raises(TypeError):
+        enc.many([None])
+    assert gc.isenabled()
+
+
+def test_votes_partition_scores_once(monkeypatch):
+    """The least of the nearest scores is sought where it decides something: once a block of texts, then once a text."""
+    from tessera.llm import toxicity
+
+    r = np.random.default_rng(5)
+    n = toxicity.NEAREST * 40
+    docs = [(np.unique(r.integers(0, 400, 30)).astype(np.uint64), None) for _ in range(n)]
+    docs = [(t, np.ones(len(t))) for t, _ in docs]
+    terms = np.unique(np.concatenate([t for t, _ in docs]))
+    m = toxicity.Index(terms, np.ones(len(terms)), n, list(range(n)), r.integers(0, 2, n), docs)
+    shapes, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *x, **k: (shapes.append(np.shape(a)), partition(a, *x, **k))[1])
+    got = m.nearest([m.query(*t) for t in docs[:7]])
+    assert shapes.count((7, m.blocks * toxicity.BLOCK)) == 1 and all(len(at) == toxicity.NEAREST for at, _ in got)
