@@ -160,7 +160,7 @@ class Index:
                 who = np.flatnonzero(opened[:, b])
                 scores[who, b] += common[who] @ self.tiles[b * BLOCK : (b + 1) * BLOCK].T
             shut &= ~opened
-            if self.n > NEAREST:
+            if first and self.n > NEAREST:
                 low = np.partition(scores.reshape(d, width), width - NEAREST, axis=1)[:, [width - NEAREST]]
         out = []
         for one in np.round(scores.reshape(d, width), 12):
