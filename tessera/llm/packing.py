@@ -27,6 +27,8 @@ from .common import map_batches, written
 
 #: Entries of a cache generation; two generations are held.
 RETAINED = 500_000
+#: Characters that are a pre-token of their own where one of them ends a run after a letter.
+TAILS = ".,;:!?$&%#*|<>)"
 
 
 class Encoder:
@@ -35,18 +37,20 @@ class Encoder:
     Its pattern starts a new pre-token at a space that a visible character follows, so a text
     is the concatenation of such runs: each run is encoded once and kept for the next texts.
     Texts in which a space stands before another white space, or at the end, or that hold a
-    special token's opening, are encoded as they are.
+    special token's opening, are encoded as they are. A mark at the end of a run is a pre-token of its own after a letter,
+    so the run without it is what is encoded.
     """
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.odd = re.compile(r" (?=\s|$)|<\|")
+        # runs are kept here, so the model's own cache would hold them in vain
+        self.tok.model._resize_cache(0)
+        self.tails = {c: ids.tobytes() for c, ids in zip(TAILS, self._ids(list(TAILS)))}
         size = self.tok.get_vocab_size()
         self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)], np.int64)
         self.young: dict[str, bytes] = {}
@@ -58,7 +62,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Encode runs (a space and the word), many in one text, and cut the ids by their widths in bytes."""
         groups = [words[i : i + 200] for i in range(0, len(words), 200)]
-        for g, ids in zip(groups, self._ids(["".join([" " + x for x in g]) for g in groups])):
+        for g, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups])):
             ends = np.cumsum([len(x.encode()) + 1 for x in g])
             cut = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
             raw, at = ids.tobytes(), 0
@@ -82,33 +86,53 @@ class Encoder:
             self.old, self.young = self.young, {}
         young, old, get = self.young, self.old, self.young.get
         out: list = [None] * len(texts)
-        whole, late, miss = [], [], set()
+        whole, late, miss, ended = [], [], set(), set()
         for i, t in enumerate(texts):
-            if self.odd.search(t):
+            if "<|" in t:
                 whole.append((i, t))
                 continue
             head, *rest = t.split(" ")
-            whole.append((i, head))
             got = list(map(get, rest))
             if None in got:
-                for x, v in zip(rest, got):
-                    if v is None:
-                        if x in old:
-                            young[x] = old[x]
-                        else:
-                            miss.add(x)
-                late.append((i, rest))
+                gaps = [k for k, v in enumerate(got) if v is None]
+                # kept runs never begin with a white space
+                if any(not rest[k] or rest[k][0].isspace() for k in gaps):
+                    whole.append((i, t))
+                    continue
+                for k in gaps:
+                    x = rest[k]
+                    if x in old:
+                        young[x] = old[x]
+                    elif self._ends(x):
+                        ended.add(x)
+                        core = x[:-1]
+                        if core in old:
+                            young[core] = old[core]
+                        elif core not in young:
+                            miss.add(core)
+                    else:
+                        miss.add(x)
+                late.append((i, rest, got, gaps))
             else:
                 out[i] = b"".join(got)
+            whole.append((i, head))
         self._learn(list(miss))
-        for i, rest in late:
-            out[i] = b"".join([young[x] for x in rest])
+        for x in ended:
+            young[x] = young[x[:-1]] + self.tails[x[-1]]
+        for i, rest, got, gaps in late:
+            for k in gaps:
+                got[k] = young[rest[k]]
+            out[i] = b"".join(got)
         for (i, _), ids in zip(whole, self._ids([t for _, t in whole])):
             out[i] = ids.tobytes() + (out[i] or b"")
         for x in [x for x in miss if len(x) > 64]:
             del young[x]
         return out
 
+    def _ends(self, x: str) -> bool:
+        """Whether a short run ends with a letter and one mark."""
+        return x[-1] in self.tails and 1 < len(x) <= 64 and x[-2].isalpha() and x[-2] < "\u0250"
+
 
 _encoders: dict[str, Encoder] = {}
 

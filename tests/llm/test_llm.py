@@ -264,6 +264,21 @@ def test_encoder_equals_the_library():
         assert enc.many(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_encoder_learns_a_word_once_with_any_mark(monkeypatch):
+    """A run with a mark at its end takes the ids of the run without it, and equals the library."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    seen, learn = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: (seen.extend(words), learn(words)))
+    texts = ["x alphabeta gamm\u00e9", "x alphabeta. gamm\u00e9, gamm\u00e9! alphabeta$", f"x it's. 12. ... a.. \u4e2d. . {'y' * 70}. {'z' * 70}."]
+    for t in texts:
+        assert enc.many([t]) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+        if t is texts[1]:
+            assert sorted(seen) == ["alphabeta", "gamm\u00e9"]
+
+
 # ------------------------------------------------------------------ 4, 8
 
 
