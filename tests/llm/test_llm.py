@@ -681,6 +681,32 @@ def test_comparisons_of_document_variants_grow_with_the_group(spark, monkeypatch
     assert n[120] < 2.6 * max(n[60], 60), n
 
 
+def test_the_pivot_of_edited_lines_is_their_original(spark, monkeypatch):
+    """Copies that are linked to the original only: once compared with it, nothing is left to decide."""
+    r = random.Random(47)
+    some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base, lines, left = some(400), [], []
+    for _ in range(60):
+        x = list(base)
+        for at in r.sample(range(15, 385, 15), 4):
+            x[at] = "#"
+        lines.append("".join(x))
+    lines.insert(r.randrange(60), base)
+    texts = list(enumerate(lines))
+
+    def count(df, name, write=common.written):
+        out = write(df, name)
+        if name == "open":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(refine, "written", count)
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(docs_of(spark, texts)).collect()}
+    keep = brute_lines(texts)
+    assert got == {i: keep(i, t) for i, t in texts}
+    assert left == [0], left
+
+
 @pytest.mark.parametrize("seed, small, rounds", [(0, 24, 5), (1, 3, 8), (2, 2, 2)])
 def test_refine_against_all_pairs(spark, monkeypatch, seed, small, rounds):
     """Random families of sets in one group under any pivot: components are those of all links, by pivots or by pairs."""
