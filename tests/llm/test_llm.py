@@ -707,6 +707,36 @@ def test_the_pivot_of_edited_lines_is_their_original(spark, monkeypatch):
     assert left == [0], left
 
 
+def edited_lines(n, seed=53):
+    """One line in n copies, each with some words replaced by one of two others."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    base, others, lines = [word() for _ in range(80)], [word(), word()], []
+    for _ in range(n):
+        x = list(base)
+        for at in r.sample(range(0, 80, 4), r.choice((3, 6, 7, 8))):
+            x[at] = r.choice(others)
+        lines.append(" ".join(x))
+    return [" ".join(base), *lines]
+
+
+def test_small_groups_of_edited_lines_show_no_tokens(spark, monkeypatch):
+    """Copies that share edits beyond the similarity: a row for each member of a group, none for their tokens."""
+    n = {}
+
+    def count(df, name, write=common.written):
+        out = write(df, name)
+        n[name] = n.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(refine, "written", count)
+    texts = list(enumerate(edited_lines(50)))
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(docs_of(spark, texts)).collect()}
+    keep = brute_lines(texts)
+    assert got == {i: keep(i, t) for i, t in texts}
+    assert n["open"] + n.get("lists", 0) + n["pairs"] <= n["cells"], n
+
+
 @pytest.mark.parametrize("seed, small, rounds", [(0, 24, 5), (1, 3, 8), (2, 2, 2)])
 def test_refine_against_all_pairs(spark, monkeypatch, seed, small, rounds):
     """Random families of sets in one group under any pivot: components are those of all links, by pivots or by pairs."""
