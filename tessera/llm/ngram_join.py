@@ -13,7 +13,7 @@ What is done in place of all pairs of a list: every set is verified against the
 the member with the smallest share of tokens that no other set holds, and linked sets are
 united. Members that no partner of the list can match leave it: two sets of m and n tokens
 need an overlap of 4/9 (m + n), and neither can overlap in more tokens than it has in common
-with any other set. Lists that still hold several components are decided by pivots of pivots (see :mod:`refine`): no pairs of a list are
+with any other set. Lists that still hold several components are decided by differences from pivots (see :mod:`refine`): no pairs of a list are
 listed, so groups of copies and families of variants cost comparisons in proportion to their size.
 
 Before that, sets without a possible partner leave: of the first 2p tokens by hash order
