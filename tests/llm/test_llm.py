@@ -759,6 +759,28 @@ def test_refine_against_all_pairs(spark, monkeypatch, seed, small, rounds):
     assert groups([(x.a, x.b) for x in got], sets) == groups(link, sets)
 
 
+def test_copies_with_edits_of_their_own_show_no_tokens(spark, monkeypatch):
+    """Copies that share what they lack of the pivot, but too little outside it: none is looked at beyond that."""
+    r, left = random.Random(61), []
+    core, sets = range(90), {0: set(range(90))}
+    for i in range(1, 101):
+        e = 10 if i % 2 else 16
+        sets[i] = set(r.sample(core, 90 - e)) | set(r.sample(range(100, 112), 4)) | set(range(1000 * i, 1000 * i + e - 4))
+
+    def count(df, name, write=common.written):
+        out = write(df, name)
+        if name in ("large", "lists", "pairs"):
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(refine, "written", count)
+    cells = spark.createDataFrame([(0, i, i, 0) for i in sets if i], "pivot long, id long, r long, rp long")
+    got = refine.links(cells, spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, v array<long>"), 4, 5).collect()
+    link = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert groups([(x.a, x.b) for x in got], sets) == groups(link, sets)
+    assert left == [0, 0, 0], left
+
+
 def test_line_dedup_of_a_doc_id_with_two_texts(spark):
     """A row loses its own lines, never the line that stands in the same place of another row."""
     texts = [(1, "a line that both of them hold, here first"), (5, "a line that both of them hold, here first\nanother one of the first row"), (5, "a unique line that nobody else holds\nqq ww")]
